@@ -1,0 +1 @@
+"""Document, text, vector and array analytics as declarative Spark queries."""

@@ -1,9 +1,16 @@
 """All queries on the reference's own operators, with their SQL."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from . import text
+from .registry import Query
 
+MODULES = (text,)
 
-def oracle_sql():
-    return {}
+
+def queries() -> dict[str, Query]:
+    return {k: v for m in MODULES for k, v in m.R.queries.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: v for m in MODULES for k, v in m.R.sql.items()}
