@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import text
+from . import retrieval, text
 from .registry import Query
 
-MODULES = (text,)
+MODULES = (text, retrieval)
 
 
 def queries() -> dict[str, Query]:
