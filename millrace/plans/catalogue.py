@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import retrieval, text
+from . import finetune, metrics, retrieval, text
 from .registry import Query
 
-MODULES = (text, retrieval)
+MODULES = (text, retrieval, metrics, finetune)
 
 
 def queries() -> dict[str, Query]:
