@@ -37,7 +37,7 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
             .distinct()
         )
         now = kept(small)
-        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
+        state = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.sum(F.col("a").cast("decimal(38,0)")).alias("s")).first()
         if before == state:
             break
         before = state

@@ -72,6 +72,7 @@ def contained_pairs(evaluation: DataFrame, training: DataFrame, share: float = 0
                 yield pd.concat(out)
 
     indexed = kept(questions.mapInPandas(index, "q long, k int, h long"))
+    frequency.unpersist()
     bitmap = spark.sparkContext.broadcast(piece_filter(indexed))
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -30,13 +30,13 @@ from .storage import kept
 
 #: Bands of the byte sketch and bytes in each; they serve to form hubs, not to find all pairs.
 BANDS, ROWS = 8, 4
+_SALTS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) << np.uint64(32))
 
 
 def band_keys(hashes: np.ndarray) -> np.ndarray:
     """One 64-bit key for each band: the low bytes of its least hashes, with its number."""
     with np.errstate(over="ignore"):
-        salts = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        least = np.array([mix(hashes.view(np.uint64) ^ s).min() for s in salts])
+        least = mix(hashes.view(np.uint64)[None, :] ^ _SALTS[:, None]).min(axis=1)
         words = (least & np.uint64(0xFFFF)).reshape(BANDS, ROWS)
         key = np.arange(BANDS, dtype=np.uint64)
         for r in range(ROWS):
@@ -100,7 +100,7 @@ def alike_links(texts: DataFrame, threshold: float = 0.5, hits: int = 6) -> Data
     def bands(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             keys = [band_keys(piece_hashes(norm)) for norm in frame["norm"]]
-            yield pd.DataFrame({"id": np.repeat(frame["id"].to_numpy(), BANDS), "k": np.concatenate(keys) if keys else np.empty(0, np.int64)})
+            yield pd.DataFrame({"id": np.repeat(frame["id"].to_numpy(), BANDS), "k": np.concatenate([*keys, np.empty(0, np.int64)])})
 
     banded = texts.mapInPandas(bands, "id long, k long")
     hubs = banded.groupBy("k").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1")
@@ -111,6 +111,7 @@ def alike_links(texts: DataFrame, threshold: float = 0.5, hits: int = 6) -> Data
 
     frequency = spark.sparkContext.broadcast(sketch(texts))
     postings = kept(_postings(classed, frequency, threshold, hits))
+    frequency.unpersist()
     mixed = postings.groupBy("h").agg(F.min("hub").alias("least"), F.max("hub").alias("most")).filter("least <> most").select("h")
     live = postings.join(mixed, "h")
     x, y = live.filter("small").alias("x"), live.alias("y")

@@ -19,6 +19,8 @@ class _Kept(dict):
 
 
 _kept = _Kept()
+#: Odd 64-bit factors of the hash, from a linear congruence.
+_FACTORS = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1) ** 7 + 0xD1B54A32D192ED03 * i) % 2**64 | 1 for i in range(1, 17)], dtype=np.uint64)
 
 
 def normalise(text: str | None) -> str:
@@ -40,8 +42,8 @@ def piece_hashes(normalised: str, n: int = PIECE) -> np.ndarray:
     with np.errstate(over="ignore"):
         h = np.full(count, 0x9E3779B97F4A7C15, dtype=np.uint64)
         for i in range(n):
-            h = mix(h ^ codes[i : i + count])
-    return np.unique(h.view(np.int64))
+            h += codes[i : i + count] * _FACTORS[i]
+    return np.unique(mix(h).view(np.int64))
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -29,20 +29,29 @@ def slots(hashes: np.ndarray, size: int = SKETCH) -> np.ndarray:
 def sketch(texts: DataFrame, column: str = "norm") -> np.ndarray:
     """How many texts hold a piece, at most, by the piece's slot.
 
-    The counters are summed by Spark; SKETCH sums at most reach the driver.
+    Spark sums the tasks' counters part by part; SKETCH sums, packed, reach the driver.
     """
+    part = 1 << 12
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(SKETCH, dtype=np.int64)
+        total = np.zeros(SKETCH, dtype=np.int32)
         for frame in frames:
-            for norm in frame[column]:
-                total[slots(piece_hashes(norm))] += 1
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"slot": at, "n": total[at]})
-
-    sums = texts.select(column).mapInPandas(count, "slot long, n long").groupBy("slot").sum("n").toPandas()
+            at = [slots(piece_hashes(norm)) for norm in frame[column]]
+            if at:
+                total += np.bincount(np.concatenate(at), minlength=SKETCH).astype(np.int32)
+        parts = total.reshape(-1, part)
+        some = np.flatnonzero(parts.any(axis=1))
+        yield pd.DataFrame({"i": some, "b": [parts[k].tobytes() for k in some]})
+
+    def add(frame: pd.DataFrame) -> pd.DataFrame:
+        sums = sum(np.frombuffer(b, dtype=np.int32).astype(np.int64) for b in frame["b"])
+        packed = np.minimum(sums, np.iinfo(np.int32).max).astype(np.int32).tobytes()
+        return pd.DataFrame({"i": [frame["i"].iloc[0]], "b": [packed]})
+
+    parts = texts.select(column).mapInPandas(count, "i long, b binary").groupBy("i").applyInPandas(add, "i long, b binary")
     out = np.zeros(SKETCH, dtype=np.int32)
-    out[sums["slot"].to_numpy()] = np.minimum(sums["sum(n)"].to_numpy(), np.iinfo(np.int32).max)
+    for row in parts.collect():
+        out[row["i"] * part : (row["i"] + 1) * part] = np.frombuffer(row["b"], dtype=np.int32)
     return out
 
 
@@ -68,7 +77,7 @@ def piece_filter(indexed: DataFrame, column: str = "h") -> np.ndarray:
 
     parts = indexed.select(column).mapInPandas(mark, "i long, b binary").groupBy("i").applyInPandas(join, "i long, b binary")
     out = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    for row in parts.toLocalIterator():
+    for row in parts.collect():
         out[row["i"] * (part // 8) : (row["i"] + 1) * (part // 8)] = np.frombuffer(row["b"], dtype=np.uint8)
     return out
 
