@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import finetune, metrics, retrieval, text
+from . import entities, finetune, metrics, retrieval, text
 from .registry import Query
 
-MODULES = (text, retrieval, metrics, finetune)
+MODULES = (text, retrieval, metrics, finetune, entities)
 
 
 def queries() -> dict[str, Query]:
