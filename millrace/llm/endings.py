@@ -53,11 +53,22 @@ FINISHED = "|".join((FULL_STOP, PREDICATE, NOTE_STYLE, STRAY, VALUE_LINE, LIST_I
 BROKEN = "|".join((BROKEN_CODE, OPEN_END, UNCLOSED, NOTE_LIST))
 
 
+#: How much of a text's end the patterns read; the longest of them looks back less far.
+TAIL = 400
+
+
 def trimmed(text: Column) -> Column:
     """The text without trailing white space, format characters and pictures."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), TRAILER, "")
+    text = F.coalesce(text, F.lit(""))
+    return F.when(F.right(text, F.lit(1)).rlike(TRAILER), F.regexp_replace(text, TRAILER, "")).otherwise(text)
 
 
 def abrupt(text: Column) -> Column:
-    """True where a trimmed, non-empty text shows no finished end, or a broken one."""
-    return (F.length(text) > 0) & (text.rlike(BROKEN) | ~text.rlike(FINISHED))
+    """True where a trimmed, non-empty text shows no finished end, or a broken one.
+
+    Most texts end in a plain full stop with no bracket open in their last line; the
+    patterns, which try every place of what they read, see the others' ends only.
+    """
+    plain = F.right(text, F.lit(2)).rlike(r"^[^0-9]?[.!?。！？]$") & ~F.substring_index(text, "\n", -1).rlike(r"[(\[{「『“]")
+    tail = F.right(text, F.lit(TAIL))
+    return F.when(F.length(text) == 0, False).when(plain, False).otherwise(tail.rlike(BROKEN) | ~tail.rlike(FINISHED))

@@ -178,7 +178,7 @@ def other_language(question: str, body: str) -> bool:
 def is_truncated(text: str) -> bool:
     if text[-1:] in _stops and not text[-2:-1].isdigit() and not _opener.search(text, text.rfind("\n") + 1):
         return False
-    text = _trailer.sub("", text)
+    text = _trailer.sub("", text)[-endings.TAIL :]
     return bool(text) and (bool(_broken.search(text)) or not _finished.search(text))
 
 
