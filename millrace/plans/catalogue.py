@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import entities, finetune, metrics, retrieval, text
+from . import entities, finetune, metrics, pixels, retrieval, text
 from .registry import Query
 
-MODULES = (text, retrieval, metrics, finetune, entities)
+MODULES = (text, retrieval, metrics, finetune, entities, pixels)
 
 
 def queries() -> dict[str, Query]:
