@@ -33,8 +33,11 @@ PREDICATE = (
     r"|한다|된다|는다|있다|없다|였다|았다|었다|했다|됐다|이다|린다|난다|킨다|쓴다|친다|둔다|간다|온다|준다|같다|많다|바람|요망|\s것|\s수)$"
 )
 
+#: Syllables with the final consonant that makes a noun of a verb.
+_NOUN_FORM = "".join(chr(0xAC00 + 28 * i + 16) for i in range(399))
+
 #: Finished note-style predicates: an object, then a noun form of a verb.
-NOTE_STYLE = r"(?:[을를]\s+\S*[가-힣](?:함|음|임|됨))$"
+NOTE_STYLE = rf"(?:[을를]\s+\S*[{_NOUN_FORM}])$"
 
 #: Stray particles behind a full stop, as careless editing leaves them.
 STRAY = r"(?:[다요오까][.。!?](?:까지|만|도|등|은|는|이|가|을|를)+)$"
@@ -46,8 +49,11 @@ VALUE_LINE = r"(?:^|\n)[^\n:：.。]{1,24}[:：]\s*[^\n.。]{0,20}?[\d.,]*\d\s?[
 LIST_ITEM = r"(?:^|\n)[ \t]*(?:[-*•·▪◦‣○●■□]|\d{1,3}[.)]|[①-⑳]|[가-하][.)]|[a-zA-Z][.)])[ \t]+[^\n]+\n+[ \t]*(?:[-*•·▪◦‣○●■□]|\d{1,3}[.)]|[①-⑳]|[가-하][.)]|[a-zA-Z][.)])[ \t]+[^\s][^\n]*$"
 HEADING = r"(?:^|\n)(?:#{1,6} [^\n]+|\*\*[^\n]+\*\*:?|=+|-{3,}|\|[^\n]*\|)$"
 
-#: A list whose items end in a note-style verb; its last item must do so too.
-NOTE_LIST = r"(?:^|\n)[ \t]*(?:[-*•·]|\d{1,3}[.)])[ \t]+[^\n]*(?:함|음|임|됨|다|요|오)\.?\n+[ \t]*(?:[-*•·]|\d{1,3}[.)])[ \t]+[^\n]*[^함음임됨다요오.\n]$"
+#: A list whose items are objects and note-style verbs; its last item must be so too.
+NOTE_LIST = (
+    rf"(?:^|\n)[ \t]*(?:[-*•·]|\d{{1,3}}[.)])[ \t]+[^\n]*[을를] +[^\s]*[{_NOUN_FORM}]\.?\n+"
+    rf"[ \t]*(?:[-*•·]|\d{{1,3}}[.)])[ \t]+[^\n]*[^{_NOUN_FORM}다요오.\n]$"
+)
 
 FINISHED = "|".join((FULL_STOP, PREDICATE, NOTE_STYLE, STRAY, VALUE_LINE, LIST_ITEM, HEADING))
 BROKEN = "|".join((BROKEN_CODE, OPEN_END, UNCLOSED, NOTE_LIST))

@@ -77,8 +77,10 @@ def split_item(
         if last >= len(text):
             out.append((len(out), start, len(text), text[start:]))
             return out
-        # A piece must bring enough that is new, or the next one would not move on.
-        floor = (out[-1][2] if out else start) + max(1, (last - start - overlap) // 2) if overlap else start + max(1, (last - start) // 2)
+        # A piece must go beyond the overlap and the piece before, by half its room if it can.
+        least = start + overlap + 1 if sums is None else int(np.searchsorted(sums, sums[start] + overlap, side="right"))
+        least = max(least, out[-1][2] + 1 if out else 0)
+        floor = least + max(0, last - least) // 2
         stop = last
         for ends in levels:
             k = bisect_right(ends, last)
