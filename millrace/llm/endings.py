@@ -30,14 +30,14 @@ FULL_STOP = r"(?:[.!?。！？…][)\]}\"'”’」』】》〉*_`]*|[)\]}\"”
 #: Ends of finished Korean sentences without a full stop.
 PREDICATE = (
     r"(?:니다|니까|시오|세요|에요|예요|어요|아요|해요|돼요|워요|와요|지요|네요|군요|나요|까요|는가|은가|인가|던가"
-    r"|한다|된다|는다|있다|없다|였다|았다|었다|했다|됐다|이다|린다|난다|킨다|쓴다|친다|둔다|간다|온다|준다|같다|많다|바람|요망|\s것|\s수)$"
+    r"|한다|된다|는다|있다|없다|였다|았다|었다|했다|됐다|이다|린다|난다|킨다|쓴다|친다|둔다|간다|온다|준다|같다|많다|[기길] 바람|요망|\s것)$"
 )
 
 #: Syllables with the final consonant that makes a noun of a verb.
 _NOUN_FORM = "".join(chr(0xAC00 + 28 * i + 16) for i in range(399))
 
 #: Finished note-style predicates: an object, then a noun form of a verb.
-NOTE_STYLE = rf"(?:[을를]\s+\S*[{_NOUN_FORM}])$"
+NOTE_STYLE = rf"(?:[을를]\s+\S*[가-힣][{_NOUN_FORM}]|(?:^|\n)[ \t]*(?:[-*•·]|\d{{1,3}}[.)])[^\n]*[을를] [{_NOUN_FORM}])$"
 
 #: Stray particles behind a full stop, as careless editing leaves them.
 STRAY = r"(?:[다요오까][.。!?](?:까지|만|도|등|은|는|이|가|을|를)+)$"

@@ -162,9 +162,9 @@ def test_recurrent_lines_are_no_evidence(spark):
 
 FINISHED = [
     "물을 끄고 대피합니다.", "가스를 잠그세요", "손전등을 챙길 것", "1) 문을 닫음\n2) 불을 끔", "최대 기준: 14.5m", "안내문에는 \"잠그세요\"라고 적혀 있습니다. 🙏",
-    "준비물\n- 담요\n- 손전등", "끝났습니다. (근거: AB-12)", "Leave by the gate.", "請打開窗戶。", "**안내**",
+    "준비물\n- 담요\n- 손전등", "끝났습니다. (근거: AB-12)", "문을 닫아 주시기 바람", "Leave by the gate.", "請打開窗戶。", "**안내**",
 ]
-BROKEN = ["문을 닫고 창", "대피 장소까지 3", "측정값은 27.", "그리고 (근거: RH-", "알립니&nb", "확인한 뒤 \\u", "다음 내용은 �", "기준은 ᄀ", "Then open the", "손전등, 들것"]
+BROKEN = ["문을 닫고 창", "대피 장소까지 3", "측정값은 27.", "그리고 (근거: RH-", "알립니&nb", "확인한 뒤 \\u", "다음 내용은 �", "기준은 ᄀ", "Then open the", "손전등, 들것", "기준을 넘", "문이 열리고 바람", "승강기를 이용할 수"]
 
 
 def test_ends(spark):
