@@ -92,7 +92,7 @@ def account_spans(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
 
     def digits(s: Column) -> Column:
-        return F.struct(F.regexp_replace(s["value"], r"\D", "").alias("value"), s["start"].alias("start"), s["stop"].alias("stop"))
+        return F.struct(F.regexp_replace(s["value"], r"(?U)\D", "").alias("value"), s["start"].alias("start"), s["stop"].alias("stop"))
 
     def sized(found: Column) -> Column:
         return F.filter(F.transform(found, digits), lambda s: F.length(s["value"]).between(10, 14))
@@ -125,7 +125,7 @@ def resolved(text: Column, trackings: Column, accounts: Column, strict: bool = T
     text = F.coalesce(text, F.lit(""))
 
     def plain(c: Column) -> Column:
-        return c if strict else F.regexp_replace(c, r"\D", "")
+        return c if strict else F.regexp_replace(c, r"(?U)\D", "")
 
     both = F.array_intersect(F.transform(trackings, lambda s: plain(s["value"])), values(accounts))
     start = F.struct(
@@ -152,8 +152,17 @@ def resolved(text: Column, trackings: Column, accounts: Column, strict: bool = T
     )
 
 
+#: Every number found holds nine digits with nothing but spaces and hyphens between.
+NINE_DIGITS = r"(?U)(?:\d[\s-]*+){9}"
+
+
 def detect_all(text: Column, strict: bool = True) -> Column:
-    return resolved(text, tracking_spans(text), account_spans(text), strict)
+    """Struct of sorted distinct trackings and accounts; most texts hold no long number and
+    are passed over at the price of one search. Null gives empty lists."""
+    text = F.coalesce(text, F.lit(""))
+    none = F.array().cast("array<string>")
+    nothing = F.struct(none.alias("trackings"), none.alias("accounts"))
+    return F.when(~text.rlike(NINE_DIGITS), nothing).otherwise(resolved(text, tracking_spans(text), account_spans(text), strict))
 
 
 def keyword_near(text: Column, span: Column, words: list[str], reach: int) -> Column:

@@ -16,11 +16,11 @@ SPAN = "array<struct<value:string,start:int,stop:int>>"
 def spans(text: Column, pattern: str, groups: int = 0, value_group: int | None = None) -> Column:
     """Array of (value, start, stop) of all matches, left to right.
 
-    ``pattern`` may use look-around and ``groups`` capturing groups of its own; with
+    Digits, letters and white space are Unicode's. ``pattern`` may use look-around and ``groups`` capturing groups of its own; with
     ``value_group`` the span is that of the group, found within its match from the right.
     """
     text = F.coalesce(text, F.lit(""))
-    whole = rf"(?s)\G(.*?)({pattern})"
+    whole = rf"(?sU)\G(.*?)({pattern})"
     gaps = F.regexp_extract_all(text, F.lit(whole), F.lit(1))
     matches = F.regexp_extract_all(text, F.lit(whole), F.lit(2))
     inner = matches if value_group is None else F.regexp_extract_all(text, F.lit(whole), F.lit(2 + value_group))

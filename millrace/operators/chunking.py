@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import collapse_blank_lines, paragraphs, prefix, strip
+from ..functions.text import SPACE, collapse_blank_lines, paragraphs, prefix, strip
 from .ranking import by_id, first_n, numbered
 
 
@@ -28,9 +28,11 @@ def folded(text: Column, size: int = 400, overlap: int = 80, least: int = 80, se
 
     def step(acc: Column, para: Column) -> Column:
         fits = F.length(acc["cur"]) + F.length(para) + 1 <= size
-        kept = F.when(fits, acc["cur"]).otherwise(F.right(acc["cur"], F.lit(overlap)))
+        # Paragraphs are stripped, so only the tail carried over can begin with white space.
+        tail = F.regexp_replace(F.right(acc["cur"], F.lit(overlap)), rf"^{SPACE}+", "")
+        kept = F.when(fits, acc["cur"]).otherwise(tail)
         return F.struct(
-            strip(F.concat(kept, F.lit("\n"), para)).alias("cur"),
+            F.when(F.length(kept) > 0, F.concat(kept, F.lit("\n"), para)).otherwise(para).alias("cur"),
             F.when(fits, acc["out"]).otherwise(emitted(acc)).alias("out"),
         )
 

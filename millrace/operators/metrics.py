@@ -125,19 +125,24 @@ def rouge_l_short(pred: Column, gold: Column, pattern: str = r"[a-z0-9]+", digit
     return F.when(F.size(a) + F.size(b) > 0, F.round(2.0 * n / (F.size(a) + F.size(b)), digits)).otherwise(F.lit(0.0))
 
 
-def overlap_proxies(answer: Column, context: Column, question: Column, gold: Column, pattern: str = r"[가-힣]{2,}|[A-Za-z]{2,}|\d+") -> dict[str, Column]:
-    """Deterministic stand-ins for judged scores: token shares, not the judged metrics."""
+def overlap_proxies(df: DataFrame, answer: str, context: str, question: str, gold: str, pattern: str = r"[가-힣]{2,}|[A-Za-z]{2,}|\d+") -> DataFrame:
+    """Deterministic stand-ins for judged scores: token shares, not the judged metrics.
 
-    def words(c: Column) -> Column:
-        return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(pattern), F.lit(0)))
+    The token sets are columns of their own, so that each text is read once.
+    """
 
-    def share(of: Column, within: Column) -> Column:
-        return F.when(F.size(of) > 0, F.round(F.size(F.array_intersect(of, within)) / F.size(of), 4))
+    def words(c: str) -> Column:
+        return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(pattern), F.lit(0)))
 
-    a, c, q, g = words(answer), words(context), words(question), words(gold)
-    return {
-        "faithfulness_proxy": share(a, c),
-        "answer_relevancy_proxy": share(q, a),
-        "context_recall_proxy": share(g, c),
-        "context_precision_proxy": share(c, g),
+    def share(of: str, within: str) -> Column:
+        both = F.size(F.array_intersect(of, within))
+        return F.when(F.size(of) > 0, F.round(both / F.size(of), 4))
+
+    sets = df.withColumns({"_a": words(answer), "_c": words(context), "_q": words(question), "_g": words(gold)})
+    scores = {
+        "faithfulness_proxy": share("_a", "_c"),
+        "answer_relevancy_proxy": share("_q", "_a"),
+        "context_recall_proxy": share("_g", "_c"),
+        "context_precision_proxy": share("_c", "_g"),
     }
+    return sets.withColumns(scores).drop("_a", "_c", "_q", "_g")

@@ -198,7 +198,5 @@ select result_id, loaded_at, {_share("a", "c")} as faithfulness_proxy, {_share("
 """)
 def judge_proxies(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "experiment_results")
-    scores = m.overlap_proxies(*[F.col(c) for c in ("pred_answer", "context", "question", "gold_answer")], pattern=r"[가-힣]{2,}|[a-z]{2,}|\d+")
-    return e.select("result_id", "loaded_at", *[c.alias(k) for k, c in scores.items()])
-
-
+    scored = m.overlap_proxies(e, "pred_answer", "context", "question", "gold_answer", r"[가-힣]{2,}|[a-z]{2,}|\d+")
+    return scored.select("result_id", "loaded_at", "faithfulness_proxy", "answer_relevancy_proxy", "context_recall_proxy", "context_precision_proxy")

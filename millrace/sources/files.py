@@ -134,9 +134,9 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 def calibration_pairs(spark: SparkSession, path: str) -> DataFrame:
     """(pair, left, right, cols, rows) of a list whose first line gives the board's size and
     whose others name left and right pictures by turns."""
-    lines = spark.read.option("wholetext", "true").text(path)
+    lines = spark.read.text(path, wholetext=True)
     rows = lines.select(F.posexplode(F.filter(F.transform(F.split("value", r"\R"), strip), lambda s: F.length(s) > 0)).alias("n", "line"))
-    size = rows.filter("n = 0").select(F.split("line", r"\s+").alias("s")).select(F.col("s")[0].cast("int").alias("cols"), F.col("s")[1].cast("int").alias("rows"))
+    size = rows.filter("n = 0").select(F.split("line", r"\s+").alias("s")).select(F.get("s", F.lit(0)).try_cast("int").alias("cols"), F.get("s", F.lit(1)).try_cast("int").alias("rows"))
     names = rows.filter("n > 0").select(F.floor((F.col("n") - 1) / 2).cast("int").alias("pair"), ((F.col("n") - 1) % 2).alias("side"), "line")
     pairs = names.groupBy("pair").agg(F.max(F.when(F.col("side") == 0, F.col("line"))).alias("left"), F.max(F.when(F.col("side") == 1, F.col("line"))).alias("right"))
     return pairs.crossJoin(F.broadcast(size))
