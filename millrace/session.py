@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
+import weakref
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -37,3 +43,23 @@ def checkpoint_folder(spark: SparkSession) -> str:
             raise RuntimeError("a cluster must name a shared folder in spark.checkpoint.dir")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return sc.getCheckpointDir()
+
+
+_shipped: weakref.WeakSet = weakref.WeakSet()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors once per context, so that Python functions find
+    it there whatever their working folder and path are."""
+    sc = spark.sparkContext
+    if sc in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = os.path.join(folder, f"{root.name}.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for path in sorted(root.rglob("*.py")):
+            z.write(path, path.relative_to(root.parent))
+    sc.addPyFile(archive)
+    _shipped.add(sc)
