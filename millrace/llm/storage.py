@@ -2,22 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; where it names none, as in tests, a temporary one."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.split("[")[0] == "local":
-            raise RuntimeError("a cluster must name a shared folder in spark.checkpoint.dir")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+from ..session import checkpoint_folder
 
 
 def kept(df: DataFrame) -> DataFrame:
     """The rows written to the shared folder; later reads survive lost executors."""
-    checkpoint_dir(df.sparkSession)
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
