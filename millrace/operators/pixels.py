@@ -214,8 +214,12 @@ def morphology(px: DataFrame, step: str, offsets: list[tuple[int, int]] | None =
     raise ValueError(step)
 
 
-def components(px: DataFrame, size: tuple[int, int] = (8, 8), most_rounds: int = 64) -> DataFrame:
-    """(image, y, x, label): the 8-connected set of a non-zero pixel, by its least position.
+CROSS = [(-1, 0), (1, 0), (0, -1), (0, 1)]
+
+
+def components(px: DataFrame, size: tuple[int, int] = (8, 8), most_rounds: int = 64, offsets: list[tuple[int, int]] | None = None) -> DataFrame:
+    """(image, y, x, label): the connected set of a non-zero pixel, by its least position;
+    8-connected, or connected by the given offsets.
 
     Labels spread to neighbours and jump to their label's label, so that long sets settle in
     few rounds; each round is written to the checkpoint folder.
@@ -224,7 +228,7 @@ def components(px: DataFrame, size: tuple[int, int] = (8, 8), most_rounds: int =
     width = size[1]
     now = px.filter("v <> 0").select(*KEYS, (F.col("y") * width + F.col("x")).alias("v")).checkpoint()
     for _ in range(most_rounds):
-        near = neighbours(now, SQUARE, "drop", size).groupBy(*KEYS).agg(F.min("v").alias("m"))
+        near = neighbours(now, [*(offsets or SQUARE), (0, 0)], "drop", size).groupBy(*KEYS).agg(F.min("v").alias("m"))
         spread = now.join(near, KEYS).select(*KEYS, F.col("v").alias("old"), F.least("v", "m").alias("v"))
         root = spread.select(F.col("image").alias("ri"), (F.col("y") * width + F.col("x")).alias("p"), F.col("v").alias("r"))
         met = spread.join(root, (F.col("image") == F.col("ri")) & (F.col("v") == F.col("p")))
@@ -251,11 +255,34 @@ def component_stats(labels: DataFrame) -> DataFrame:
 
 def boundary(px: DataFrame, size: tuple[int, int] = (8, 8)) -> DataFrame:
     """Non-zero pixels with a zero neighbour, or at the border, in the four main directions."""
-    cross = [(-1, 0), (1, 0), (0, -1), (0, 1)]
-    near = neighbours(px, cross, "drop", size).groupBy(*KEYS).agg(F.min("v").alias("least"), F.count("*").alias("n"))
+    near = neighbours(px, CROSS, "drop", size).groupBy(*KEYS).agg(F.min("v").alias("least"), F.count("*").alias("n"))
     return px.filter("v <> 0").join(near, KEYS).filter("least = 0 or n < 4").select(*KEYS)
 
 
+def contours(px: DataFrame, size: tuple[int, int] = (8, 8)) -> DataFrame:
+    """(image, y, x, label, hole): the contour pixels of every component. ``hole`` is null on
+    the outer contour, else the label of the enclosed background that the pixel borders."""
+    h, w = size
+    sets = components(px, size)
+    ground = components(px.withColumn("v", F.when(F.col("v") == 0, 1).otherwise(0)), size, offsets=CROSS)
+    outside = ground.filter(F.col("y").isin(0, h - 1) | F.col("x").isin(0, w - 1)).select("image", F.col("label").alias("v")).distinct()
+    enclosed = ground.withColumnRenamed("label", "v").join(outside, ["image", "v"], "left_anti").select(*KEYS, "v")
+    open_ground = ground.withColumnRenamed("label", "v").join(outside, ["image", "v"], "left_semi").select(*KEYS, "v")
+    inner = neighbours(enclosed, CROSS, "drop", size).select(*KEYS, F.col("v").alias("hole"))
+    outer = neighbours(open_ground, CROSS, "drop", size).select(*KEYS, F.lit(None).cast("int").alias("hole"))
+    rim = sets.filter(F.col("y").isin(0, h - 1) | F.col("x").isin(0, w - 1)).select(*KEYS, F.lit(None).cast("int").alias("hole"))
+    return sets.join(inner.union(outer).union(rim).distinct(), KEYS).select(*KEYS, "label", "hole")
+
+
+def picked_components(stats: DataFrame, k: int, least_area: int, seed: int = 42) -> DataFrame:
+    """Up to k components of each image with enough area, in a random order that the seed
+    and the labels determine."""
+    from .ranking import first_n
+
+    hashed = stats.filter(F.col("area") >= least_area).withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("image").cast("string"), F.col("label").cast("string"))))
+    return first_n(hashed, ["image"], ["_h"], k).drop("_h", "pos")
+
+
 def moments(px: DataFrame) -> DataFrame:
     """Raw moments to second order, the centre, and the slant mu11 / mu02 where it is defined."""
     x, y, v = F.col("x").cast("double"), F.col("y").cast("double"), F.col("v").cast("double")
@@ -392,6 +419,16 @@ def hough_lines(edges: DataFrame, angles: int = 180, least: int = 100) -> DataFr
     return votes.groupBy("image", "theta", rho.alias("rho")).agg(F.count("*").alias("votes")).filter(F.col("votes") >= least)
 
 
+def hough_circles(edges: DataFrame, radii: list[int], angles: int = 72, least: int = 30) -> DataFrame:
+    """(image, y, x, radius, votes) of the circle centres on which enough edge pixels agree;
+    a pixel votes once for a centre."""
+    steps = F.array(*[F.struct(F.lit(r).alias("radius"), F.lit(float(r * np.sin(2 * np.pi * i / angles))).alias("sy"), F.lit(float(r * np.cos(2 * np.pi * i / angles))).alias("sx")) for r in radii for i in range(angles)])
+    voted = edges.withColumn("s", F.explode(steps)).select(
+        "image", F.col("y").alias("ey"), F.col("x").alias("ex"), "s.radius", F.round(F.col("y") - F.col("s.sy")).cast("int").alias("y"), F.round(F.col("x") - F.col("s.sx")).cast("int").alias("x")
+    )
+    return voted.distinct().groupBy(*KEYS, "radius").agg(F.count("*").alias("votes")).filter(F.col("votes") >= least)
+
+
 def disparity(left: DataFrame, right: DataFrame, most: int = 32, reach: int = 2, size: tuple[int, int] = (8, 8)) -> DataFrame:
     """(image, y, x, disparity): the shift whose blocks differ least, of equal ones the least."""
     shifted = right.withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).select("image", "y", (F.col("x") + F.col("d")).alias("x"), "d", F.col("v").alias("w"))

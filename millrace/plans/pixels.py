@@ -121,6 +121,16 @@ def pix_cc_stats(spark: SparkSession, d: str) -> DataFrame:
     return p.component_stats(p.components(_binary(spark, d)))
 
 
+@R.query()
+def pix_contours(spark: SparkSession, d: str) -> DataFrame:
+    return p.contours(_binary(spark, d))
+
+
+@R.query()
+def pix_pick(spark: SparkSession, d: str) -> DataFrame:
+    return p.picked_components(p.component_stats(p.components(_binary(spark, d))), 3, 4).select("image", "label", "area")
+
+
 @R.query(f"""with {_B}, near as (select g.image, g.y - o.dy as y, g.x - o.dx as x, g.v from g, (values (-1, 0), (1, 0), (0, -1), (0, 1)) o(dy, dx) where g.y - o.dy between 0 and 7 and g.x - o.dx between 0 and 7),
 n as (select image, y, x, min(v) as least, count(*) as n from near group by 1, 2, 3)
 select image, y, x from g join n using (image, y, x) where g.v = 1 and (least = 0 or n < 4)""")
@@ -149,12 +159,12 @@ def pix_linefit(spark: SparkSession, d: str) -> DataFrame:
     return lines.select("image", F.round("vx", 4).alias("vx"), (F.round("vy", 4) + 0.0).alias("vy"), F.round("x0", 6).alias("x0"), F.round("y0", 6).alias("y0"))
 
 
-@R.query(f"with {_G} select image, y // 2 as y, x // 2 as x, round(avg(v), 6) as v from g group by 1, 2, 3")
+@R.query(f"with {_G} select image, cast(y // 2 as bigint) as y, cast(x // 2 as bigint) as x, round(avg(v), 6) as v from g group by 1, 2, 3")
 def pix_resize(spark: SparkSession, d: str) -> DataFrame:
     return p.resized(_grid(spark, d), 2).select("image", F.col("y").cast("bigint").alias("y"), F.col("x").cast("bigint").alias("x"), F.round("v", 6).alias("v"))
 
 
-@R.query(f"with {_G} select image, y // 4 as tile_y, x // 4 as tile_x, sum(v) as total from g group by 1, 2, 3")
+@R.query(f"with {_G} select image, cast(y // 4 as bigint) as tile_y, cast(x // 4 as bigint) as tile_x, cast(sum(v) as bigint) as total from g group by 1, 2, 3")
 def pix_tiles(spark: SparkSession, d: str) -> DataFrame:
     t = p.tiles(_grid(spark, d), 4, 4).groupBy("image", F.col("tile_y").cast("bigint").alias("tile_y"), F.col("tile_x").cast("bigint").alias("tile_x"))
     return t.agg(F.sum("v").alias("total"))
@@ -196,7 +206,7 @@ def point_in_poly(spark: SparkSession, d: str) -> DataFrame:
     return geometry.point_in_polygon(points, _shapes(spark).filter("shape = 1")).withColumn("distance", F.round("distance", 6) + 0.0)
 
 
-@R.query(f"with {_G} select image, y, x, round(1.5 * x - 0.5 * y + 2.0, 6) as tx, round(0.25 * x + 1.25 * y - 1.0, 6) as ty from g")
+@R.query(f"with {_G} select image, y, x, round(1.5::double * x - 0.5::double * y + 2.0, 6) as tx, round(0.25::double * x + 1.25::double * y - 1.0, 6) as ty from g")
 def affine_apply(spark: SparkSession, d: str) -> DataFrame:
     src = [(0, 0), (1, 0), (0, 1)]
     matrix = geometry.affine_from_points(src, [(2.0, -1.0), (3.5, -0.75), (1.5, 0.25)])

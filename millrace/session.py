@@ -34,6 +34,12 @@ def local_session(cpus: int | str = 8, memory: str = "12g", partitions: int | No
     return spark
 
 
+def _temporary(prefix: str) -> str:
+    folder = tempfile.mkdtemp(prefix=prefix)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder that the cluster names, or in local mode a temporary one."""
     sc = spark.sparkContext
@@ -41,7 +47,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and sc.master.split("[")[0] != "local":
             raise RuntimeError("a cluster must name a shared folder in spark.checkpoint.dir")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+        sc.setCheckpointDir(named or _temporary("checkpoints-"))
     return sc.getCheckpointDir()
 
 
@@ -55,9 +61,7 @@ def ship_package(spark: SparkSession) -> None:
     if sc in _shipped:
         return
     root = Path(__file__).resolve().parent
-    folder = tempfile.mkdtemp(prefix="code-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    archive = os.path.join(folder, f"{root.name}.zip")
+    archive = os.path.join(_temporary("code-"), f"{root.name}.zip")
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
         for path in sorted(root.rglob("*.py")):
             z.write(path, path.relative_to(root.parent))

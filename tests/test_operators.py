@@ -159,6 +159,22 @@ def test_more_pixels(spark):
     assert white["v"] == 1 and white["s"] == 0 and white["l"] == pytest.approx(100, abs=0.1) and abs(white["a"]) < 0.1
 
 
+def test_contours_and_circles(spark):
+    b = np.zeros((8, 8))
+    b[1:6, 1:6] = 1
+    b[3, 3] = 0
+    rows = pixels.contours(image(spark, b)).collect()
+    assert {(r["y"], r["x"]) for r in rows if r["hole"] is None} == {(y, x) for y in range(1, 6) for x in range(1, 6) if y in (1, 5) or x in (1, 5)}
+    assert {(r["y"], r["x"]) for r in rows if r["hole"] == 27} == {(2, 3), (4, 3), (3, 2), (3, 4)}
+    stats = pixels.component_stats(pixels.components(image(spark, b)))
+    assert pixels.picked_components(stats, 3, 20).count() == 1 and pixels.picked_components(stats, 3, 80).count() == 0
+    t = np.linspace(0, 2 * np.pi, 60, endpoint=False)
+    ring = {(round(20 + 6 * np.sin(a)), round(20 + 6 * np.cos(a))) for a in t}
+    edges = spark.createDataFrame([(1, int(y), int(x)) for y, x in ring], "image long, y int, x int")
+    best = pixels.hough_circles(edges, [5, 6, 7], 90, 5).orderBy(F.desc("votes")).first()
+    assert (best["radius"], abs(best["y"] - 20) <= 1, abs(best["x"] - 20) <= 1) == (6, True, True)
+
+
 def test_shapes(spark):
     square = [(1, 0, 0.0, 0.0), (1, 1, 2.0, 0.0), (1, 2, 2.0, 2.0), (1, 3, 0.0, 2.0)]
     df = spark.createDataFrame(square, "shape int, pos int, x double, y double")
