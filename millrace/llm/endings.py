@@ -7,6 +7,7 @@ They look at the end of a text whose trailing white space is gone.
 
 from __future__ import annotations
 
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,12 +56,16 @@ NOTE_LIST = (
     rf"[ \t]*(?:[-*•·]|\d{{1,3}}[.)])[ \t]+[^\n]*[^{_NOUN_FORM}다요오.\n]$"
 )
 
-FINISHED = "|".join((FULL_STOP, PREDICATE, NOTE_STYLE, STRAY, VALUE_LINE, LIST_ITEM, HEADING))
-BROKEN = "|".join((BROKEN_CODE, OPEN_END, UNCLOSED, NOTE_LIST))
+#: How much of a text's end the patterns read: those of a few characters, those of a line's
+#: last words, and those that look at the line or the line before.
+SHORT, WORDS, TAIL = 24, 60, 200
 
-
-#: How much of a text's end the patterns read; the longest of them looks back less far.
-TAIL = 400
+_BROKEN_SHORT = f"{BROKEN_CODE}|{OPEN_END}"
+_FINISHED_SHORT = f"{FULL_STOP}|{PREDICATE}|{STRAY}"
+_FINISHED_LINES = f"{LIST_ITEM}|{HEADING}"
+_PLAIN = r"^[^0-9]?[.!?。！？]$"
+_OPENER = r"[(\[{「『“]"
+_MARKED = r"^(?:#|\*\*|=|---|\|)"
 
 
 def trimmed(text: Column) -> Column:
@@ -72,9 +77,49 @@ def trimmed(text: Column) -> Column:
 def abrupt(text: Column) -> Column:
     """True where a trimmed, non-empty text shows no finished end, or a broken one.
 
-    Most texts end in a plain full stop with no bracket open in their last line; the
-    patterns, which try every place of what they read, see the others' ends only.
+    Most texts end in a plain full stop with no bracket open in their last line. A pattern
+    tries every place of what it reads, so each reads as little as it needs, and those for
+    brackets, lists and values run only where the last lines hold their marks.
     """
-    plain = F.right(text, F.lit(2)).rlike(r"^[^0-9]?[.!?。！？]$") & ~F.substring_index(text, "\n", -1).rlike(r"[(\[{「『“]")
-    tail = F.right(text, F.lit(TAIL))
-    return F.when(F.length(text) == 0, False).when(plain, False).otherwise(tail.rlike(BROKEN) | ~tail.rlike(FINISHED))
+    short, tail = F.right(text, F.lit(SHORT)), F.right(text, F.lit(TAIL))
+    line = F.substring_index(tail, "\n", -1)
+    opened, lines = line.rlike(_OPENER), tail.contains("\n")
+    broken = short.rlike(_BROKEN_SHORT) | (opened & tail.rlike(UNCLOSED)) | (lines & tail.rlike(NOTE_LIST))
+    finished = (
+        short.rlike(_FINISHED_SHORT)
+        | F.right(text, F.lit(WORDS)).rlike(NOTE_STYLE)
+        | (line.rlike("[:：]") & tail.rlike(VALUE_LINE))
+        | ((lines | line.rlike(_MARKED)) & tail.rlike(_FINISHED_LINES))
+    )
+    plain = F.right(text, F.lit(2)).rlike(_PLAIN) & ~opened
+    return F.when(F.length(text) == 0, False).when(plain, False).otherwise(broken | ~finished)
+
+
+_re = {
+    name: regex.compile(pattern)
+    for name, pattern in {
+        "trailer": TRAILER, "plain": _PLAIN, "opener": _OPENER, "marked": _MARKED, "broken": _BROKEN_SHORT, "unclosed": UNCLOSED, "note_list": NOTE_LIST,
+        "finished": _FINISHED_SHORT, "note": NOTE_STYLE, "value": VALUE_LINE, "lines": _FINISHED_LINES,
+    }.items()
+}
+
+
+def is_abrupt(text: str) -> bool:
+    """The same for one text in Python, which need not be trimmed."""
+    if text[-1:].isspace() or not text[-1:].isalnum():
+        text = _re["trailer"].sub("", text)
+    if not text:
+        return False
+    short, tail = text[-SHORT:], text[-TAIL:]
+    line = tail[tail.rfind("\n") + 1 :]
+    opened, lines = _re["opener"].search(line), "\n" in tail
+    if not opened and _re["plain"].search(text[-2:]):
+        return False
+    if _re["broken"].search(short) or (opened and _re["unclosed"].search(tail)) or (lines and _re["note_list"].search(tail)):
+        return True
+    return not (
+        _re["finished"].search(short)
+        or _re["note"].search(text[-WORDS:])
+        or ((":" in line or "：" in line) and _re["value"].search(tail))
+        or ((lines or _re["marked"].search(line)) and _re["lines"].search(tail))
+    )

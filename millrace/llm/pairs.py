@@ -76,11 +76,6 @@ _apology = regex.compile(APOLOGY, _FLAGS)
 _refusal = regex.compile(REFUSAL, _FLAGS)
 _reported = regex.compile(REPORTED, _FLAGS)
 _echo = regex.compile("|".join(normalise(x) if x.isalnum() else x.replace(" ?", "").replace(" ", "") for x in ECHO.split("|")), _FLAGS)
-_trailer = regex.compile(endings.TRAILER)
-_stops = frozenset(".!?。！？")
-_opener = regex.compile(r"[(\[{「『“]")
-_broken = regex.compile(endings.BROKEN)
-_finished = regex.compile(endings.FINISHED)
 _scripts = {
     "hangul": regex.compile(r"\p{Hangul}"),
     "latin": regex.compile(r"\p{Latin}"),
@@ -175,13 +170,6 @@ def other_language(question: str, body: str) -> bool:
     return 2 * n["latin"] < letters
 
 
-def is_truncated(text: str) -> bool:
-    if text[-1:] in _stops and not text[-2:-1].isdigit() and not _opener.search(text, text.rfind("\n") + 1):
-        return False
-    text = _trailer.sub("", text)[-endings.TAIL :]
-    return bool(text) and (bool(_broken.search(text)) or not _finished.search(text))
-
-
 def defects(question: str | None, answer: str | None) -> list[str]:
     """All defects of one answer, in the order of DEFECTS. Null texts count as empty."""
     question = unicodedata.normalize("NFC", question or "")
@@ -196,7 +184,7 @@ def defects(question: str | None, answer: str | None) -> list[str]:
         found.append("copy")
     if other_language(question, body):
         found.append("language")
-    if is_truncated(answer):
+    if endings.is_abrupt(answer):
         found.append("truncated")
     return found
 

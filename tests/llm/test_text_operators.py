@@ -171,7 +171,7 @@ def test_ends(spark):
     df = spark.createDataFrame([(t, True) for t in BROKEN] + [(t, False) for t in FINISHED], "t string, broken boolean")
     wrong = df.filter(endings.abrupt(endings.trimmed(F.col("t"))) != F.col("broken")).collect()
     assert not wrong
-    assert all(pairs.is_truncated(t) for t in BROKEN) and not any(pairs.is_truncated(t) for t in FINISHED)
+    assert all(endings.is_abrupt(t) for t in BROKEN) and not any(endings.is_abrupt(t) for t in FINISHED)
 
 
 Q = "지하 주차장에 물이 차오르면 차량 안의 사람은 무엇부터 해야 합니까?"
