@@ -92,14 +92,13 @@ def echo_model(prompts: Sequence[str]) -> list[str]:
     return [p.strip().splitlines()[-1] if p and p.strip() else "" for p in prompts]
 
 
-# The wording of the check on detected entities.
+#: One block per category, and the frame around them; both can be replaced.
 VERIFY_BLOCK = {
-    "names": "사람 이름만 고르세요.\n\n1차 탐지된 names: {found}",
-    "addresses": "주소만 고르세요.\n\n1차 탐지된 addresses: {found}",
-    "sensitive": "민감한 정보만 고르세요.",
+    "names": "다음 후보 가운데 실제 인명만 남기십시오. 후보: {found}",
+    "addresses": "다음 후보 가운데 실제 주소만 남기십시오. 후보: {found}",
+    "sensitive": "글에 드러난 민감한 개인 사항을 찾으십시오.",
 }
-VERIFY_FRAME = "{blocks}\n\n응답에는 JSON 키(names, addresses, sensitive)만 포함하세요.\n\n원본 텍스트:\n{text}\n### Response:\n"
-# End of the fixed values.
+VERIFY_FRAME = "{blocks}\n\nnames, addresses, sensitive 세 항목의 JSON으로만 답하고, 되풀이되는 값도 모두 적으십시오.\n\n<글>\n{text}\n</글>\n"
 
 
 def verification_prompt(text: Column, found: dict[str, Column], prompts: dict[str, str] | None = None) -> Column:

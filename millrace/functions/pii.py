@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .spans import SPAN, around, spans
 from .text import strip
 
-# Names and words by which addresses, carriers and banks are known.
+# Names, words and patterns by which addresses, parcel numbers and accounts are known.
 PROVINCES = (
     "서울특별시|서울|서울시|부산광역시|부산|대구광역시|대구|인천광역시|인천|광주광역시|광주|대전광역시|대전|울산광역시|울산|"
     "세종특별자치시|세종|경기도|경기|강원도|강원|충청북도|충북|충청남도|충남|전라북도|전북|전라남도|전남|경상북도|경북|경상남도|경남|"
@@ -28,8 +28,6 @@ TRACKING_WORDS = "운송장번호|운송장|송장번호"
 ACCOUNT_WORDS = r"(?:입금|환불)?\s*계좌|계좌번호"
 ORDER_WORDS = r"주문\s*번호\s*[:：]?\s*|미검수\s*번호\s*[:：]?\s*"
 NOT_ACCOUNT_WORDS = r"주문\s*번호[\s\-:：]*|운송장\s*번호\s*:?"
-# End of the fixed values.
-
 _DISTRICT = "[가-힣]+(?:시|군|구)"
 _TOWN = "[가-힣]+(?:읍|면|동)"
 _DETAIL = r"(?:\s*[가-힣0-9\s,\-()]+)?"
@@ -44,6 +42,7 @@ PARCEL = r"(?<!\d)(?:\d{4}(?:[-\s]?\d{4}){2}|(?i:[A-Z]{2}\d{9}[A-Z]{0,2})|\d{9,1
 AFTER_WORD = rf"(?i:{ACCOUNT_WORDS})[\s:]*[^\d]*(\d[\d\s-]{{8,24}}\d)(?![\d-])"
 AFTER_BANK = rf"(?i:(?:{BANKS})(?:\s*(?:은행|뱅크))?)\s*[^\d]*(\d[\d\s-]*\d)(?![\d-])"
 BARE_ACCOUNT = r"(?<!\d)\d{10,14}(?!\d)"
+# End of the fixed values.
 
 
 def addresses(text: Column) -> Column:

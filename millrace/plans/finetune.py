@@ -11,6 +11,7 @@ from .registry import Registry, read
 
 R = Registry()
 SYSTEM = "당신은 재난·안전 안내 도우미입니다."
+# The shares of the question types.
 WEIGHTS = {"수치법령형": 0.20, "절차형": 0.35, "안전판단형": 0.28, "복합추론형": 0.17}
 
 

@@ -12,7 +12,6 @@ from .registry import Registry, read, values
 
 R = Registry()
 METRICS = ["faithfulness", "answer_relevancy", "context_recall"]
-MODELS = ["exaone", "llama31", "qwen3", "solar_mini"]
 
 
 @R.query("select lower(regexp_extract(source_file, '\\.[^.]*$')) as ext, count(*) as n from kb_documents group by 1")

@@ -71,7 +71,7 @@ def test_adapters(spark):
     assert adapters.echo_model(["a\nb", ""]) == ["b", ""]
     found = spark.createDataFrame([("본문", ["홍길동"], ["x"])], "t string, n array<string>, a array<string>")
     prompt = found.select(adapters.verification_prompt(F.col("t"), {"names": F.col("n")}).alias("p")).first()["p"]
-    assert "홍길동" in prompt and "본문" in prompt and "addresses:" not in prompt
+    assert "홍길동" in prompt and "본문" in prompt and "주소만" not in prompt
     reply = spark.createDataFrame([("```json\n{'names': '홍길동, 김',}\n```",), ("oops",), ('{"names": ["a"]}',)], "r string")
     assert [r[0]["names"] for r in reply.select(adapters.verified(F.col("r"), ["names"])).collect()] == [["홍길동", "김"], [], ["a"]]
     tags = adapters.tagged(df, "t", lambda texts: [[(c, "O", 1.0) for c in t] for t in texts]).filter("id = 1").first()["tokens"]

@@ -15,16 +15,16 @@ from millrace.operators import chunking
 
 
 def fold(text, size, overlap, least, sep="\n\n"):
-    paras = [p.strip() for p in re.sub(r"\n{3,}", "\n\n", text.strip()).split(sep) if p.strip()]
-    out, cur = [], ""
-    for p in paras:
-        if len(cur) + len(p) + 1 <= size:
-            cur = (cur + "\n" + p).strip()
-        else:
-            if len(cur) >= least:
-                out.append(cur)
-            cur = ((cur[-overlap:] if len(cur) > overlap else cur) + "\n" + p).strip()
-    return out + [cur] if len(cur) >= least else out
+    """Every chunk that was ever closed, and the one left open, if long enough."""
+    parts = [p for p in (p.strip() for p in re.sub(r"\n{3,}", "\n\n", text.strip()).split(sep)) if p]
+    chunks, held = [], ""
+    while parts:
+        head, *parts = parts
+        if len(held) + 1 + len(head) > size:
+            chunks.append(held)
+            held = held[max(0, len(held) - overlap) :]
+        held = "\n".join((held, head)).strip()
+    return [c for c in (*chunks, held) if len(c) >= least]
 
 
 def test_fold(spark):
