@@ -114,12 +114,15 @@ def alike_links(texts: DataFrame, threshold: float = 0.5, hits: int = 6) -> Data
     frequency.unpersist()
     mixed = postings.groupBy("h").agg(F.min("hub").alias("least"), F.max("hub").alias("most")).filter("least <> most").select("h")
     live = postings.join(mixed, "h")
-    x, y = live.filter("small").alias("x"), live.alias("y")
+    # Both sides are the same rows in the same partitions, so that they are shuffled once:
+    # that x has its shorter beginning only is told beside y's size, where it stays in the join.
+    x, y = live.alias("x"), live.alias("y")
+    smaller = F.when(F.col("x.small"), F.col("x.size")) >= threshold * F.col("y.size")
     need = F.ceil(threshold / (1 + threshold) * (F.col("x.size") + F.col("y.size")) - 1e-9)
     meets = x.join(y, F.col("x.h") == F.col("y.h")).filter(
         (F.col("x.hub") != F.col("y.hub"))
         & ((F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.id") < F.col("y.id"))))
-        & (F.col("x.size") >= threshold * F.col("y.size"))
+        & smaller
         & (F.least("x.at", "y.at") + F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at")) >= need)
     )
     tally = meets.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.size").alias("sx"), F.col("y.size").alias("sy")).agg(F.count("*").alias("n"))
