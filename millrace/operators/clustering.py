@@ -8,16 +8,20 @@ from pyspark.sql import functions as F
 
 def nearest(point: Column, centres: list[list[float]]) -> Column:
     """Number of the nearest centre, of equally near ones the first."""
-    costs = F.array(*[
-        F.round(F.aggregate(F.zip_with(point, F.array(*[F.lit(float(x)) for x in c]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d), 9)
-        for c in centres
-    ])
+    rows = F.lit([[float(x) for x in c] for c in centres])
+
+    def cost(centre: Column) -> Column:
+        squares = F.zip_with(point, centre, lambda a, b: (a - b) * (a - b))
+        return F.round(F.aggregate(squares, F.lit(0.0), lambda s, d: s + d), 9)
+
+    costs = F.transform(rows, cost)
     return (F.array_position(costs, F.array_min(costs)) - 1).cast("int")
 
 
 def lloyd_step(df: DataFrame, vector: str, centres: list[list[float]]) -> DataFrame:
     """(cluster, pos, x, n): the means of the points nearest to each centre, by coordinate."""
-    assigned = df.select(nearest(F.col(vector), centres).alias("cluster"), F.posexplode(vector).alias("pos", "x"))
+    # The centre is found before the vector is taken apart, or it would be found for each part.
+    assigned = df.select(nearest(F.col(vector), centres).alias("cluster"), F.col(vector).alias("v")).select("cluster", F.posexplode("v").alias("pos", "x"))
     return assigned.groupBy("cluster", "pos").agg(F.avg("x").alias("x"), F.count("*").alias("n"))
 
 
