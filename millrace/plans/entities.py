@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ner, pii, spans
+from ..operators.layout import spread
 from ..operators.vocabulary import label_vocabulary
 from .registry import Registry, read, sql_strip, values
 
@@ -44,7 +45,7 @@ from (select doc_id, list_transform(regexp_extract_all(text, '{pii.ADDRESS}'), l
 """)
 def pii_addresses_documents(spark: SparkSession, d: str) -> DataFrame:
     a = pii.addresses(F.col("text"))
-    docs = read(spark, d, "documents").filter("text is not null")
+    docs = spread(read(spark, d, "documents")).filter("text is not null")
     return docs.select("doc_id", F.size(a).cast("bigint").alias("n"), F.array_join(a, "|").alias("addresses"))
 
 
@@ -57,7 +58,7 @@ def pii_context_accept(spark: SparkSession, d: str) -> DataFrame:
 @R.query()
 def pii_detect_results(spark: SparkSession, d: str) -> DataFrame:
     """Parcel and account numbers in every answer."""
-    df = read(spark, d, "experiment_results").select("result_id", "loaded_at", pii.detect_all(F.col("pred_answer")).alias("r"))
+    df = spread(read(spark, d, "experiment_results")).select("result_id", "loaded_at", pii.detect_all(F.col("pred_answer")).alias("r"))
     return df.select("result_id", "loaded_at", F.array_join("r.trackings", "|").alias("trackings"), F.array_join("r.accounts", "|").alias("accounts"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..operators import metrics as m
 from ..operators import ranking
+from ..operators.layout import spread
 from .registry import Registry, read, values
 
 R = Registry()
@@ -142,18 +143,18 @@ _KW = "list_transform(regexp_extract_all(coalesce(gold_answer, ''), '[가-힣]{2
 
 @R.query(f"select result_id, loaded_at, case when len(h) > 0 then round(list_sum(h) / len(h), 4) else 0.0 end as kw_recall from (select result_id, loaded_at, {_KW} as h from experiment_results)")
 def kw_recall(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "experiment_results").select("result_id", "loaded_at", t.keyword_recall(F.col("gold_answer"), F.col("pred_answer")).alias("kw_recall"))
+    return spread(read(spark, d, "experiment_results")).select("result_id", "loaded_at", t.keyword_recall(F.col("gold_answer"), F.col("pred_answer")).alias("kw_recall"))
 
 
 @R.query(f"select model, condition, round(avg(case when len(h) > 0 then round(list_sum(h) / len(h), 4) else 0.0 end), 4) as kw_recall from (select model, condition, {_KW} as h from experiment_results) group by 1, 2")
 def kw_recall_by_cell(spark: SparkSession, d: str) -> DataFrame:
-    scored = read(spark, d, "experiment_results").withColumn("kw_recall", t.keyword_recall(F.col("gold_answer"), F.col("pred_answer")))
+    scored = spread(read(spark, d, "experiment_results")).withColumn("kw_recall", t.keyword_recall(F.col("gold_answer"), F.col("pred_answer")))
     return m.group_means(scored, ["model", "condition"], ["kw_recall"])
 
 
 @R.query()
 def rouge_l(spark: SparkSession, d: str) -> DataFrame:
-    e = read(spark, d, "experiment_results")
+    e = spread(read(spark, d, "experiment_results"))
     return e.select("result_id", "loaded_at", m.rouge_l(F.col("pred_answer"), F.col("gold_answer")).alias("rouge_l"))
 
 
@@ -196,6 +197,6 @@ with w as (select result_id, loaded_at, {_W.format("pred_answer")} as a, {_W.for
 select result_id, loaded_at, {_share("a", "c")} as faithfulness_proxy, {_share("q", "a")} as answer_relevancy_proxy, {_share("g", "c")} as context_recall_proxy, {_share("c", "g")} as context_precision_proxy from w
 """)
 def judge_proxies(spark: SparkSession, d: str) -> DataFrame:
-    e = read(spark, d, "experiment_results")
+    e = spread(read(spark, d, "experiment_results"))
     scored = m.overlap_proxies(e, "pred_answer", "context", "question", "gold_answer", r"[가-힣]{2,}|[a-z]{2,}|\d+")
     return scored.select("result_id", "loaded_at", "faithfulness_proxy", "answer_relevancy_proxy", "context_recall_proxy", "context_precision_proxy")

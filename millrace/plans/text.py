@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import chunking
+from ..operators.layout import spread
 from .registry import Registry, read, sql_strip, values
 
 R = Registry()
@@ -45,7 +46,7 @@ select coalesce(d.lang, '') as lang, count(*) as n_chunks, count(distinct d.doc_
 from c join documents d on c.k = d.doc_id group by 1
 """)
 def chunk_stats_by_lang(spark: SparkSession, d: str) -> DataFrame:
-    docs = read(spark, d, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text")
+    docs = spread(read(spark, d, "documents")).select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text")
     chunks = chunking.chunk_rows(docs, ["doc_id", "lang"], "text", separator="\n")
     return chunks.groupBy("lang").agg(
         F.count("*").alias("n_chunks"), F.countDistinct("doc_id").alias("n_docs"), F.round(F.avg(F.length("chunk")), 4).alias("avg_len")
