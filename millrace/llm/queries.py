@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.layout import spread
 from . import contamination, leakage, neardup, packing, pairs, residue, sampling, splitting, truncation
 from .tables import latest, read
 
@@ -18,7 +19,7 @@ FIELDS = {"context": None, "pred_answer": "question"}
 def _items(spark: SparkSession, d: str) -> DataFrame:
     pages = read(spark, d, "kb_documents").select(F.lit("page_content").alias("item_kind"), F.col("page_id").alias("item_id"), F.col("page_content").alias("_t"))
     chunks = read(spark, d, "chunks").select(F.lit("chunk_text").alias("item_kind"), F.col("chunk_id").alias("item_id"), F.col("text").alias("_t"))
-    return pages.unionByName(chunks)
+    return spread(pages.unionByName(chunks))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -76,7 +77,7 @@ def p3_rates(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_defects(spark: SparkSession, d: str) -> DataFrame:
     """Every defect of every answer, numbered in the order of the rules."""
-    return pairs.defective_pairs(read(spark, d, "experiment_results"), "result_id", "question", ANSWERS, "loaded_at")
+    return pairs.defective_pairs(spread(read(spark, d, "experiment_results")), "result_id", "question", ANSWERS, "loaded_at")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -103,7 +104,7 @@ def p6_rates(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_assignment(spark: SparkSession, d: str) -> DataFrame:
     """The container of every document, or of every part of a document above the capacity."""
-    counts = packing.token_counts(read(spark, d, "documents"), "doc_id", "text", f"{packing.TOKENIZERS}/{packing.VOCABULARY}")
+    counts = packing.token_counts(spread(read(spark, d, "documents")), "doc_id", "text", f"{packing.TOKENIZERS}/{packing.VOCABULARY}")
     return packing.packed(counts, "k", "n_tokens").withColumnRenamed("k", "doc_id")
 
 
@@ -114,7 +115,7 @@ def p7_space(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_spans(spark: SparkSession, d: str) -> DataFrame:
     """The longest shared run of every leaked passage in every document, by its place there."""
-    return leakage.leaks(read(spark, d, "documents"), read(spark, d, "eval_passages"), "doc_id", "text", "passage_id", "text", 40)
+    return leakage.leaks(spread(read(spark, d, "documents")), read(spark, d, "eval_passages"), "doc_id", "text", "passage_id", "text", 40)
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -123,12 +124,12 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_kinds(spark: SparkSession, d: str) -> DataFrame:
     """Documents that are or hold residue, with each kind of evidence."""
-    found = residue.residue_documents(read(spark, d, "documents"), "doc_id", "source", "text")
+    found = residue.residue_documents(spread(read(spark, d, "documents")), "doc_id", "source", "text")
     return found.select("doc_id", F.explode("kinds").alias("kind"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return residue.residue_documents(read(spark, d, "documents"), "doc_id", "source", "text").select("doc_id")
+    return residue.residue_documents(spread(read(spark, d, "documents")), "doc_id", "source", "text").select("doc_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
