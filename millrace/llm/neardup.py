@@ -114,8 +114,8 @@ def alike_links(texts: DataFrame, threshold: float = 0.5, hits: int = 6) -> Data
     frequency.unpersist()
     mixed = postings.groupBy("h").agg(F.min("hub").alias("least"), F.max("hub").alias("most")).filter("least <> most").select("h")
     live = postings.join(mixed, "h")
-    # Both sides are the same rows in the same partitions, so that they are shuffled once:
-    # that x has its shorter beginning only is told beside y's size, where it stays in the join.
+    # Both sides are the same rows, so that Spark may reuse their exchange: that x has its
+    # shorter beginning only is told beside y's size, where it stays in the join.
     x, y = live.alias("x"), live.alias("y")
     smaller = F.when(F.col("x.small"), F.col("x.size")) >= threshold * F.col("y.size")
     need = F.ceil(threshold / (1 + threshold) * (F.col("x.size") + F.col("y.size")) - 1e-9)
