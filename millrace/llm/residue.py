@@ -1,10 +1,11 @@
 """Template residue and error-page text.
 
-Lines are counted by host; a line that recurs in a good share of a host's documents
-is boilerplate and is subtracted. A document is residue if what is left shows an
-unfilled placeholder, filler, an unfinished-work mark, an error page, a notice that
-scripts or cookies are required, or another notice in place of content. A document
-that consists of boilerplate alone is judged as a whole.
+Lines are counted by host; a line that most of a host's documents carry is boilerplate
+and is subtracted. A document is residue if what is left shows an unfilled placeholder,
+filler, an unfinished-work mark, an error page, a notice that scripts or cookies are
+required, or another notice in place of content. The first four are no part of a site's
+furniture and count in boilerplate too. A document that consists of boilerplate alone is
+judged as a whole.
 """
 
 from __future__ import annotations
@@ -127,6 +128,8 @@ KINDS = {
     "script_required": SCRIPT,
     "notice": NOTICE,
 }
+#: Kinds that are evidence however many of a host's documents carry them.
+ALWAYS = ("placeholder", "filler", "unfinished", "error_page")
 
 
 def _kinds(low: Column) -> Column:
@@ -179,17 +182,22 @@ def _line(text: Column) -> Column:
     return F.explode(F.array_distinct(F.transform(F.split(F.lower(text), r"\R"), lambda x: F.regexp_replace(x, r"[\s\d]+", " "))))
 
 
-def boilerplate(docs: DataFrame, host: str, text: str, least_docs: int = 10, least_share: float = 0.02) -> DataFrame:
-    """(host, line hash) of the normalised lines that recur in a host's documents."""
+def boilerplate(docs: DataFrame, host: str, text: str, least_docs: int = 1, least_share: float = 0.5) -> DataFrame:
+    """(host, line hash) of the normalised lines in more than a share of a host's documents.
+
+    The share alone decides, so that equal proportions give equal results at any size; a
+    caller may ask for a number of documents besides.
+    """
     filled = docs.filter(F.col(text).isNotNull()).select(F.coalesce(F.col(host), F.lit("")).alias("host"), F.col(text).alias("t"))
     total = filled.groupBy("host").agg(F.count("*").alias("n_docs"))
     lines = filled.select("host", _line(F.col("t")).alias("line")).select("host", F.xxhash64("line").alias("line"))
     often = lines.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") >= least_docs)
-    return often.join(total, "host").filter(F.col("n") >= least_share * F.col("n_docs")).select("host", "line")
+    return often.join(total, "host").filter(F.col("n") > least_share * F.col("n_docs")).select("host", "line")
 
 
-def residue_documents(docs: DataFrame, key: str, host: str, text: str, least_docs: int = 10, least_share: float = 0.02) -> DataFrame:
-    """(key, kinds): documents whose text, less their host's boilerplate, shows residue.
+def residue_documents(docs: DataFrame, key: str, host: str, text: str, least_docs: int = 1, least_share: float = 0.5) -> DataFrame:
+    """(key, kinds): documents whose text, less their host's boilerplate, shows residue, or
+    whose boilerplate shows residue of the kinds in ALWAYS.
 
     Null and empty texts show none. A null host is a host of its own. Repeated texts are
     judged each; a key that comes more than once comes out once. Other columns are ignored.
@@ -210,6 +218,7 @@ def residue_documents(docs: DataFrame, key: str, host: str, text: str, least_doc
                 F.transform(F.sort_array(F.collect_list(F.when(F.col("_common").isNull(), F.struct("_p", "_l")))), lambda x: x["_l"]), "\n"
             ).alias("_rest"),
         )
-        .withColumn("kinds", F.when(F.col("_rest").rlike(r"[\p{L}\p{N}]"), evidence(F.col("_rest"))).otherwise(F.col("_seen")))
+        .withColumn("_sure", F.filter("_seen", lambda k: k.isin(*ALWAYS)))
+        .withColumn("kinds", F.when(F.col("_rest").rlike(r"[\p{L}\p{N}]"), F.concat("_sure", evidence(F.col("_rest")))).otherwise(F.col("_seen")))
     )
     return left.filter("size(kinds) > 0").groupBy(F.col("_k").alias(key)).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("kinds")))).alias("kinds"))

@@ -160,6 +160,25 @@ def test_recurrent_lines_are_no_evidence(spark):
     assert found == {100, 101}
 
 
+def test_recurrence_does_not_hide_residue(spark):
+    field, script, footer = "문의: {{department}}", "Please enable JavaScript to view this page.", "로그인 후 이용"
+    rows = []
+    for host, n in (("small", 10), ("large", 200)):
+        # A tenth each with a placeholder, a script notice and both; nine tenths of another host with a placeholder.
+        for i in range(n):
+            kind = i * 10 // n
+            extra = {0: [field], 1: [script], 2: [field, script]}.get(kind, [])
+            rows.append((host, kind, "\n".join([f"본문 {chr(44032 + i)} 내용이 있습니다.", *extra, footer])))
+            rows.append((f"{host} form", kind, "\n".join([f"본문 {chr(44032 + i)} 내용이 있습니다.", footer, *([field] if kind else [])])))
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, source string, kind int, text string")
+    found = residue.residue_documents(df, "doc_id", "source", "text").join(df, "doc_id").collect()
+    for host, n in (("small", 10), ("large", 200)):
+        kinds = [(r["kind"], tuple(r["kinds"])) for r in found if r["source"] == host]
+        assert sorted(kinds) == sorted([(0, ("placeholder",)), (1, ("script_required",)), (2, ("placeholder", "script_required"))] * (n // 10))
+        kinds = [(r["kind"], tuple(r["kinds"])) for r in found if r["source"] == f"{host} form"]
+        assert sorted(kinds) == sorted([(k, ("placeholder",)) for k in range(1, 10)] * (n // 10))
+
+
 FINISHED = [
     "물을 끄고 대피합니다.", "가스를 잠그세요", "손전등을 챙길 것", "1) 문을 닫음\n2) 불을 끔", "최대 기준: 14.5m", "안내문에는 \"잠그세요\"라고 적혀 있습니다. 🙏",
     "준비물\n- 담요\n- 손전등", "끝났습니다. (근거: AB-12)", "문을 닫아 주시기 바람", "Leave by the gate.", "請打開窗戶。", "**안내**",
