@@ -2,10 +2,10 @@
 
 Word trigrams are counted inside texts and at their ends, in SQL alone. A word
 counts by its ending (its last two characters, digits as 0), since names differ
-from text to text while endings carry the grammar. A text is cut where its final
-trigram stands inside texts but almost never at an end, or, where the cut goes
-through a word, was never seen inside at all. The rules of ``endings`` decide
-first which texts end without a finished sentence, list, note or quotation.
+from text to text while endings carry the grammar. The rules of ``endings`` decide which
+texts end without a finished sentence, list, note or quotation; the counts only take back
+those whose final trigram is an ordinary end of finished texts. A final trigram need not
+have been seen inside, as that of more than half of the open texts was not.
 """
 
 from __future__ import annotations
