@@ -95,6 +95,11 @@ def alike_links(texts: DataFrame, threshold: float = 0.5, hits: int = 6) -> Data
     ``threshold`` of all pieces of both. Pairs within a hub's class are not listed, so a
     class of nearly equal texts costs rows in proportion to its size.
     """
+    return _hubs_and_links(texts, threshold, hits)[1]
+
+
+def _hubs_and_links(texts: DataFrame, threshold: float, hits: int) -> tuple[DataFrame, DataFrame]:
+    """The texts with their hubs, and the links of alike_links."""
     spark = texts.sparkSession
 
     def bands(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -129,11 +134,27 @@ def alike_links(texts: DataFrame, threshold: float = 0.5, hits: int = 6) -> Data
     # Both beginnings leave out at most size - need + hits pieces less than would lose hits.
     least = F.least(F.lit(hits), F.ceil(threshold / (1 + threshold) * (F.col("sx") + F.col("sy")) - 1e-9))
     crossing = _verified(tally.filter(F.col("n") >= least).select("a", "b"), texts, threshold)
-    return kept(stars.union(crossing).distinct())
+    return classed, kept(stars.union(crossing).distinct())
+
+
+def _degrees(texts: DataFrame, classed: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
+    """(id, n_links): how many other texts each is alike to.
+
+    The links have every pair across hubs; those within a hub's class are listed here, which
+    is quadratic in the class.
+    """
+    x, y = classed.select(F.col("id").alias("a"), "hub"), classed.select(F.col("id").alias("b"), "hub")
+    within = _verified(x.join(y, "hub").filter("a < b").select("a", "b"), texts, threshold)
+    every = within.union(links.select(F.least("a", "b"), F.greatest("a", "b"))).distinct()
+    return every.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
 
 
-def near_duplicate_groups(records: DataFrame, key: str, parts: list[str], order: str | None = None, threshold: float = 0.5, hits: int = 6) -> DataFrame:
-    """(key, class_id, n_links): the class of every record and the links of its text.
+def near_duplicate_groups(
+    records: DataFrame, key: str, parts: list[str], order: str | None = None, threshold: float = 0.5, hits: int = 6, count_links: bool = True
+) -> DataFrame:
+    """(key, class_id, n_links): the class of every record and the number of other texts
+    that its text is alike to; without ``n_links`` if they are not to be counted, which
+    spares listing the pairs of a class.
 
     The text of a record is its parts with one space between, null parts empty. Rows that
     share a key count once, by the greatest ``order``. Records with equal normal forms are
@@ -152,14 +173,16 @@ def near_duplicate_groups(records: DataFrame, key: str, parts: list[str], order:
     texts = kept(
         keyed.groupBy("_h").agg(F.min("norm").alias("norm"), F.count("*").alias("copies")).withColumn("id", F.monotonically_increasing_id())
     )
-    links = alike_links(texts.filter("length(norm) >= 5").select("id", "norm"), threshold, hits)
+    long = texts.filter("length(norm) >= 5").select("id", "norm")
+    classed, links = _hubs_and_links(long, threshold, hits)
     grouped = components(links).withColumnRenamed("node", "id")
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
-    classes = texts.select("_h", "id").join(grouped, "id", "left").join(degree, "id", "left")
+    classes = texts.select("_h", "id").join(grouped, "id", "left")
+    if count_links:
+        classes = classes.join(_degrees(long, classed, links, threshold), "id", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("bigint"))
     return keyed.select("key", "_h", F.length("norm").alias("_n")).join(classes, "_h").select(
         F.col("key").alias(key),
         F.when(F.col("_n") > 0, F.coalesce("component", "id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
+        *(["n_links"] if count_links else []),
     )
 
 

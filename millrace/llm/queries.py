@@ -85,12 +85,13 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_classes(spark: SparkSession, d: str) -> DataFrame:
-    """Every record with its class and the number of links of its text."""
+    """Every record with its class and the number of other texts that its text is alike to."""
     return neardup.near_duplicate_groups(_qa(spark, d), "id", ["question", "gold_answer"], "loaded_at", 0.5)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return neardup.grouped_pairs(p5_classes(spark, d), "id")
+    groups = neardup.near_duplicate_groups(_qa(spark, d), "id", ["question", "gold_answer"], "loaded_at", 0.5, count_links=False)
+    return neardup.grouped_pairs(groups, "id")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

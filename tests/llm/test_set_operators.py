@@ -163,6 +163,22 @@ def test_near_duplicates_equal_brute_force(spark, threshold, hits):
     assert pairs_found == {(a, b) for v in out.values() for a in v for b in v if a < b}
 
 
+def test_links_equal_brute_force(spark):
+    rng = random.Random(12)
+    base = _texts(rng, 12)
+    texts = {f"k{i}": t for i, t in enumerate(base)}
+    texts |= {f"e{i}": _edited(rng, rng.choice(base), rng.randint(1, 14)) for i in range(40)}
+    texts |= {f"h{i}": base[1] + chr(44032 + i) * 2 for i in range(30)}
+    texts |= {"copy": base[1].upper() + " !", "short": "ab", "none": ""}
+    sets = {normalise(t): pieces(normalise(t)) for t in texts.values()}
+    links = Counter(a for a, p in sets.items() for b, q in sets.items() if a != b and p & q and len(p & q) >= 0.5 * len(p | q))
+    df = spark.createDataFrame(list(texts.items()), "id string, q string")
+    for parts in (1, 7):
+        got = neardup.near_duplicate_groups(df.repartition(parts), "id", ["q"])
+        assert {r["id"]: r["n_links"] for r in got.collect()} == {k: links[normalise(t)] for k, t in texts.items()}
+    assert neardup.near_duplicate_groups(df, "id", ["q"], count_links=False).columns == ["id", "class_id"]
+
+
 def test_near_duplicates_of_nothing(spark):
     df = spark.createDataFrame([], "id string, q string")
     assert neardup.near_duplicate_groups(df, "id", ["q"]).count() == 0
