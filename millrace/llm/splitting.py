@@ -81,12 +81,9 @@ def split_item(
         least = start + overlap + 1 if sums is None else int(np.searchsorted(sums, sums[start] + overlap, side="right"))
         least = max(least, out[-1][2] + 1 if out else 0)
         floor = least + max(0, last - least) // 2
-        stop = last
-        for ends in levels:
-            k = bisect_right(ends, last)
-            if k > bisect_left(ends, floor):
-                stop = ends[k - 1]
-                break
+        # Where there is no end in the upper half of the room, one in the lower half is better than none.
+        found = (ends[k - 1] for low in (floor, least) for ends in levels if (k := bisect_right(ends, last)) > bisect_left(ends, low))
+        stop = next(found, last)
         out.append((len(out), start, stop, text[start:stop]))
         start = max(back(stop), out[-1][1] + 1)
 

@@ -51,6 +51,14 @@ def test_pieces_end_at_boundaries():
     assert splitting.split_item("낱말 " * 200, 400, 80)[0][3].endswith(" ")
 
 
+def test_pieces_end_at_early_boundaries():
+    for end in ("\n\n", "\n", ". ", " "):
+        cut = splitting.split_item("가" * 150 + end + "x" * 600, 400, 80)
+        assert cut[0][1:3] == (0, 150 + len(end)) and all(len(p) <= 400 for *_, p in cut)
+        assert all(b[1] == a[2] - 80 for a, b in zip(cut, cut[1:], strict=False))
+    assert splitting.split_item("가" * 60 + " " + "x" * 600, 400, 80)[0][2] == 400
+
+
 def test_pieces_by_other_sizes():
     import numpy as np
 
