@@ -4,7 +4,7 @@ An item's boundaries (paragraph, line, sentence and word ends, in this order of
 preference) lie in sorted arrays over its units. Prefix sums of the units' sizes turn
 the size limit into a position; a binary search finds the last boundary under it, the
 next piece begins the overlap earlier, and without a boundary the cut is hard. Units are
-code points by default; with a tokenizer they are its tokens.
+code points by default; ``sizes`` gives other units, as those of a tokenizer, by code point.
 """
 
 from __future__ import annotations
@@ -39,8 +39,11 @@ PIECES = T.ArrayType(
 )
 
 
+Sizes = Callable[[str], np.ndarray]
+
+
 def split_item(
-    text: str | None, limit: int = 400, overlap: int = 80, sizes: Callable[[str], np.ndarray] | None = None
+    text: str | None, limit: int = 400, overlap: int = 80, sizes: Sizes | None = None
 ) -> list[tuple[int, int, int, str]]:
     """(piece_no, start, stop, text) of the pieces; one piece if the item is small enough.
 
@@ -88,22 +91,22 @@ def split_item(
         start = max(back(stop), out[-1][1] + 1)
 
 
-def pieces_of(text: Column, limit: int = 400, overlap: int = 80) -> Column:
-    """Array of the pieces of a text, one Arrow batch at a time."""
+def pieces_of(text: Column, limit: int = 400, overlap: int = 80, sizes: Sizes | None = None) -> Column:
+    """Array of the pieces of a text, one Arrow batch at a time. ``sizes`` runs on the executors."""
 
     @F.pandas_udf(PIECES)
     def split(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
-            yield pd.Series([split_item(t, limit, overlap) for t in part], dtype=object)
+            yield pd.Series([split_item(t, limit, overlap, sizes) for t in part], dtype=object)
 
     return split(text)
 
 
-def split_items(df: DataFrame, keys: list[str], text: str, limit: int = 400, overlap: int = 80) -> DataFrame:
+def split_items(df: DataFrame, keys: list[str], text: str, limit: int = 400, overlap: int = 80, sizes: Sizes | None = None) -> DataFrame:
     """One row (keys, piece_no, start, stop, text, n_pieces) per piece of each distinct item.
 
     Rows with equal keys and text count once. Null and blank items have no pieces.
     """
     items = df.select(*keys, F.col(text).alias("_x")).filter(F.length("_x") > 0)
-    cut = items.withColumn("_p", pieces_of(F.col("_x"), limit, overlap)).drop("_x").distinct()
+    cut = items.withColumn("_p", pieces_of(F.col("_x"), limit, overlap, sizes)).drop("_x").distinct()
     return cut.select(*keys, F.size("_p").alias("n_pieces"), F.inline("_p"))

@@ -69,6 +69,17 @@ def test_pieces_by_other_sizes():
         splitting.split_item("abc" * 500, 10, 10)
 
 
+def test_split_items_by_other_sizes(spark):
+    import numpy as np
+
+    width = lambda t: np.array([len(c.encode()) for c in t])
+    texts = ["가나다 라마바 " * 20, "abc def " * 20, "짧다", "가a" * 60]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = sorted((r["k"], r["piece_no"], r["start"], r["stop"], r["text"]) for r in splitting.split_items(df, ["k"], "t", 40, 8, width).collect())
+    assert got == [(k, *p) for k, t in enumerate(texts) for p in splitting.split_item(t, 40, 8, width)]
+    assert all(len(p.encode()) <= 40 for *_, p in got) and len({k for k, n, *_ in got if n > 0}) == 3
+
+
 def test_split_items_edges(spark):
     long = "문장입니다. " * 5000
     df = spark.createDataFrame(
