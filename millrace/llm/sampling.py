@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .storage import kept
+
 ANY = "*"
 
 
@@ -100,8 +102,8 @@ def _priority(column: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), column.cast("string")))
 
 
-def least_hashes(df: DataFrame, groups: list[str], limit: str) -> DataFrame:
-    """The rows of each group with the ``limit`` least (h, key).
+def least_hashes(df: DataFrame, groups: list[str], limit: str, rank_as: str | None = None) -> DataFrame:
+    """The rows of each group with the ``limit`` least (h, key), with their ranks if named.
 
     Hashes fall into 4,096 ranges. Counts by range, which merge like the reservoirs they
     describe, tell how many rows lie in lower ranges, so that ranks are needed within one
@@ -113,13 +115,14 @@ def least_hashes(df: DataFrame, groups: list[str], limit: str) -> DataFrame:
     on = [F.col("l." + c).eqNullSafe(F.col("r." + c)) for c in [*groups, "_range"]]
     near = ranged.alias("l").join(counts.alias("r"), on).select("l.*", "_below").filter(F.col("_below") < F.col(limit))
     rank = Window.partitionBy(*groups, "_range").orderBy("h", "key")
-    return near.withColumn("_rank", F.col("_below") + F.row_number().over(rank)).filter(F.col("_rank") <= F.col(limit)).drop("_range", "_below", "_rank")
+    ranked = near.withColumn("_rank", F.col("_below") + F.row_number().over(rank)).filter(F.col("_rank") <= F.col(limit)).drop("_range", "_below")
+    return ranked.withColumnRenamed("_rank", rank_as) if rank_as else ranked.drop("_rank")
 
 
-def reservoirs(records: DataFrame, largest: int, n: int, seed: int) -> DataFrame:
+def reservoirs(records: DataFrame, largest: int, n: int, seed: int, rank_as: str | None = None) -> DataFrame:
     """The ``largest`` records of each cell with the least hashes."""
     hashed = records.withColumn("h", _priority(F.col("key"), seed)).withColumn("_most", F.lit(largest))
-    return least_hashes(hashed, [f"l{i}" for i in range(n)], "_most").drop("_most")
+    return least_hashes(hashed, [f"l{i}" for i in range(n)], "_most", rank_as).drop("_most")
 
 
 def quotas(there: DataFrame) -> DataFrame:
@@ -152,26 +155,109 @@ def quotas(there: DataFrame) -> DataFrame:
     return q.withColumn("quota", (F.col("quota") + one).cast("bigint"))
 
 
+def allotted(plan: pd.DataFrame, groups: list[str]) -> pd.DataFrame:
+    """How many records of each cell go to each category of one plan with overlapping categories.
+
+    Takes (plan, g*, cell, there, floor, quota, size, share), one row per category and cell
+    that it covers; gives (plan, g*, cell, start, n): the category gets n records of the
+    cell after the first start. Minimums are served first, then quotas, then what is left
+    of the sample; a category that finds its cells taken has them handed over along a path
+    of categories that can do with others, so that no place stays empty that could be filled.
+    """
+    rows = plan.sort_values([*groups, "cell"], na_position="first").drop_duplicates([*groups, "cell"])
+    covers: dict[tuple, list[str]] = {}
+    for *g, cell in rows[[*groups, "cell"]].itertuples(index=False):
+        covers.setdefault(tuple(g), []).append(cell)
+    known = {tuple(r[g] for g in groups): r for r in rows.to_dict("records")}
+    spare = dict(zip(rows["cell"], rows["there"], strict=True))
+    given = {(c, cell): 0 for c, cells in covers.items() for cell in cells}
+
+    def handed_over(c: tuple, want: int) -> int:
+        """Up to want more records for c by the shortest path to a cell with spare ones."""
+        came: dict[tuple, tuple | None] = {c: None}
+        queue = [c]
+        for at in queue:
+            for cell in covers[at]:
+                if spare[cell] > 0:
+                    steps, node, n = [(at, cell)], at, min(want, spare[cell])
+                    while came[node] is not None:
+                        before, through = came[node]
+                        n = min(n, given[node, through])
+                        steps.append((before, through))
+                        node = before
+                    spare[cell] -= n
+                    for (to, x), (before, through) in zip(steps, steps[1:]):  # noqa: B905
+                        given[to, x] += n
+                        given[to, through] -= n
+                    given[steps[-1]] += n
+                    return n
+                for other in covers:
+                    if other not in came and given.get((other, cell), 0) > 0:
+                        came[other] = (at, cell)
+                        queue.append(other)
+        return 0
+
+    def give(c: tuple, want: int) -> int:
+        room, left = sum(spare[x] for x in covers[c]), want
+        for cell in covers[c] if room else []:
+            n = min(left, spare[cell] * min(want, room) // room)
+            spare[cell] -= n
+            given[c, cell] += n
+            left -= n
+        while left > 0 and (n := handed_over(c, left)):
+            left -= n
+        return want - left
+
+    got = dict.fromkeys(covers, 0)
+    for most in ("floor", "quota"):
+        for c in covers:
+            got[c] += give(c, max(0, min(int(known[c][most]), int(known[c]["quota"])) - got[c]))
+    left, open_ones = int(rows["size"].iloc[0]) - sum(got.values()), list(covers)
+    while left > 0 and open_ones:
+        weight = sum(known[c]["share"] + 1e-9 for c in open_ones)
+        parts = {c: max(1, int(left * (known[c]["share"] + 1e-9) / weight)) for c in open_ones}
+        for c, part in parts.items():
+            n = give(c, min(part, left))
+            left -= n
+            if n < part and left > 0:
+                open_ones.remove(c)
+    out, start = [], dict.fromkeys(spare, 0)
+    for (c, cell), n in given.items():
+        if n:
+            out.append((rows["plan"].iloc[0], *c, cell, start[cell], n))
+            start[cell] += n
+    return pd.DataFrame(out, columns=["plan", *groups, "cell", "start", "n"])
+
+
 def matched_sample(
     records: DataFrame, plans: DataFrame, key: str, labels: list[str], order: str, plan: str, share: str, least: str, size: str, seed: int = 42
 ) -> DataFrame:
     """(plan, labels of the category, key): the sampled records of every plan.
 
-    A record is drawn at most once in a plan even where its categories overlap. The draw
-    depends on keys and seed alone, not on partitions.
+    A record is drawn at most once in a plan even where its categories overlap; then the
+    records of each cell are dealt out among the categories that cover it. The draw depends on
+    keys and seed alone, not on partitions.
     """
     n = len(labels)
     latest = labelled(records, key, labels, order)
     targets = _targets(plans, plan, labels, share, least, size).distinct()
-    cells = latest.groupBy(*[f"l{i}" for i in range(n)]).agg(F.count("*").alias("there"))
+    cell = F.to_json(F.array(*[f"l{i}" for i in range(n)])).alias("cell")
+    cells = latest.groupBy(*[f"l{i}" for i in range(n)]).agg(F.count("*").alias("there")).select("*", cell)
     groups = [f"g{i}" for i in range(n)]
-    counted = _covered(targets, cells, n).groupBy("plan", *groups, "want", "floor", "size", "share").agg(F.sum("there").cast("bigint").alias("there"))
-    wanted = quotas(counted).select("plan", *groups, "quota")
-    largest = plans.agg(F.max(F.col(size))).first()[0] or 0
-    kept = reservoirs(latest, int(largest), n, seed)
-    drawn = _covered(targets.withColumn("want", F.lit(0)), kept, n).join(wanted, ["plan", *groups])
-    once = Window.partitionBy("plan", "key").orderBy(*groups)
-    drawn = drawn.withColumn("_o", F.row_number().over(once)).filter("_o = 1").drop("_o")
-    return least_hashes(drawn, ["plan", *groups], "quota").select(
+    covered = kept(_covered(targets, cells, n))
+    counted = covered.groupBy("plan", *groups, "want", "floor", "size", "share").agg(F.sum("there").cast("bigint").alias("there"))
+    wanted = kept(quotas(counted).select("plan", *groups, "quota"))
+    largest = int(plans.agg(F.max(F.col(size))).first()[0] or 0)
+    lowest = reservoirs(latest, largest, n, seed, "place").select("*", cell)
+    drawn = _covered(targets.withColumn("want", F.lit(0)), lowest, n).join(wanted, ["plan", *groups])
+
+    overlapping = covered.groupBy("plan", "cell").count().filter("count > 1").select("plan").distinct()
+    dealt = covered.withColumn("there", F.least("there", F.lit(largest))).join(overlapping, "plan", "left_semi").join(wanted, ["plan", *groups])
+    types = {f.name: f.dataType.simpleString() for f in covered.schema}
+    schema = ", ".join(f"{c} {types[c]}" for c in ["plan", *groups, "cell"]) + ", start long, n long"
+    shares = dealt.groupBy("plan").applyInPandas(lambda p: allotted(p, groups), schema)
+    parted = least_hashes(drawn.join(overlapping, "plan", "left_anti"), ["plan", *groups], "quota")
+    shared = drawn.join(shares, ["plan", *groups, "cell"]).filter("place > start and place <= start + n")
+    return parted.select("plan", *groups, "key").union(shared.select("plan", *groups, "key").distinct()).select(
         F.col("plan").alias(plan), *[F.col(g).alias(x) for g, x in zip(groups, labels, strict=True)], F.col("key").alias(key)
     )

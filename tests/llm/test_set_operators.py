@@ -73,6 +73,23 @@ def test_matched_sample(spark):
     assert sampling.matched_sample(df.limit(0), plans, **PLAN).count() == 0
 
 
+def test_overlapping_categories_fill_the_sample(spark):
+    rows = [(f"Q{i}", a, b, 1) for i, (a, b) in enumerate([("x", "A")] * 40 + [("x", "B")] * 10 + [("y", "A")] * 10 + [(None, "A")] * 5)]
+    df = spark.createDataFrame(rows, "id string, a string, b string, t int")
+    plan_rows = [
+        (1, "*", "A", 0.5, 0, 50), (1, "x", "*", 0.5, 0, 50), (2, "*", "*", 0.2, 0, 50), (2, "y", "*", 0.2, 10, 50), (2, "x", "B", 0.6, 0, 50), (3, "x", "*", 0.5, 0, 40), (3, "y", "*", 0.5, 0, 40),
+    ]
+    plans = spark.createDataFrame(plan_rows, "plan_id long, a string, b string, share double, least long, size long")
+    got = sorted(tuple(r) for r in sampling.matched_sample(df, plans, **PLAN).collect())
+    assert got == sorted(tuple(r) for r in sampling.matched_sample(df.repartition(7), plans, **PLAN).collect())
+    have = {i: (a, b) for i, a, b, _ in rows}
+    assert all(a in ("*", have[i][0]) and b in ("*", have[i][1]) for _, a, b, i in got)
+    assert len({(p, i) for p, _, _, i in got}) == len(got)
+    n = Counter((p, a, b) for p, a, b, _ in got)
+    assert (n[1, "*", "A"], n[1, "x", "*"]) == (25, 25) and sum(k for (p, *_), k in n.items() if p == 2) == 50
+    assert (n[2, "y", "*"], n[2, "x", "B"], n[2, "*", "*"]) == (10, 10, 30) and (n[3, "x", "*"], n[3, "y", "*"]) == (30, 10)
+
+
 def test_least_hashes_are_a_reservoir(spark):
     rows = [(g, f"{random.Random(i).getrandbits(64):016x}", i) for i in range(3000) for g in ("x", None)]
     df = spark.createDataFrame(rows, "g string, h string, key long").withColumn("n", F.lit(57))
