@@ -237,6 +237,8 @@ def components(px: DataFrame, size: tuple[int, int] = (8, 8), most_rounds: int =
         now = jumped.select(*KEYS, "v")
         if not changed:
             break
+    else:
+        raise RuntimeError("components did not settle")
     return now.withColumnRenamed("v", "label")
 
 

@@ -218,3 +218,10 @@ def test_clusters(spark):
     df = spark.createDataFrame([(i, [float(i % 2) * 10 + i / 100, 0.0]) for i in range(20)], "id int, v array<double>")
     rows = clustering.kmeans(df, "id", "v", 2).collect()
     assert len({r["cluster"] for r in rows if r["id"] % 2}) == 1 and len({r["cluster"] for r in rows}) == 2
+
+
+def test_components_that_do_not_settle_raise(spark):
+    px = spark.createDataFrame([(1, 0, x, 1) for x in range(8)], "image long, y int, x int, v int")
+    with pytest.raises(RuntimeError, match="settle"):
+        pixels.components(px, most_rounds=1)
+    assert {r["label"] for r in pixels.components(px).collect()} == {0}
