@@ -90,6 +90,52 @@ def test_overlapping_categories_fill_the_sample(spark):
     assert (n[2, "y", "*"], n[2, "x", "B"], n[2, "*", "*"]) == (10, 10, 30) and (n[3, "x", "*"], n[3, "y", "*"]) == (30, 10)
 
 
+def test_surplus_of_one_category_serves_another(spark):
+    rows = [(f"Q{i}", "A", "x", 1) for i in range(60)]
+    df = spark.createDataFrame(rows, "id string, a string, b string, t int")
+    plans = spark.createDataFrame([(1, "A", "*", 0.8, 0, 50), (1, "*", "x", 0.2, 0, 50)], "plan_id long, a string, b string, share double, least long, size long")
+    n = Counter((a, b) for _, a, b, _ in sampling.matched_sample(df, plans, **PLAN).collect())
+    assert n == {("A", "*"): 40, ("*", "x"): 10}
+    report = sampling.shortfalls(df, plans, **PLAN).collect()
+    assert {(r["a"], r["n_wanted"], r["n_drawn"], r["cause"]) for r in report} == {("A", 40, 40, None), ("*", 10, 10, None)}
+
+
+def test_sample_is_filled_while_records_last(spark):
+    rows = [(f"{c}-{i}", f"c{c}", "x", 1) for c in range(12) for i in range(5 << c)]
+    df = spark.createDataFrame(rows, "id string, a string, b string, t int")
+    plans = [(1, f"c{c}", "*", 1 / 12, 0, 10000) for c in range(12)]
+    plans = spark.createDataFrame(plans, "plan_id long, a string, b string, share double, least long, size long")
+    n = Counter(a for _, a, _, _ in sampling.matched_sample(df, plans, **PLAN).collect())
+    assert sum(n.values()) == 10000 and all(n[f"c{c}"] == 5 << c for c in range(8))
+    assert max(n[f"c{c}"] for c in (9, 10, 11)) - min(n[f"c{c}"] for c in (9, 10, 11)) <= 1
+    causes = {r["a"]: r["cause"] for r in sampling.shortfalls(df, plans, **PLAN).collect()}
+    assert causes == {f"c{c}": "supply" if 5 << c < 833 else None for c in range(12)}
+
+
+def test_minimums_above_the_sample_are_reported(spark):
+    rows = [(f"{c}-{i}", f"c{c}", "x", 1) for c in range(6) for i in range(17)]
+    df = spark.createDataFrame(rows, "id string, a string, b string, t int")
+    plans = [(1, f"c{c}", "*", 1 / 6, 3, 12) for c in range(6)] + [(2, "c0", "*", 0.9, 1, 10), (2, "c1", "*", 0.1, 4, 10)]
+    plans = spark.createDataFrame(plans, "plan_id long, a string, b string, share double, least long, size long")
+    n = Counter((p, a) for p, a, _, _ in sampling.matched_sample(df, plans, **PLAN).collect())
+    assert sum(k for (p, _), k in n.items() if p == 1) == 12 and {n[1, f"c{c}"] for c in range(6)} == {2}
+    assert (n[2, "c0"], n[2, "c1"]) == (6, 4)
+    report = {(r["plan_id"], r["a"]): (r["n_wanted"], r["n_drawn"], r["n_missing"], r["cause"]) for r in sampling.shortfalls(df, plans, **PLAN).collect()}
+    assert report[1, "c0"] == (3, 2, 0, "minimums") and report[2, "c0"] == (9, 6, 0, "trimmed") and report[2, "c1"] == (4, 4, 0, None)
+
+
+def test_apportioned():
+    rng = random.Random(3)
+    for _ in range(300):
+        n = rng.randint(1, 9)
+        weights, rooms = [rng.choice([0, 0.1, 0.25, 0.5, 1, 3]) for _ in range(n)], [rng.choice([0, 1, 7, 40]) for _ in range(n)]
+        places = rng.randint(0, 90)
+        calls = sorted((round((k + 0.5) / max(w, 1e-9), 6), i) for i, (w, r) in enumerate(zip(weights, rooms, strict=True)) for k in range(r))
+        wanted = Counter(i for _, i in calls[:places])
+        assert sampling.apportioned(weights, rooms, places).tolist() == [wanted[i] for i in range(n)]
+    assert sampling.apportioned([1, 2], [10**12, 10**12], 3 * 10**11).tolist() == [10**11, 2 * 10**11]
+
+
 def test_least_hashes_are_a_reservoir(spark):
     rows = [(g, f"{random.Random(i).getrandbits(64):016x}", i) for i in range(3000) for g in ("x", None)]
     df = spark.createDataFrame(rows, "g string, h string, key long").withColumn("n", F.lit(57))
