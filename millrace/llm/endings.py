@@ -28,6 +28,9 @@ UNCLOSED = r"(?:\([^()\n]{0,60}|\[[^\[\]\n]{0,60}|\{[^{}\n]{0,60}|「[^」\n]{0,
 #: Sentence marks, with what closes after them.
 FULL_STOP = r"(?:[.!?。！？…][)\]}\"'”’」』】》〉*_`]*|[)\]}\"”’」』】》〉`]|\*\*|~~~|```|</[A-Za-z0-9]+>)$"
 
+#: A sentence mark that is no decimal point, with what closes after it.
+STOPPED = r"(?:(?<![0-9])\.|[!?。！？…])[)\]}\"'”’」』】》〉*_`]*$"
+
 #: Ends of finished Korean sentences without a full stop.
 PREDICATE = (
     r"(?:니다|니까|시오|세요|에요|예요|어요|아요|해요|돼요|워요|와요|지요|네요|군요|나요|까요|는가|은가|인가|던가"
@@ -74,25 +77,10 @@ def trimmed(text: Column) -> Column:
     return F.when(F.right(text, F.lit(1)).rlike(TRAILER), F.regexp_replace(text, TRAILER, "")).otherwise(text)
 
 
-def abrupt(text: Column) -> Column:
-    """True where a trimmed, non-empty text shows no finished end, or a broken one.
-
-    Most texts end in a plain full stop with no bracket open in their last line. A pattern
-    tries every place of what it reads, so each reads as little as it needs, and those for
-    brackets, lists and values run only where the last lines hold their marks.
-    """
-    short, tail = F.right(text, F.lit(SHORT)), F.right(text, F.lit(TAIL))
-    line = F.substring_index(tail, "\n", -1)
-    opened, lines = line.rlike(_OPENER), tail.contains("\n")
-    broken = short.rlike(_BROKEN_SHORT) | (opened & tail.rlike(UNCLOSED)) | (lines & tail.rlike(NOTE_LIST))
-    finished = (
-        short.rlike(_FINISHED_SHORT)
-        | F.right(text, F.lit(WORDS)).rlike(NOTE_STYLE)
-        | (line.rlike("[:：]") & tail.rlike(VALUE_LINE))
-        | ((lines | line.rlike(_MARKED)) & tail.rlike(_FINISHED_LINES))
-    )
-    plain = F.right(text, F.lit(2)).rlike(_PLAIN) & ~opened
-    return F.when(F.length(text) == 0, False).when(plain, False).otherwise(broken | ~finished)
+def complete(text: Column) -> Column:
+    """True where a trimmed text ends in a sentence mark, or in a predicate or note that needs none."""
+    line = F.substring_index(text, "\n", -1)
+    return F.right(text, F.lit(SHORT)).rlike(rf"{STOPPED}|{PREDICATE}") | line.rlike(NOTE_STYLE)
 
 
 _re = {

@@ -170,8 +170,8 @@ def other_language(question: str, body: str) -> bool:
     return 2 * n["latin"] < letters
 
 
-def defects(question: str | None, answer: str | None) -> list[str]:
-    """All defects of one answer, in the order of DEFECTS. Null texts count as empty."""
+def other_defects(question: str | None, answer: str | None) -> list[str]:
+    """All defects of one answer but a lost end, in the order of DEFECTS. Null texts count as empty."""
     question = unicodedata.normalize("NFC", question or "")
     answer = unicodedata.normalize("NFC", answer or "")
     if is_empty(answer):
@@ -184,7 +184,13 @@ def defects(question: str | None, answer: str | None) -> list[str]:
         found.append("copy")
     if other_language(question, body):
         found.append("language")
-    if endings.is_abrupt(answer):
+    return found
+
+
+def defects(question: str | None, answer: str | None) -> list[str]:
+    """All defects of one answer, in the order of DEFECTS. Null texts count as empty."""
+    found = other_defects(question, answer)
+    if found != ["empty"] and endings.is_abrupt(unicodedata.normalize("NFC", answer or "")):
         found.append("truncated")
     return found
 

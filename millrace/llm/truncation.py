@@ -1,11 +1,13 @@
 """Texts cut off by field limits.
 
-Word trigrams are counted inside texts and at their ends, in SQL alone. A word
-counts by its ending (its last two characters, digits as 0), since names differ
-from text to text while endings carry the grammar. The rules of ``endings`` decide which
-texts end without a finished sentence, list, note or quotation; the counts only take back
-those whose final trigram is an ordinary end of finished texts. A final trigram need not
-have been seen inside, as that of more than half of the open texts was not.
+Word trigrams are counted inside texts and at their ends, in SQL alone, and the counts
+decide: a text is cut if its final trigram is common inside texts but almost never the
+end of another one. A word counts by its ending (its last two characters, digits as 0, with
+a mark if it closes a sentence), since names differ from text to text while endings carry
+the grammar. What is rare as a trigram backs off to its last two words, its last word,
+which may be the beginning of a longer one, and the kind of its last character. Rules only
+exclude: sentences and notes that are complete whatever the counts, and values that are
+defective in another way.
 """
 
 from __future__ import annotations
@@ -18,44 +20,98 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import endings
-from .pairs import defects
+from .pairs import other_defects
+from .storage import kept
 
-#: Words of a text by their endings; two marks stand before the first word.
-_ENDINGS = (
-    "concat(array('^', '^'), transform(split(translate({0}, '123456789', '000000000'), '[ \\n\\t\\r]+'),"
-    " w -> right(trim(trailing '.!?。！？' from w), 2)))"
-)
+# Marks that close a sentence, and what may follow them.
+STOPS = ".!?。！？…"
+CLOSERS = "*_`~)]}>\"''”’」』】》〉"
+#: What remains of an entity, a tag, an escape or a character after a stopped transfer.
+CODE = r"(?:&(?:[A-Za-z][A-Za-z0-9]{0,7}|#[0-9xX]?[0-9A-Fa-f]{0,6})?|</?[A-Za-z]{0,8}|\\[ux]?[0-9A-Fa-f]{0,3}|%[0-9A-F]|\x{fffd}+|[\x{1100}-\x{115f}])$"
 
+_DIGITS = "translate({0}, '123456789', '000000000')"
+_WORDS = rf"filter(split(replace({_DIGITS}, '\n', ' \n '), '[ \t\r]+'), w -> w <> '')"
 
-def _word_ends(text: str) -> Column:
-    return F.expr(_ENDINGS.format(text))
 
+def _closed(word: str) -> str:
+    """The word without what closes after it."""
+    quoted = CLOSERS.replace("'", "\\'")
+    return f"coalesce(nullif(trim(trailing '{quoted}' from {word}), ''), {word})"
 
-def trigram_counts(texts: DataFrame) -> DataFrame:
-    """(trigram, inside, final) over a table of (field_name, text), one row per text.
 
-    At ends only finished texts count, or cuts at the same place would vouch for one another.
+def _bare(word: str) -> str:
+    """The word without what closes after it, and without its stop if that follows no digit."""
+    closed = _closed(word)
+    return f"if(right({closed}, 2) = '0.', {closed}, coalesce(nullif(trim(trailing '{STOPS}' from {closed}), ''), {closed}))"
+
+
+def _ending(word: str) -> str:
+    """The last two characters of the bare word, with a mark if it had a stop or was closed."""
+    bare, closed, marks = _bare(word), _closed(word), (STOPS + CLOSERS).replace("'", "\\'")
+    mark = f"if({bare} <> {closed}, '.', if({closed} <> {word}, ')', ''))"
+    return f"if(instr('{marks}', right({word}, 1)) = 0, right({word}, 2), concat(right({bare}, 2), {mark}))"
+
+
+def bodies(text: Column) -> Column:
+    """Trimmed texts without the remains of a code at their ends."""
+    short = F.right(text, F.lit(10))
+    return F.when(short.rlike(CODE), F.regexp_replace(text, r"[\s\p{Z}]*" + CODE, "")).otherwise(text)
+
+
+def _kind(ending: str) -> Column:
+    """The kind of an ending's last letter, and its mark."""
+    mark = F.when(F.col(ending).rlike("[^0][.)]$"), F.right(ending, F.lit(1))).otherwise("")
+    last = F.when(F.col(ending).rlike(r"[가-힣][.)]?$"), "h").when(F.col(ending).rlike(r"\p{L}[.)]?$"), "a").when(F.col(ending).rlike(r"0\.$"), "0.").when(F.col(ending).rlike(r"0\)?$"), "0").otherwise("-")
+    return F.concat(last, mark)
+
+
+def final_shares(texts: DataFrame, weight: float = 50.0) -> DataFrame:
+    """(field_name, a, b, c, share): how often the final trigrams of texts end other texts,
+    as a share of all their places.
+
+    Takes distinct (field_name, text). The share of a trigram is drawn towards that of its
+    last two words, theirs towards that of the last word, and that towards the share of the
+    last character's kind, as if seen ``weight`` times; what was never seen inside adds
+    nothing. A last word also counts where it begins a longer one. The text itself does not
+    count for its own end.
     """
-    ends = texts.select("field_name", endings.abrupt(F.col("text")).alias("open"), _word_ends("text").alias("e"))
-    zipped = ends.select(
-        "field_name",
-        "open",
-        F.expr("inline(arrays_zip(e, slice(e, 2, size(e)), slice(e, 3, size(e)), slice(e, 4, size(e)))) as (a, b, c, d)"),
-    )
-    return (
-        zipped.filter("c is not null")
-        .groupBy(F.xxhash64("field_name", "a", "b", "c").alias("trigram"))
-        .agg(
-            F.count("d").alias("inside"),
-            F.count(F.when(F.col("d").isNull() & ~F.col("open"), 1)).alias("final"),
-        )
+    words = texts.select("field_name", F.expr(_WORDS.format("text")).alias("w")).filter("size(w) > 0")
+    ends = words.select("field_name", F.expr(f"concat(array('^', '^'), transform(w, x -> {_ending('x')}))").alias("e"))
+    zipped = ends.select("field_name", F.expr("inline(arrays_zip(e, slice(e, 2, size(e)), slice(e, 3, size(e)), slice(e, 4, size(e)))) as (a, b, c, d)"))
+    sums = [F.sum("i").alias("i"), F.sum("f").alias("f")]
+    three = kept(zipped.filter("c is not null").groupBy("field_name", "a", "b", "c").agg(F.count("d").alias("i"), (F.count("*") - F.count("d")).alias("f")))
+    two = three.groupBy("field_name", "b", "c").agg(*sums)
+    one = two.groupBy("field_name", "c").agg(*sums)
+    kind = one.groupBy("field_name", _kind("c").alias("k")).agg(*sums)
+    begun = (
+        words.select("field_name", F.explode(F.expr("slice(w, 1, size(w) - 1)")).alias("w"))
+        .groupBy("field_name", "w")
+        .agg(F.count("*").alias("n"))
+        .withColumn("w", F.expr(_bare("w")))
+        .filter("length(w) > 1")
+        .select("field_name", "n", F.explode(F.expr("transform(sequence(1, length(w) - 1), k -> right(left(w, k), 2))")).alias("c"))
+        .groupBy("field_name", "c")
+        .agg(F.sum("n").alias("begun"))
     )
+    one = one.join(begun, ["field_name", "c"], "left").withColumn("i", F.col("i") + F.coalesce("begun", F.lit(0))).drop("begun")
+
+    def named(df: DataFrame, n: int) -> DataFrame:
+        return df.withColumnsRenamed({"i": f"i{n}", "f": f"f{n}"})
+
+    known = named(three.filter("f > 0"), 3).join(named(two, 2), ["field_name", "b", "c"]).join(named(one, 1), ["field_name", "c"])
+    known = known.withColumn("k", _kind("c")).join(named(kind, 0), ["field_name", "k"])
+    others = F.col("f0") - 1
+    share = F.when(F.col("i0") + others > 0, others / (F.col("i0") + others)).otherwise(0.0)
+    for n in (1, 2, 3):
+        others = F.col(f"f{n}") - 1
+        share = F.when(F.col(f"i{n}") > 0, (others + weight * share) / (F.col(f"i{n}") + others + weight)).otherwise(share)
+    return known.select("field_name", "a", "b", "c", share.alias("share"))
 
 
 @F.pandas_udf(T.BooleanType())
 def _otherwise_sound(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for asked, said in parts:
-        yield pd.Series([s is not None and defects(q, s) == ["truncated"] for q, s in zip(asked, said, strict=True)])
+        yield pd.Series([s is not None and not other_defects(q, s) for q, s in zip(asked, said, strict=True)])
 
 
 def cut_texts(
@@ -65,15 +121,17 @@ def cut_texts(
     order: str | None = None,
     keep: list[str] | None = None,
     final_share: float = 0.02,
-    least_final: int = 3,
+    weight: float = 50.0,
 ) -> DataFrame:
     """Every value of the text columns with ``cut`` true or false.
 
     ``fields`` maps each text column to the column of its question, or None. Rows that
     share ``key`` count once, by the greatest ``order``; texts that are null or without
-    content are not cut. A final trigram seen at least ``least_final`` times at an end,
-    in more than ``final_share`` of its places, is an ordinary end. Gives (key,
-    field_name, cut) and the columns of ``keep``; empty input gives an empty result.
+    content are not cut. A text is cut if less than ``final_share`` of the places of its
+    final trigram are ends of other texts, see ``final_shares``, unless it is excluded as a
+    complete sentence or note or for another defect. The exclusions are tried first where
+    the texts are read, as they need no shuffle. Gives (key, field_name, cut) and the columns of
+    ``keep``, without ``keep`` the cut values only; empty input gives an empty result.
     """
     values = F.array(
         *[
@@ -87,28 +145,27 @@ def cut_texts(
     )
     when = F.col(order) if order else F.lit(0)
     rows = df.select(F.col(key).alias("_k"), when.alias("_t"), F.struct(F.lit(1).alias("_"), *(keep or [])).alias("_keep"), F.inline(values))
-    rows = rows.withColumn("text", endings.trimmed(F.col("raw")))
-    counts = trigram_counts(rows.filter("length(text) > 0").select("field_name", "text").distinct())
-
-    open_end = rows.withColumn("open", endings.abrupt(F.col("text")))
-    open_end = open_end.withColumn(
-        "sound", _otherwise_sound(F.when(F.col("open"), F.col("asked")), F.when(F.col("open"), F.col("raw")))
-    )
-    trigram = F.expr(
-        "xxhash64(field_name, element_at(e, -3), element_at(e, -2), element_at(e, -1))"
-    )
+    rows = rows.withColumn("_trimmed", endings.trimmed(F.col("raw"))).withColumn("text", bodies(F.col("_trimmed")))
+    shares = final_shares(rows.filter("length(text) > 0").select("field_name", "text").distinct(), weight)
+    rare = shares.filter(F.col("share") < final_share).select("field_name", "a", "b", "c", F.lit(True).alias("rare"))
+
+    excluded = (F.length("text") == 0) | endings.complete(F.col("_trimmed"))
+    rows = rows.withColumn("_open", F.when(~excluded, True))
+    rows = rows.withColumn("_open", F.col("_open") & _otherwise_sound(F.when(F.col("_open"), F.col("asked")), F.when(F.col("_open"), F.col("raw"))))
+    # The last words are what follows the third space from the end; line breaks are words.
+    tail = F.expr(r"substring_index(rtrim(regexp_replace(replace(text, '\n', ' \n '), '[ \t\r]+', ' ')), ' ', -3)")
+    rows = rows.withColumn("_tail", F.when(F.col("_open"), tail))
+    rows = rows.withColumn("e", F.expr(f"concat(array('^', '^'), transform({_WORDS.format('_tail')}, x -> {_ending('x')}))"))
+    trigram = [F.element_at("e", i - 3).alias(c) for i, c in enumerate("abc")]
     last = (
-        open_end.withColumn("e", F.when(F.col("open") & F.col("sound"), _word_ends("text")))
-        .select("_k", "field_name", F.struct("_t", F.when(F.col("e").isNotNull(), trigram).alias("trigram"), "_keep").alias("m"))
+        rows.select("_k", "field_name", F.struct("_t", *trigram, "_keep").alias("m"))
         .groupBy("_k", "field_name")
         .agg(F.max("m").alias("m"))
-        .select("_k", "field_name", "m.trigram", "m._keep")
+        .select("_k", "field_name", "m.a", "m.b", "m.c", "m._keep")
     )
-    ordinary = (F.col("final") >= least_final) & (F.col("final") > final_share * (F.col("inside") + F.col("final")))
-    cut = last.filter("trigram is not null").join(counts, "trigram", "left").filter(~F.coalesce(ordinary, F.lit(False)))
-    whole = last.join(cut.select("_k", "field_name", F.lit(True).alias("cut")), ["_k", "field_name"], "left") if keep else cut.withColumn("cut", F.lit(True))
-    return whole.select(
-        F.col("_k").alias(key), "field_name", F.coalesce("cut", F.lit(False)).alias("cut"), *[F.col(f"_keep.{c}").alias(c) for c in keep or []]
+    found = last.join(rare, ["field_name", "a", "b", "c"], "left" if keep else "inner")
+    return found.select(
+        F.col("_k").alias(key), "field_name", F.coalesce("rare", F.lit(False)).alias("cut"), *[F.col(f"_keep.{c}").alias(c) for c in keep or []]
     )
 
 
