@@ -26,18 +26,21 @@ FIELD = (
 )
 PLACEHOLDER = "|".join(
     (
-        r"\{\{[^{}\n]{0,60}\}\}",
-        r"\{%[^%\n]{1,60}%\}",
-        r"<%[=-]?[^%\n]{1,60}%>",
-        r"[$#]\{[^{}\n,]{1,40}\}",
-        r"\[\[[^\[\]\n,]{1,40}\]\]",
-        r"@@[^@\s]{1,40}@@",
-        r"(?<![\p{L}\p{N}%])%[a-z][a-z_]{2,40}%(?![\p{L}\p{N}%])",
-        r"(?<![\p{L}\p{N}_])__[a-z][a-z_]{1,40}__",
-        r"[<\[](?:insert|enter|your|add)[ _][^<>\[\]\n]{1,40}[>\]]",
-        r"\{[a-z][a-z0-9_]{1,40}\}",
+        r"\{\{[^{}\n]*\}\}",
+        r"\{%[^%\n]+%\}",
+        r"<%[=-]?[^%\n]+%>",
+        r"[$#]\{[^{}\n,]+\}",
+        r"\[\[[^\[\]\n,]+\]\]",
+        r"@@[^@\s]+@@",
+        r"(?<![\p{L}\p{N}%])%{1,2}[a-z][a-z_]{2,}%{1,2}(?![\p{L}\p{N}%])",
+        r"%\([a-z_][a-z0-9_]*\)[sdifr]",
+        r"(?<![\p{L}\p{N}_])__[a-z][a-z_]+__",
+        r"[<\[{](?:insert|enter|your|add)[ _][^<>\[\]{}\n]+[>\]}]",
+        r"[\[{<](?:first|last|full|user|customer|company|product)[ _-](?:name|date|id|email|address|number)[\]}>]",
+        r"\{[a-z][a-z0-9_]+\}",
+        rf"«\s?(?:{FIELD}|[a-z]+_[a-z_]+)\s?»",
         rf"(?:\[|<|\{{|&lt;|【|〔|《)\s?{FIELD}(?: ?(?:입력|기재|작성|삽입|선택|란))?\s?(?:\]|>|\}}|&gt;|】|〕|》)",
-        r"[\[<({](?:[^\[\]<>(){}\n]{1,16} )(?:입력|기재|삽입|기입)[\]>)}]",
+        r"[\[<({][^\[\]<>(){}\n]+ (?:입력|기재|삽입|기입)[\]>)}]",
         rf"[○◯□△◇_＿]{{2,}} ?{FIELD}",
         r"\[object object\]",
         r"(?<![a-z_.'\"])undefined(?![a-z_('\"])",
@@ -46,7 +49,7 @@ PLACEHOLDER = "|".join(
 FILLER = "|".join(
     (
         r"lorem ipsum|dolor sit amet|consectetur adipi",
-        r"(?:^|\n)[ \t]*(\S{1,12})(?:[ \t]+\1){2,}[ \t]*(?:\n|$)",
+        r"(?:^|\n)[ \t]*(\S+)(?:[ \t]+\1){2,}[ \t]*(?:\n|$)",
         r"테스트 ?(?:글|문서|게시물|입니다|용)(?: 테스트|입니다|\s*$|\n)",
         r"asdf ?(?:asdf|qwer|zxcv|jkl)|qwer ?(?:asdf|qwer|ty)",
         r"가나다라마바사",
@@ -59,7 +62,7 @@ FILLER = "|".join(
 UNFINISHED = "|".join(
     (
         r"(?<![a-z])(?:todo|fixme|tbd|tbc|xxx)(?![a-z])",
-        r"[(\[<](?:[^()\[\]<>\n]{0,16} )?(?:작성|추가|보완|수정|입력|업데이트|게시|등록|추후 ?작성) ?(?:예정|중|필요|요망)[)\]>]",
+        r"[(\[<](?:[^()\[\]<>\s]+ ){0,4}(?:작성|추가|보완|수정|입력|업데이트|게시|등록|추후 ?작성) ?(?:예정|중|필요|요망)[)\]>]",
         r"(?:내용|본문|페이지)(?:을|를|은|는)? ?준비 ?중(?:입니다)?|작성 ?중인 (?:문서|글|페이지)",
         r"coming soon|under construction|work in progress|to be (?:written|completed|determined|added)",
     )
@@ -67,13 +70,16 @@ UNFINISHED = "|".join(
 ERROR = "|".join(
     (
         r"(?:^|\n|[>.] ?)\W{0,3}(?:http[ /\d.]{0,6})?\d{3}[ :-]{1,3}(?:forbidden|not found|bad gateway|bad request|service (?:temporarily )?unavailable|internal server error|gateway time-?out|request time-?out|unauthorized|too many requests|moved|gone|conflict|not acceptable|not implemented|not allowed|method not allowed|payment required)",
-        r"traceback \(most recent call last\)|(?:^|\n)\s*at [a-z_$][\w.$]*\([\w.]*:\d+\)|(?:^|\n)[a-z_.]{0,60}(?:error|exception): ",
+        r"traceback \(most recent call last\)|(?:^|\n)\s*at [a-z_$][\w.$]*\([\w.]*:\d+\)|(?:^|\n)[a-z_.]*(?:error|exception): ",
         r"upstream connect error|request was blocked|could not handle the request|(?:server|application) error|segmentation fault|stack trace:|fatal error:",
-        r"<title>[^<]{0,40}(?:error|denied|forbidden|not found|오류|안내|차단)[^<]{0,40}</title>",
+        r"<title>[^<]*(?:error|denied|forbidden|not found|오류|안내|차단)[^<]*</title>",
         r"(?:오류|에러) ?(?:코드|번호) ?[:#]? ?\d+",
         r"(?:페이지|문서|파일|게시물|자료)(?:를|을|가|이)? ?(?:찾을 수 없|존재하지 않|열 수 없)|존재하지 않는 (?:게시물|페이지|문서|글)|삭제된 (?:글|게시물|페이지|문서)",
         r"비정상적인? ?(?:요청|접근)|잘못된 (?:접근|요청)|데이터베이스에 연결할 수|여는 중 문제가 발생",
         r"page (?:you requested )?(?:was |could )?not (?:be )?found|this page (?:does not|doesn't|isn't) (?:exist|available)",
+        r"^\s*(?:error |http[ /\d.]*)?[45]\d\d(?: (?:page|error))?\s*(?:\n|$)|backend fetch failed|connection timed out\s*(?:\n|$)",
+        r"(?:ページ|ファイル|記事)(?:は|が)?(?:見つかりません|存在しません|削除され)|(?:页面|頁面|网页|網頁|文件)(?:不存在|未找到|无法访问|找不到)|找不到(?:该|此|您|这个)?(?:页面|頁面|网页|文件)",
+        r"страница не (?:найдена|существует)|không tìm thấy trang|trang (?:này )?không tồn tại|página no (?:encontrada|existe)|page (?:introuvable|non trouvée)|seite (?:wurde )?nicht gefunden",
     )
 )
 SCRIPT = "|".join(
@@ -99,25 +105,31 @@ NOTICE = "|".join(
 #: Words quoted by a text that speaks about them; no evidence.
 MENTION = "|".join(
     (
-        r"['\"‘’“”「『][^'\"‘’“”」』\n]{1,80}['\"’”」』] ?(?:이?라[는고]|란 |문구|메시지|글|표시|화면|창)",
-        r"(?:message|text|words?|sign|notice|note|title|reading|says?|said|shows?|reads?|called|saying) ?[:,]? ['\"‘“][^'\"‘’“”\n]{1,80}['\"’”]",
+        r"['\"‘’“”「『][^'\"‘’“”」』\n]+['\"’”」』] ?(?:이?라[는고]|란 |문구|메시지|글|표시|화면|창)",
+        r"(?:message|text|words?|sign|notice|note|title|reading|says?|said|shows?|reads?|called|saying) ?[:,]? ['\"‘“][^'\"‘’“”\n]+['\"’”]",
     )
 )
-#: Short strings of which every document with evidence holds one at least, or matches RARE.
+#: Short strings of which every document with evidence holds one at least, or matches RARE, or START at its start.
 STEMS = (
-    "{", "<", "[", "@@", "__", "○○", "◯◯", "□□", "△△", "◇◇", "＿＿", "undefined", "&lt;", "【", "〔", "《",
+    "{", "<", "[", "@@", "__", "%(", "«", "undefined", "&lt;", "【", "〔", "《",
     "lorem", "dolor sit", "consectetur", "테스트", "asdf", "qwer", "가나다라마", "샘플", "견본", "더미", "을 입력", "를 입력", "을 여기", "를 여기", "을 작성", "를 작성", "을 추가", "를 추가", "실제 내용",
     "여기에", "기재", "입력", "삽입", "기입",
     "click", "sample text", "dummy", "placeholder", "filler", "goes here", "your text", "your content",
-    "todo", "fixme", "tbd", "tbc", "xxx", "예정)", "중)", "필요)", "요망)", "준비중", "준비 중", "작성중인", "작성 중인", "coming soon", "under construction", "in progress", "to be ",
-    "forbidden", "not found", "gateway", "bad request", "unavailable", "server error", "time-out", "timeout", "unauthorized", "too many", " moved", "gone", "conflict", "not acceptable", "not implemented", "not allowed", "payment required",
+    "todo", "fixme", "tbd", "tbc", "xxx", "준비중", "준비 중", "작성중인", "작성 중인", "coming soon", "under construction", "in progress", "to be ",
+    "forbidden", "not found", "gateway", "bad request", "unavailable", "server error", "time-out", "timeout", "unauthorized", "too many", "moved", "gone", "conflict", "not acceptable", "not implemented", "not allowed", "payment required",
     "traceback", "error", "exception", " at ", "\tat ", "blocked", "handle the request", "fault", "stack trace", "this page", "page you",
     "오류", "에러", "존재하지", "삭제된", "비정상", "잘못된", "데이터베이스", "여는 중", "찾을 수 없", "열 수 없",
     "script", "스크립트", "cookie", "쿠키",
     "로그인", "권한", "거부되", "제한되", "차단되", "로봇이", "방지", "보안", "접속자", "대기 순", "대기순", "접속대기", "접속 대기", "잠시", "점검 중", "점검중", "작업 중", "작업중", "만료", "화면으로 돌아", "화면으로돌아", "주소를 다시",
+    "fetch failed", "timed out", "ページ", "ファイル", "記事", "页面", "頁面", "网页", "網頁", "文件", "страница", "trang", "página", "page ", "seite ",
     "verify", "checking your", "robot", "captcha", "traffic", "moment", "please wait", "denied", "sign in", "log in", "signin", "login", "session", "subscribe to",
+    *(x + y for x in "○◯□△◇_＿" for y in "○◯□△◇_＿"),
+    *(x + y for x in ("예정", "중", "필요", "요망") for y in ")]>"),
+    *(x + y for x in ("을", "를") for y in ("작성", "추가")),
+    *(x + z + y for x in ("예시", "임시") for z in ("", " ") for y in ("문구", "텍스트", "글", "본문", "내용")),
 )
-RARE = r"%[a-z][a-z_]{2,40}%|(?:예시|임시) ?(?:문구|텍스트|글|본문|내용)"
+RARE = r"%[a-z][a-z_]{2,}%"
+START = r"\s*(?:at [a-z_$]|(?:error |http[ /\d.]*)?[45]\d\d(?:\s|$))"
 # End of the fixed values.
 
 KINDS = {
@@ -147,14 +159,14 @@ def _stems():
     return automaton
 
 
-_rare = re.compile(RARE)
+_rare, _start = re.compile(RARE), re.compile(START)
 
 
 def _may_hold(text: str | None) -> bool:
     if not text:
         return False
     low = text.lower()
-    if next(_stems().iter(low), None) is not None or _rare.search(low):
+    if next(_stems().iter(low), None) is not None or _rare.search(low) or _start.match(low):
         return True
     return any(len(w := line.split()) > 2 and len(set(w)) == 1 for line in low.splitlines())
 

@@ -198,6 +198,85 @@ def test_recurrence_does_not_hide_residue(spark):
         assert sorted(kinds) == sorted([(k, ("placeholder",)) for k in range(1, 10)] * (n // 10))
 
 
+RESIDUE = {
+    "본문 {{" + "긴 이름 " * 20 + "}} 입니다.": "placeholder", "값은 ${" + "a" * 90 + "} 입니다.": "placeholder", "안녕 %(user_name)s 님": "placeholder", "Dear {first name}, hello": "placeholder",
+    "«name» 귀하": "placeholder", "%%NAME%% 귀하": "placeholder", "[" + "아주 긴 설명이 붙은 담당 부서의 전화 " * 3 + "입력]": "placeholder",
+    "\nat com.foo.Bar(Bar.java:12)": "error_page", "503\nBackend fetch failed": "error_page", "404 Page": "error_page", "お探しのページは見つかりません": "error_page", "Страница не найдена": "error_page",
+    "<title>" + "기관 소식 " * 30 + "오류</title>": "error_page", "页面不存在": "error_page", "La page introuvable": "error_page",
+}
+SOUND = ["화면에 '" + "페이지를 찾을 수 없습니다 " * 12 + "'라는 글이 뜨면 알립니다.", "묶음 {세안기, 가스밸브}는 시장에 둡니다.", "빈칸 [7]에는 9L를 적습니다.", "할인율 20% (today) 적용", "값은 404개입니다.", "404개의 문을 닫습니다."]
+
+
+def test_residue_has_no_bounds(spark):
+    df = spark.createDataFrame([(t, k) for t, k in RESIDUE.items()] + [(t, None) for t in SOUND], "t string, kind string")
+    for r in df.select("t", "kind", residue.evidence(F.col("t")).alias("kinds")).collect():
+        assert (r["kind"] in r["kinds"]) if r["kind"] else not r["kinds"], r
+
+
+def _samples(pattern, rng, n):
+    """Random strings that a pattern matches: its parts at their least and at random lengths."""
+    from re import _parser as parser
+
+    plain = pattern.replace(r"\p{L}", "a-z가-힣").replace(r"\p{N}", "0-9").replace(r"\z", "$")
+
+    def one(tokens, groups):
+        out = ""
+        for op, arg in tokens:
+            op = str(op)
+            if op == "LITERAL":
+                out += chr(arg)
+            elif op in ("NOT_LITERAL", "ANY"):
+                out += "k"
+            elif op == "IN":
+                out += pick(arg)
+            elif op == "BRANCH":
+                out += one(rng.choice(arg[1]), groups)
+            elif op == "SUBPATTERN":
+                got = one(arg[3], groups)
+                groups[arg[0]] = got
+                out += got
+            elif op in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
+                low, high, inner = arg
+                out += "".join(one(inner, groups) for _ in range(rng.randint(low, min(int(high), low + 3))))
+            elif op == "GROUPREF":
+                out += groups[arg]
+            elif op == "AT" or op in ("ASSERT", "ASSERT_NOT"):
+                pass
+            else:
+                raise AssertionError(op)
+        return out
+
+    def pick(items):
+        negated = str(items[0][0]) == "NEGATE"
+        if negated:
+            taken = parser.parse("".join("[^" + "".join(cls(i) for i in items[1:]) + "]"))
+            import re
+
+            tried = re.compile("[^" + "".join(cls(i) for i in items[1:]) + "]")
+            assert taken
+            return next(c for c in "k3나-" if tried.match(c))
+        op, arg = rng.choice(items)
+        return {"LITERAL": lambda: chr(arg), "RANGE": lambda: chr(rng.randint(*arg)) if str(op) == "RANGE" else "", "CATEGORY": lambda: {"CATEGORY_SPACE": " ", "CATEGORY_DIGIT": "4", "CATEGORY_WORD": "w", "CATEGORY_NOT_WORD": "-", "CATEGORY_NOT_SPACE": "q"}[str(arg)]}[str(op)]()
+
+    def cls(item):
+        op, arg = str(item[0]), item[1]
+        if op == "LITERAL":
+            return "\\" + chr(arg) if not chr(arg).isalnum() and chr(arg) != "\n" else chr(arg)
+        if op == "RANGE":
+            return f"{chr(arg[0])}-{chr(arg[1])}"
+        return {"CATEGORY_SPACE": r"\s", "CATEGORY_DIGIT": r"\d", "CATEGORY_WORD": r"\w"}[str(arg)]
+
+    tokens = parser.parse(plain)
+    return [one(tokens, {}) for _ in range(n)]
+
+
+@pytest.mark.parametrize("kind", residue.KINDS)
+def test_what_a_pattern_matches_passes_the_automaton(kind):
+    rng = random.Random(8)
+    for text in _samples(residue.KINDS[kind], rng, 6000):
+        assert residue._may_hold(text), text
+
+
 FINISHED = [
     "물을 끄고 대피합니다.", "가스를 잠그세요", "손전등을 챙길 것", "1) 문을 닫음\n2) 불을 끔", "최대 기준: 14.5m", "안내문에는 \"잠그세요\"라고 적혀 있습니다. 🙏",
     "준비물\n- 담요\n- 손전등", "끝났습니다. (근거: AB-12)", "문을 닫아 주시기 바람", "Leave by the gate.", "請打開窗戶。", "**안내**",
