@@ -30,7 +30,7 @@ CLOSERS = "*_`~)]}>\"''”’」』】》〉"
 CODE = r"(?:&(?:[A-Za-z][A-Za-z0-9]{0,7}|#[0-9xX]?[0-9A-Fa-f]{0,6})?|</?[A-Za-z]{0,8}|\\[ux]?[0-9A-Fa-f]{0,3}|%[0-9A-F]|\x{fffd}+|[\x{1100}-\x{115f}])$"
 
 _DIGITS = "translate({0}, '123456789', '000000000')"
-_WORDS = rf"filter(split(replace({_DIGITS}, '\n', ' \n '), '[ \t\r]+'), w -> w <> '')"
+_WORDS = rf"split(trim(both ' \t\r' from replace({_DIGITS}, '\n', ' \n ')), '[ \t\r]+')"
 
 
 def _closed(word: str) -> str:
@@ -75,30 +75,30 @@ def final_shares(texts: DataFrame, weight: float = 50.0) -> DataFrame:
     nothing. A last word also counts where it begins a longer one. The text itself does not
     count for its own end.
     """
-    words = texts.select("field_name", F.expr(_WORDS.format("text")).alias("w")).filter("size(w) > 0")
-    ends = words.select("field_name", F.expr(f"concat(array('^', '^'), transform(w, x -> {_ending('x')}))").alias("e"))
-    zipped = ends.select("field_name", F.expr("inline(arrays_zip(e, slice(e, 2, size(e)), slice(e, 3, size(e)), slice(e, 4, size(e)))) as (a, b, c, d)"))
+    words = texts.select("field_name", F.expr(_WORDS.format("text")).alias("w")).filter("w[0] <> ''")
+    ends = words.select("field_name", "w", F.expr(f"concat(array('^', '^'), transform(w, x -> {_ending('x')}))").alias("e"))
+    places = ends.select("field_name", F.expr("inline(arrays_zip(slice(e, 1, size(w)), slice(e, 2, size(w)), slice(e, 3, size(w)), slice(e, 4, size(w)), w)) as (a, b, c, d, w)"))
+    # One pass counts trigrams and, for the places inside, whole words.
+    counted = places.groupingSets([("field_name", "a", "b", "c"), ("field_name", "w")], "field_name", "a", "b", "c", "w").agg(
+        F.count("d").alias("i"), (F.count("*") - F.count("d")).alias("f"), F.grouping("w").alias("g")
+    )
+    cases = F.expr(
+        f"""if(g = 1,
+          if(f > 0, array(struct(3 as n, a, b, c, i, f), struct(2 as n, '' as a, b, c, i, f)), array(struct(2 as n, '' as a, b, c, i, f))),
+          transform(if(length({_bare('w')}) > 1, sequence(1, length({_bare('w')}) - 1), array()), k -> struct(1 as n, '' as a, '' as b, right(left(w, k), 2) as c, i, f)))"""
+    )
     sums = [F.sum("i").alias("i"), F.sum("f").alias("f")]
-    three = kept(zipped.filter("c is not null").groupBy("field_name", "a", "b", "c").agg(F.count("d").alias("i"), (F.count("*") - F.count("d")).alias("f")))
-    two = three.groupBy("field_name", "b", "c").agg(*sums)
+    known = kept(counted.select("field_name", F.inline(cases)).groupBy("field_name", "n", "a", "b", "c").agg(*sums))
+    three, two, begun = [known.filter(f"n = {n}").drop("n") for n in (3, 2, 1)]
     one = two.groupBy("field_name", "c").agg(*sums)
     kind = one.groupBy("field_name", _kind("c").alias("k")).agg(*sums)
-    begun = (
-        words.select("field_name", F.explode(F.expr("slice(w, 1, size(w) - 1)")).alias("w"))
-        .groupBy("field_name", "w")
-        .agg(F.count("*").alias("n"))
-        .withColumn("w", F.expr(_bare("w")))
-        .filter("length(w) > 1")
-        .select("field_name", "n", F.explode(F.expr("transform(sequence(1, length(w) - 1), k -> right(left(w, k), 2))")).alias("c"))
-        .groupBy("field_name", "c")
-        .agg(F.sum("n").alias("begun"))
-    )
+    begun = begun.select("field_name", "c", F.col("i").alias("begun"))
     one = one.join(begun, ["field_name", "c"], "left").withColumn("i", F.col("i") + F.coalesce("begun", F.lit(0))).drop("begun")
 
     def named(df: DataFrame, n: int) -> DataFrame:
         return df.withColumnsRenamed({"i": f"i{n}", "f": f"f{n}"})
 
-    known = named(three.filter("f > 0"), 3).join(named(two, 2), ["field_name", "b", "c"]).join(named(one, 1), ["field_name", "c"])
+    known = named(three, 3).join(named(two, 2).drop("a"), ["field_name", "b", "c"]).join(named(one, 1), ["field_name", "c"])
     known = known.withColumn("k", _kind("c")).join(named(kind, 0), ["field_name", "k"])
     others = F.col("f0") - 1
     share = F.when(F.col("i0") + others > 0, others / (F.col("i0") + others)).otherwise(0.0)
@@ -146,7 +146,7 @@ def cut_texts(
     when = F.col(order) if order else F.lit(0)
     rows = df.select(F.col(key).alias("_k"), when.alias("_t"), F.struct(F.lit(1).alias("_"), *(keep or [])).alias("_keep"), F.inline(values))
     rows = rows.withColumn("_trimmed", endings.trimmed(F.col("raw"))).withColumn("text", bodies(F.col("_trimmed")))
-    shares = final_shares(rows.filter("length(text) > 0").select("field_name", "text").distinct(), weight)
+    shares = final_shares(rows.filter("length(raw) > 0").select("field_name", "text").distinct(), weight)
     rare = shares.filter(F.col("share") < final_share).select("field_name", "a", "b", "c", F.lit(True).alias("rare"))
 
     excluded = (F.length("text") == 0) | endings.complete(F.col("_trimmed"))
