@@ -8,15 +8,15 @@ exact containment of the question in the message.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .normal import normalise, piece_hashes, pieces
+from .normal import normalise, piece_rows, pieces, portions
 from .overlap import may_hold, piece_filter, rarest_first, sketch
 from .storage import kept
 
@@ -61,15 +61,12 @@ def contained_pairs(evaluation: DataFrame, training: DataFrame, share: float = 0
 
     def index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rank = frequency.value
-        for frame in frames:
-            out = []
-            for i, norm in zip(frame["id"], frame["norm"], strict=True):
-                p = rarest_first(piece_hashes(norm), rank)
-                need = math.ceil(share * len(p))
-                k = min(hits, need)
-                out.append(pd.DataFrame({"q": i, "k": k, "h": p[: len(p) - need + k]}))
-            if out:
-                yield pd.concat(out)
+        for frame in portions(frames, "norm"):
+            row, h, at, size = rarest_first(*piece_rows(frame["norm"].to_numpy()), rank)
+            need = np.ceil(share * size).astype(np.int64)
+            k = np.minimum(hits, need)
+            some = at < size - need + k
+            yield pd.DataFrame({"q": frame["id"].to_numpy()[row[some]], "k": k[some], "h": h[some]})
 
     indexed = kept(questions.mapInPandas(index, "q long, k int, h long"))
     frequency.unpersist()
@@ -77,15 +74,10 @@ def contained_pairs(evaluation: DataFrame, training: DataFrame, share: float = 0
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = bitmap.value
-        for frame in frames:
-            out = []
-            for i, norm in zip(frame["id"], frame["norm"], strict=True):
-                h = piece_hashes(norm)
-                h = h[may_hold(bits, h)]
-                if len(h):
-                    out.append(pd.DataFrame({"m": i, "h": h}))
-            if out:
-                yield pd.concat(out)
+        for frame in portions(frames, "norm"):
+            row, h = piece_rows(frame["norm"].to_numpy())
+            some = may_hold(bits, h)
+            yield pd.DataFrame({"m": frame["id"].to_numpy()[row[some]], "h": h[some]})
 
     tallied = (
         messages.mapInPandas(scan, "m long, h long")

@@ -13,7 +13,6 @@ keeps the method's tally and its guaranteed minimum, and loses no link.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +23,8 @@ from pyspark.sql import types as T
 
 from .components import components
 from .contamination import normal_form
-from .normal import mix, piece_hashes, pieces
-from .overlap import rarest_first, sketch
+from .normal import mix, piece_rows, pieces, portions
+from .overlap import rarest_first, sketch, slots
 from .storage import kept
 
 #: Bands of the byte sketch and bytes in each; they serve to form hubs, not to find all pairs.
@@ -33,15 +32,19 @@ BANDS, ROWS = 8, 4
 _SALTS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) << np.uint64(32))
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """One 64-bit key for each band: the low bytes of its least hashes, with its number."""
-    with np.errstate(over="ignore"):
-        least = mix(hashes.view(np.uint64)[None, :] ^ _SALTS[:, None]).min(axis=1)
-        words = (least & np.uint64(0xFFFF)).reshape(BANDS, ROWS)
-        key = np.arange(BANDS, dtype=np.uint64)
-        for r in range(ROWS):
-            key = mix(key * np.uint64(0x10001) ^ words[:, r])
-    return key.view(np.int64)
+def band_keys(row: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, key) with a 64-bit key for each band of each text that has pieces: the
+    low bytes of its least hashes, with the band's number. Takes pieces sorted by text."""
+    starts = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1]))) if len(row) else row
+    out = np.empty((len(starts), BANDS), dtype=np.uint64)
+    for band in range(BANDS if len(starts) else 0):
+        key = np.full(len(starts), band, dtype=np.uint64)
+        for salt in _SALTS[band * ROWS : (band + 1) * ROWS]:
+            least = np.minimum.reduceat(mix(hashes.view(np.uint64) ^ salt), starts)
+            with np.errstate(over="ignore"):
+                key = mix(key * np.uint64(0x10001) ^ (least & np.uint64(0xFFFF)))
+        out[:, band] = key
+    return np.repeat(row[starts], BANDS), out.view(np.int64).ravel()
 
 
 @F.pandas_udf(T.BooleanType())
@@ -63,27 +66,22 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
 
 
 def _postings(texts: DataFrame, frequency, threshold: float, hits: int) -> DataFrame:
-    """(id, hub, h, at, size, probe): the rarest pieces of each record with their positions.
+    """(id, hub, h, at, size, small): the rarest pieces of each record with their positions.
 
-    A record takes part as the smaller of a pair with ``probe`` false and its shorter
-    beginning, and as the larger with ``probe`` true and all rows.
+    A record takes part as the smaller of a pair with the rows that are ``small``, its
+    shorter beginning, and as the larger with all. Pieces that no other text holds are left out.
     """
 
     def index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rank = frequency.value
-        for frame in frames:
-            out = []
-            for i, hub, norm in zip(frame["id"], frame["hub"], frame["norm"], strict=True):
-                p = rarest_first(piece_hashes(norm), rank)
-                size = len(p)
-                # The smaller of a pair shares at least 2t/(1+t) of its pieces, the larger t.
-                as_small = math.ceil(2 * threshold / (1 + threshold) * size - 1e-9)
-                as_large = math.ceil(threshold * size - 1e-9)
-                short, long = min(size, size - as_small + hits), min(size, size - as_large + hits)
-                at = np.arange(long)
-                out.append(pd.DataFrame({"id": i, "hub": hub, "h": p[:long], "at": at, "size": size, "small": at < short}))
-            if out:
-                yield pd.concat(out)
+        for frame in portions(frames, "norm"):
+            row, h, at, size = rarest_first(*piece_rows(frame["norm"].to_numpy()), rank)
+            # The smaller of a pair shares at least 2t/(1+t) of its pieces, the larger t.
+            as_small = np.ceil(2 * threshold / (1 + threshold) * size - 1e-9).astype(np.int64)
+            as_large = np.ceil(threshold * size - 1e-9).astype(np.int64)
+            some = (at < size - as_large + hits) & (rank[slots(h)] > 1)
+            id_, hub = frame["id"].to_numpy()[row[some]], frame["hub"].to_numpy()[row[some]]
+            yield pd.DataFrame({"id": id_, "hub": hub, "h": h[some], "at": at[some], "size": size[some], "small": (at < size - as_small + hits)[some]})
 
     return texts.select("id", "hub", "norm").mapInPandas(index, "id long, hub long, h long, at int, size int, small boolean")
 
@@ -103,9 +101,9 @@ def _hubs_and_links(texts: DataFrame, threshold: float, hits: int) -> tuple[Data
     spark = texts.sparkSession
 
     def bands(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            keys = [band_keys(piece_hashes(norm)) for norm in frame["norm"]]
-            yield pd.DataFrame({"id": np.repeat(frame["id"].to_numpy(), BANDS), "k": np.concatenate([*keys, np.empty(0, np.int64)])})
+        for frame in portions(frames, "norm"):
+            row, key = band_keys(*piece_rows(frame["norm"].to_numpy()))
+            yield pd.DataFrame({"id": frame["id"].to_numpy()[row], "k": key})
 
     banded = texts.mapInPandas(bands, "id long, k long")
     hubs = banded.groupBy("k").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1")

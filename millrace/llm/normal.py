@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 
 PIECE = 5
 
@@ -33,17 +35,42 @@ def pieces(normalised: str, n: int = PIECE) -> set[str]:
     return {normalised[i : i + n] for i in range(len(normalised) - n + 1)}
 
 
-def piece_hashes(normalised: str, n: int = PIECE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the pieces, as int64."""
-    codes = np.frombuffer(normalised.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+def piece_rows(normalised: Sequence[str], n: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, 64-bit hash) of the distinct pieces of each text, sorted by both."""
+    lengths = np.fromiter(map(len, normalised), dtype=np.int64, count=len(normalised))
+    codes = np.frombuffer("".join(normalised).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     count = len(codes) - n + 1
     if count <= 0:
-        return np.empty(0, dtype=np.int64)
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
     with np.errstate(over="ignore"):
         h = np.full(count, 0x9E3779B97F4A7C15, dtype=np.uint64)
         for i in range(n):
             h += codes[i : i + count] * _FACTORS[i]
-    return np.unique(mix(h).view(np.int64))
+    row = np.repeat(np.arange(len(lengths)), lengths)[:count]
+    whole = np.arange(n, count + n) <= np.cumsum(lengths)[row]
+    h, row = mix(h[whole]).view(np.int64), row[whole]
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    first = np.ones(len(h), dtype=bool)
+    first[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    return row[first], h[first]
+
+
+def piece_hashes(normalised: str, n: int = PIECE) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the pieces, as int64."""
+    return piece_rows([normalised], n)[1]
+
+
+def portions(frames: Iterator[pd.DataFrame], column: str, most: int = 1_000_000) -> Iterator[pd.DataFrame]:
+    """The rows in portions of so many characters, or of one text, to be hashed at a time."""
+    for frame in frames:
+        ends = frame[column].str.len().cumsum().to_numpy()
+        at = 0
+        while at < len(frame):
+            before = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+            yield frame.iloc[at:stop]
+            at = stop
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .normal import mix, piece_hashes
+from .normal import mix, piece_rows, portions
 
 #: Counters of the sketch of piece frequencies: a fixed size, whatever the data's.
 SKETCH = 1 << 20
@@ -35,10 +35,8 @@ def sketch(texts: DataFrame, column: str = "norm") -> np.ndarray:
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(SKETCH, dtype=np.int32)
-        for frame in frames:
-            at = [slots(piece_hashes(norm)) for norm in frame[column]]
-            if at:
-                total += np.bincount(np.concatenate(at), minlength=SKETCH).astype(np.int32)
+        for frame in portions(frames, column):
+            total += np.bincount(slots(piece_rows(frame[column].to_numpy())[1]), minlength=SKETCH).astype(np.int32)
         parts = total.reshape(-1, part)
         some = np.flatnonzero(parts.any(axis=1))
         yield pd.DataFrame({"i": some, "b": [parts[k].tobytes() for k in some]})
@@ -55,9 +53,14 @@ def sketch(texts: DataFrame, column: str = "norm") -> np.ndarray:
     return out
 
 
-def rarest_first(hashes: np.ndarray, frequency: np.ndarray) -> np.ndarray:
-    """The hashes in the order that holds for all records."""
-    return hashes[np.lexsort((hashes, frequency[slots(hashes)]))]
+def rarest_first(row: np.ndarray, hashes: np.ndarray, frequency: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The pieces of each text in the order that holds for all records: text number, hash,
+    position in the text's order, and the number of the text's pieces."""
+    order = np.lexsort((hashes, frequency[slots(hashes)], row))
+    sizes = np.bincount(row)
+    starts = np.concatenate(([0], np.cumsum(sizes)))[:-1] if len(sizes) else sizes
+    row, hashes = row[order], hashes[order]
+    return row, hashes, np.arange(len(row)) - starts[row], sizes[row]
 
 
 def piece_filter(indexed: DataFrame, column: str = "h") -> np.ndarray:
