@@ -80,7 +80,7 @@ def trimmed(text: Column) -> Column:
 def complete(text: Column) -> Column:
     """True where a trimmed text ends in a sentence mark, or in a predicate or note that needs none."""
     line = F.substring_index(text, "\n", -1)
-    return F.right(text, F.lit(SHORT)).rlike(rf"{STOPPED}|{PREDICATE}|{STRAY}") | line.rlike(NOTE_STYLE)
+    return F.right(text, F.lit(2)).rlike(_PLAIN) | F.right(text, F.lit(SHORT)).rlike(rf"{STOPPED}|{PREDICATE}|{STRAY}") | line.rlike(NOTE_STYLE)
 
 
 _re = {

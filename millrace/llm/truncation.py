@@ -29,8 +29,9 @@ CLOSERS = "*_`~)]}>\"''”’」』】》〉"
 #: What remains of an entity, a tag, an escape or a character after a stopped transfer.
 CODE = r"(?:&(?:[A-Za-z][A-Za-z0-9]{0,7}|#[0-9xX]?[0-9A-Fa-f]{0,6})?|</?[A-Za-z]{0,8}|\\[ux]?[0-9A-Fa-f]{0,3}|%[0-9A-F]|\x{fffd}+|[\x{1100}-\x{115f}])$"
 
-_DIGITS = "translate({0}, '123456789', '000000000')"
-_WORDS = rf"split(trim(both ' \t\r' from replace({_DIGITS}, '\n', ' \n ')), '[ \t\r]+')"
+#: A text as words and line breaks with single spaces between, digits as 0.
+_LINE = r"trim(both ' ' from replace(translate({0}, '123456789\t\r', '000000000  '), '\n', ' \n '))"
+_WORDS = f"split({_LINE}, ' ')"
 
 
 def _closed(word: str) -> str:
@@ -49,13 +50,19 @@ def _ending(word: str) -> str:
     """The last two characters of the bare word, with a mark if it had a stop or was closed."""
     bare, closed, marks = _bare(word), _closed(word), (STOPS + CLOSERS).replace("'", "\\'")
     mark = f"if({bare} <> {closed}, '.', if({closed} <> {word}, ')', ''))"
-    return f"if(instr('{marks}', right({word}, 1)) = 0, right({word}, 2), concat(right({bare}, 2), {mark}))"
+    # Most words have no mark, and most of the others one stop after a letter.
+    plain = f"instr('{STOPS}', right({word}, 1)) > 0 and length({word}) > 2 and instr('0{marks}', left(right({word}, 2), 1)) = 0"
+    return (
+        f"if(instr('{marks}', right({word}, 1)) = 0, right({word}, 2),"
+        f" if({plain}, concat(left(right({word}, 3), 2), '.'), concat(right({bare}, 2), {mark})))"
+    )
 
 
 def bodies(text: Column) -> Column:
     """Trimmed texts without the remains of a code at their ends."""
     short = F.right(text, F.lit(10))
-    return F.when(short.rlike(CODE), F.regexp_replace(text, r"[\s\p{Z}]*" + CODE, "")).otherwise(text)
+    marked = (F.translate(short, "&<\\%\ufffd", "") != short) | F.right(text, F.lit(1)).between("\u1100", "\u115f")
+    return F.when(marked, F.regexp_replace(text, r"[\s\p{Z}]*" + CODE, "")).otherwise(text)
 
 
 def _kind(ending: str) -> Column:
@@ -152,10 +159,9 @@ def cut_texts(
     excluded = (F.length("text") == 0) | endings.complete(F.col("_trimmed"))
     rows = rows.withColumn("_open", F.when(~excluded, True))
     rows = rows.withColumn("_open", F.col("_open") & _otherwise_sound(F.when(F.col("_open"), F.col("asked")), F.when(F.col("_open"), F.col("raw"))))
-    # The last words are what follows the third space from the end; line breaks are words.
-    tail = F.expr(r"substring_index(rtrim(regexp_replace(replace(text, '\n', ' \n '), '[ \t\r]+', ' ')), ' ', -3)")
-    rows = rows.withColumn("_tail", F.when(F.col("_open"), tail))
-    rows = rows.withColumn("e", F.expr(f"concat(array('^', '^'), transform({_WORDS.format('_tail')}, x -> {_ending('x')}))"))
+    # The last words are what follows the third space from the end.
+    rows = rows.withColumn("_tail", F.when(F.col("_open"), F.expr(f"substring_index({_LINE.format('text')}, ' ', -3)")))
+    rows = rows.withColumn("e", F.expr(f"concat(array('^', '^'), transform(split(_tail, ' '), x -> {_ending('x')}))"))
     trigram = [F.element_at("e", i - 3).alias(c) for i, c in enumerate("abc")]
     last = (
         rows.select("_k", "field_name", F.struct("_t", *trigram, "_keep").alias("m"))
