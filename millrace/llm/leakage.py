@@ -2,9 +2,10 @@
 
 One Aho-Corasick automaton over the normalised evaluation texts runs once over every
 normalised document. A shared run of ``least`` characters holds at least one of the
-blocks into which each evaluation text is cut (blocks of half that length, end to end),
-so the automaton needs one short pattern per block only; a hit is widened to both sides
-and counts if the run is long enough. Offsets are mapped back to the original text.
+blocks taken from each evaluation text (blocks of half that length, one at every step of
+half the length and one more), so the automaton needs one short pattern per block only; a
+hit is widened to both sides and counts if the run is long enough. Offsets are mapped back
+to the original text.
 """
 
 from __future__ import annotations
@@ -16,8 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .normal import normalise
+from .storage import kept
 
-#: Characters of evaluation text in one automaton; more are scanned for in further passes.
+#: Characters of evaluation text in one automaton and on the driver at a time; more are
+#: scanned for in further passes over the documents.
 PASS_CHARS = 4_000_000
 
 
@@ -82,39 +85,46 @@ def original_offsets(text: str, start: int, length: int) -> tuple[int, int]:
     return max(0, first(start + 1) - 1), first(start + length)
 
 
-def leaks(documents: DataFrame, passages: DataFrame, doc_key: str, doc_text: str, passage_key: str, passage_text: str, least: int = 40) -> DataFrame:
+def _passes(passages: DataFrame, key: str, text: str, most: int) -> Iterator[list[tuple]]:
+    """The normalised passages in portions of so many characters, or of one passage."""
+    held: list[tuple] = []
+    room = most
+    for row in passages.select(key, text).toLocalIterator():
+        normal = normalise(row[1])
+        if room < len(normal) and held:
+            yield held
+            held, room = [], most
+        held.append((row[0], normal))
+        room -= len(normal)
+    yield held
+
+
+def leaks(
+    documents: DataFrame, passages: DataFrame, doc_key: str, doc_text: str, passage_key: str, passage_text: str, least: int = 40, pass_chars: int = PASS_CHARS
+) -> DataFrame:
     """(passage_key, doc_key, n_shared, doc_start, doc_end) for every document that holds
     ``least`` or more consecutive characters of a normalised evaluation text; the longest
     run counts. Null texts count as empty and share nothing; repeated documents come out
-    once each. The evaluation texts are held-out material of bounded size: they are read
-    to the driver in passes of PASS_CHARS characters, each sent to the executors once.
+    once each; no passages or no documents give an empty result.
+
+    The documents are scanned once for every ``pass_chars`` characters of evaluation text.
+    The driver and the executors hold one such portion at a time: with more than one, the
+    findings of a pass are written down before the next portion is read.
     """
     spark = documents.sparkSession
     key_type = passages.schema[passage_key].dataType.simpleString()
     doc_type = documents.schema[doc_key].dataType.simpleString()
-    batches: list[list[tuple]] = [[]]
-    room = PASS_CHARS
-    for row in passages.select(passage_key, passage_text).toLocalIterator():
-        text = normalise(row[1])
-        if room < len(text) and batches[-1]:
-            batches.append([])
-            room = PASS_CHARS
-        batches[-1].append((row[0], text))
-        room -= len(text)
-
     slim = documents.select(F.col(doc_key).alias("d"), F.col(doc_text).alias("t")).filter("length(t) > 0")
     schema = f"p {key_type}, d {doc_type}, n_shared int, doc_start int, doc_end int"
-    found = None
-    for batch in batches:
-        sent = spark.sparkContext.broadcast(batch)
 
-        def scan(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+    def scanned(sent) -> DataFrame:
+        def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             known = sent.value
             automaton = _automaton(known, least)
             for frame in frames:
                 out = []
                 for d, t in zip(frame["d"], frame["t"], strict=True):
-                    if automaton is None or len(t) < least // 4:
+                    if automaton is None:
                         continue
                     best: dict[int, tuple[int, int]] = {}
                     for n, _, at, length in shared_runs(automaton, known, least, normalise(t)):
@@ -123,7 +133,18 @@ def leaks(documents: DataFrame, passages: DataFrame, doc_key: str, doc_text: str
                     out += [(known[n][0], d, length, *original_offsets(t, at, length)) for n, (length, at) in best.items()]
                 yield pd.DataFrame(out, columns=["p", "d", "n_shared", "doc_start", "doc_end"])
 
-        part = slim.mapInPandas(scan, schema)
+        return slim.mapInPandas(scan, schema)
+
+    portions = _passes(passages, passage_key, passage_text, pass_chars)
+    portion, following = next(portions), next(portions, None)
+    found = None
+    while following is not None:
+        sent = spark.sparkContext.broadcast(portion)
+        part = kept(scanned(sent))
+        sent.destroy()
         found = part if found is None else found.unionByName(part)
+        portion, following = following, next(portions, None)
+    last = scanned(spark.sparkContext.broadcast(portion))
+    found = last if found is None else found.unionByName(last)
     best = found.groupBy("p", "d").agg(F.max(F.struct("n_shared", "doc_start", "doc_end")).alias("m"))
     return best.select(F.col("p").alias(passage_key), F.col("d").alias(doc_key), "m.*")

@@ -184,6 +184,13 @@ def near_duplicate_groups(
     )
 
 
+def named_by_least(groups: DataFrame, key: str) -> DataFrame:
+    """The groups with the least key of each class as its id."""
+    least = groups.groupBy("class_id").agg(F.min(key).alias("_least"))
+    named = groups.join(least, "class_id", "left")
+    return named.select(*[F.col("_least").alias("class_id") if c == "class_id" else c for c in groups.columns])
+
+
 def grouped_pairs(groups: DataFrame, key: str) -> DataFrame:
     """(id_a, id_b) for every two records of a class, id_a the lesser by code point."""
     a, b = groups.select(F.col(key).alias("id_a"), "class_id"), groups.select(F.col(key).alias("id_b"), "class_id")

@@ -18,8 +18,8 @@ from .normal import mix, piece_rows, portions
 
 #: Counters of the sketch of piece frequencies: a fixed size, whatever the data's.
 SKETCH = 1 << 20
-#: Bits of the filter on indexed pieces: likewise fixed.
-FILTER_BITS = 1 << 24
+#: Bits of the filter on indexed pieces, at least and at most; in between, so many for each piece.
+FILTER_BITS, BITS_EACH = (1 << 20, 1 << 30), 16
 
 
 def slots(hashes: np.ndarray, size: int = SKETCH) -> np.ndarray:
@@ -64,27 +64,38 @@ def rarest_first(row: np.ndarray, hashes: np.ndarray, frequency: np.ndarray) ->
 
 
 def piece_filter(indexed: DataFrame, column: str = "h") -> np.ndarray:
-    """A bitmap of the indexed pieces, joined by Spark from parts of 1,024 bytes."""
-    part = 1 << 13
+    """A bitmap of the indexed pieces, joined by Spark from parts of 1,024 bytes.
+
+    Its size follows the number of pieces up to 128 MB. Beyond that it lets more pieces through
+    that are not indexed, which the join on the index then drops.
+    """
+    least, most = FILTER_BITS
+    bits = min(most, max(least, 1 << (BITS_EACH * indexed.count() - 1).bit_length()))
+    part = 1 << 10
 
     def mark(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = np.zeros(FILTER_BITS, dtype=bool)
+        packed = np.zeros(bits // 8, dtype=np.uint8)
         for frame in frames:
-            bits[slots(frame[column].to_numpy(), FILTER_BITS)] = True
-        for i in np.flatnonzero(bits.reshape(-1, part).any(axis=1)):
-            yield pd.DataFrame({"i": [i], "b": [np.packbits(bits[i * part : (i + 1) * part]).tobytes()]})
+            at = np.unique(slots(frame[column].to_numpy(), bits))
+            byte, bit = at >> 3, np.left_shift(1, 7 - (at & 7))
+            first = np.flatnonzero(np.diff(byte, prepend=-1))
+            if len(first):
+                packed[byte[first]] |= np.add.reduceat(bit, first).astype(np.uint8)
+        parts = packed.reshape(-1, part)
+        some = np.flatnonzero(parts.any(axis=1))
+        yield pd.DataFrame({"i": some, "b": [parts[k].tobytes() for k in some]})
 
     def join(frame: pd.DataFrame) -> pd.DataFrame:
         b = np.bitwise_or.reduce([np.frombuffer(x, dtype=np.uint8) for x in frame["b"]])
         return pd.DataFrame({"i": [frame["i"].iloc[0]], "b": [b.tobytes()]})
 
     parts = indexed.select(column).mapInPandas(mark, "i long, b binary").groupBy("i").applyInPandas(join, "i long, b binary")
-    out = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    for row in parts.collect():
-        out[row["i"] * (part // 8) : (row["i"] + 1) * (part // 8)] = np.frombuffer(row["b"], dtype=np.uint8)
+    out = np.zeros(bits // 8, dtype=np.uint8)
+    for row in parts.toLocalIterator():
+        out[row["i"] * part : (row["i"] + 1) * part] = np.frombuffer(row["b"], dtype=np.uint8)
     return out
 
 
 def may_hold(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = slots(hashes, FILTER_BITS)
+    at = slots(hashes, 8 * len(bitmap))
     return (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1

@@ -12,6 +12,10 @@ from . import contamination, leakage, neardup, packing, pairs, residue, sampling
 from .tables import latest, read
 
 LIMIT, OVERLAP = 400, 80
+TOKEN_LIMIT, TOKEN_OVERLAP = 256, 32
+VOCABULARY = f"{packing.TOKENIZERS}/{packing.VOCABULARY}"
+#: Capacities of containers that are to be even in attention cost too.
+PLACES, COST = 16, packing.CAPACITY**2 // 2
 ANSWERS = ["pred_answer", "gold_answer"]
 FIELDS = {"context": None, "pred_answer": "question"}
 
@@ -33,6 +37,11 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_items(_items(spark, d), ["item_kind", "item_id"], "_t", LIMIT, OVERLAP).distinct()
 
 
+def p1_token_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of all items, cut by tokens."""
+    return splitting.split_items(_items(spark, d), ["item_kind", "item_id"], "_t", TOKEN_LIMIT, TOKEN_OVERLAP, packing.token_sizes(VOCABULARY)).distinct()
+
+
 _PLAN = dict(key="id", labels=["disaster_type", "q_type"], order="loaded_at", plan="plan_id", share="target_share", least="min_items", size="n_items")
 
 
@@ -85,8 +94,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_classes(spark: SparkSession, d: str) -> DataFrame:
-    """Every record with its class and the number of other texts that its text is alike to."""
-    return neardup.near_duplicate_groups(_qa(spark, d), "id", ["question", "gold_answer"], "loaded_at", 0.5)
+    """Every record with its class, named by its least id, and the number of other texts that its text is alike to."""
+    return neardup.named_by_least(neardup.near_duplicate_groups(_qa(spark, d), "id", ["question", "gold_answer"], "loaded_at", 0.5), "id")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -103,14 +112,22 @@ def p6_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.cut_rates(read(spark, d, "experiment_results"), "result_id", FIELDS, ["model", "condition"], "loaded_at")
 
 
+def _tokens(spark: SparkSession, d: str) -> DataFrame:
+    return packing.token_counts(spread(read(spark, d, "documents")), "doc_id", "text", VOCABULARY)
+
+
 def p7_assignment(spark: SparkSession, d: str) -> DataFrame:
     """The container of every document, or of every part of a document above the capacity."""
-    counts = packing.token_counts(spread(read(spark, d, "documents")), "doc_id", "text", f"{packing.TOKENIZERS}/{packing.VOCABULARY}")
-    return packing.packed(counts, "k", "n_tokens").withColumnRenamed("k", "doc_id")
+    return packing.packed(_tokens(spark, d), "k", "n_tokens").withColumnRenamed("k", "doc_id")
+
+
+def p7_balanced(spark: SparkSession, d: str) -> DataFrame:
+    """The same for containers of few documents and half the attention cost."""
+    return packing.packed(_tokens(spark, d), "k", "n_tokens", places=PLACES, cost=COST).withColumnRenamed("k", "doc_id")
 
 
 def p7_space(spark: SparkSession, d: str) -> DataFrame:
-    """How much of the containers is used."""
+    """How much of the containers is used, and how few would do at least."""
     return packing.space(p7_assignment(spark, d))
 
 
@@ -137,8 +154,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            p1_found, p1_pieces, p2_found, p2_shortfalls, p2_sample, p3_found, p3_rates, p4_found, p4_defects, p5_found, p5_classes,
-            p6_found, p6_rates, p7_assignment, p7_space, p8_found, p8_spans, p9_found, p9_kinds,
+            p1_found, p1_pieces, p1_token_pieces, p2_found, p2_shortfalls, p2_sample, p3_found, p3_rates, p4_found, p4_defects, p5_found, p5_classes,
+            p6_found, p6_rates, p7_assignment, p7_balanced, p7_space, p8_found, p8_spans, p9_found, p9_kinds,
         )
     }
 
@@ -199,12 +216,81 @@ with latest as (
 """
 
 
+# The compatibility characters of these tables, in place of a full NFKC.
+def _normal(column: str) -> str:
+    composed = f"replace(replace(replace(nfc_normalize(coalesce({column}, '')), '㎥', 'm3'), '㎍', 'μg'), '℃', 'c')"
+    return f"regexp_replace(lower(translate({composed}, '０１２３４５６７８９', '0123456789')), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
+
+
+_OVERLAPS = f"""
+with asked as (
+  select distinct id, {_normal("question")} as n from qa_dataset
+), said as (
+  select distinct item_id, {_normal("m.content")} as n from (select item_id, unnest(messages) as m from ft_dataset) where lower(trim(m.role)) = 'user'
+), q as (
+  select distinct id, n, substring(n, i, 5) as p from (select id, n, unnest(generate_series(1, length(n) - 4)) as i from asked)
+), m as (
+  select distinct item_id, n, substring(n, i, 5) as p from (select item_id, n, unnest(generate_series(1, length(n) - 4)) as i from said)
+), sizes as (
+  select id, n, count(*) as c from q group by id, n
+), hits as (
+  select distinct id as qa_id, item_id from (
+    select q.id, q.n, m.item_id, m.n as mn, count(*) as n_both from q join m using (p) group by q.id, q.n, m.item_id, m.n
+  ) join sizes using (id, n) where n_both >= 0.75 * c
+)
+"""
+
+_GROUPS = f"""
+with recursive latest as (
+  select id, question, gold_answer from qa_dataset
+  qualify row_number() over (partition by id order by loaded_at desc, question desc nulls last, gold_answer desc nulls last) = 1
+), texts as (
+  select id, {_normal("concat(coalesce(question, ''), ' ', coalesce(gold_answer, ''))")} as n from latest
+), p as (
+  select distinct n, substring(n, i, 5) as p from (select distinct n, unnest(generate_series(1, length(n) - 4)) as i from texts)
+), sizes as (
+  select n, count(*) as c from p group by n
+), links as (
+  select a.n as x, b.n as y, count(*) as n_both from p a join p b on a.p = b.p and a.n <> b.n group by a.n, b.n
+), alike as (
+  select x, y from links join sizes s on s.n = x join sizes t on t.n = y where n_both >= 0.5 * (s.c + t.c - n_both)
+), reached as (
+  select distinct n as x, n as y from texts where n <> ''
+  union
+  select r.x, a.y from reached r join alike a on r.y = a.x
+)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"""
 select distinct 'page_content' as item_kind, page_id as item_id from kb_documents where {_long("page_content")}
 union
 select distinct 'chunk_text', chunk_id from chunks where {_long("text")}
+""",
+        "p3_found": f"{_OVERLAPS} select qa_id, item_id from hits",
+        "p3_rates": f"""{_OVERLAPS}
+, latest as (
+  select id, split, source_file from qa_dataset
+  qualify row_number() over (partition by id order by loaded_at desc, split desc nulls last, source_file desc nulls last) = 1
+)
+select split, source_file, count(*) as n_pairs, count(distinct qa_id) as n_questions, count(distinct item_id) as n_items
+from hits join latest on qa_id = id group by split, source_file
+""",
+        "p5_found": f"{_GROUPS} select distinct a.id as id_a, b.id as id_b from reached r join texts a on a.n = r.x join texts b on b.n = r.y where a.id < b.id",
+        "p5_classes": f"""{_GROUPS}
+select t.id, (select min(u.id) from reached r join texts u on u.n = r.y where r.x = t.n) as class_id, (select count(*) from alike where x = t.n) as n_links from texts t
+""",
+        "p8_found": f"""
+with p as (
+  select distinct passage_id, substring(n, i, 40) as run
+  from (select passage_id, n, unnest(generate_series(1, length(n) - 39)) as i from (select passage_id, {_normal("text")} as n from eval_passages))
+), d as (
+  select distinct doc_id, substring(n, i, 40) as run
+  from (select doc_id, n, unnest(generate_series(1, length(n) - 39)) as i from (select doc_id, {_normal("text")} as n from documents))
+)
+select distinct passage_id, doc_id from p join d using (run)
 """,
         # The categories of these plans share no records; where they do, the tests compare with brute force.
         "p2_shortfalls": f"{_DRAWN} select * from report",

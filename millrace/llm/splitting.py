@@ -107,6 +107,6 @@ def split_items(df: DataFrame, keys: list[str], text: str, limit: int = 400, ove
 
     Rows with equal keys and text count once. Null and blank items have no pieces.
     """
-    items = df.select(*keys, F.col(text).alias("_x")).filter(F.length("_x") > 0)
-    cut = items.withColumn("_p", pieces_of(F.col("_x"), limit, overlap, sizes)).drop("_x").distinct()
+    items = df.select(*keys, F.col(text).alias("_x")).filter(F.length("_x") > 0).distinct()
+    cut = items.withColumn("_p", pieces_of(F.col("_x"), limit, overlap, sizes)).drop("_x")
     return cut.select(*keys, F.size("_p").alias("n_pieces"), F.inline("_p"))

@@ -143,11 +143,11 @@ def cut_texts(
     values = F.array(
         *[
             F.struct(
-                F.lit(f).alias("field_name"),
+                F.lit(i).alias("field_name"),
                 F.col(f).cast("string").alias("raw"),
                 (F.col(q).cast("string") if q else F.lit("")).alias("asked"),
             )
-            for f, q in fields.items()
+            for i, (f, q) in enumerate(fields.items(), 1)
         ]
     )
     when = F.col(order) if order else F.lit(0)
@@ -170,8 +170,9 @@ def cut_texts(
         .select("_k", "field_name", "m.a", "m.b", "m.c", "m._keep")
     )
     found = last.join(rare, ["field_name", "a", "b", "c"], "left" if keep else "inner")
+    name = F.element_at(F.array(*[F.lit(f) for f in fields]), F.col("field_name")).alias("field_name")
     return found.select(
-        F.col("_k").alias(key), "field_name", F.coalesce("rare", F.lit(False)).alias("cut"), *[F.col(f"_keep.{c}").alias(c) for c in keep or []]
+        F.col("_k").alias(key), name, F.coalesce("rare", F.lit(False)).alias("cut"), *[F.col(f"_keep.{c}").alias(c) for c in keep or []]
     )
 
 

@@ -6,12 +6,13 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import contamination, neardup, packing, sampling
+from millrace.llm import contamination, neardup, overlap, packing, sampling
 from millrace.llm.components import components
-from millrace.llm.normal import normalise, pieces
+from millrace.llm.normal import normalise, piece_hashes, piece_rows, pieces, portions
 
 PLAN = dict(key="id", labels=["a", "b"], order="t", plan="plan_id", share="share", least="least", size="size")
 
@@ -242,6 +243,34 @@ def test_links_equal_brute_force(spark):
     assert neardup.near_duplicate_groups(df, "id", ["q"], count_links=False).columns == ["id", "class_id"]
 
 
+def test_pieces_of_many_texts_at_once():
+    rng = random.Random(13)
+    texts = [normalise(t) for t in _texts(rng, 30)] + ["", "abcd", "abcde", "가" * 40]
+    row, h = piece_rows(texts)
+    for i, t in enumerate(texts):
+        assert h[row == i].tolist() == piece_hashes(t).tolist() and len(piece_hashes(t)) == len(pieces(t))
+    where, keys = neardup.band_keys(row, h)
+    assert sorted(set(where.tolist())) == sorted(set(row.tolist())) and len(keys) == neardup.BANDS * len(set(row.tolist()))
+    r, k = neardup.band_keys(*piece_rows([texts[3]]))
+    assert keys[where == 3].tolist() == k.tolist() and set(r.tolist()) == {0}
+    assert [len(x) for x in portions(iter([pd.DataFrame({"n": ["a" * 5, "b" * 9, "c" * 30, "", "d"]})]), "n", 14)] == [2, 1, 2]
+    assert piece_rows([])[0].size == 0 and neardup.band_keys(*piece_rows(["ab"]))[1].size == 0
+
+
+def test_filter_lets_all_indexed_pieces_pass(spark):
+    df = spark.range(1000).selectExpr("xxhash64(id) as h")
+    bits = overlap.piece_filter(df.repartition(3))
+    held = np.array([r["h"] for r in df.collect()], dtype=np.int64)
+    other = np.arange(1, 20001, dtype=np.int64) * 7919
+    assert overlap.may_hold(bits, held).all() and overlap.may_hold(bits, other).mean() < 0.01 and 8 * len(bits) == overlap.FILTER_BITS[0]
+    assert not overlap.may_hold(overlap.piece_filter(df.limit(0)), held).any()
+
+
+def test_classes_named_by_their_least_key(spark):
+    df = spark.createDataFrame([("b", 7), ("a", 7), ("c", 9), ("n", None)], "id string, class_id long")
+    assert {r["id"]: r["class_id"] for r in neardup.named_by_least(df, "id").collect()} == {"a": "a", "b": "a", "c": "c", "n": None}
+
+
 def test_near_duplicates_of_nothing(spark):
     df = spark.createDataFrame([], "id string, q string")
     assert neardup.near_duplicate_groups(df, "id", ["q"]).count() == 0
@@ -277,6 +306,30 @@ def test_best_fit_keeps_every_limit(rule):
         assert where.max() + 1 <= 1.03 * max(np.ceil(sizes.sum() / 2048), (sizes > 1024).sum())
 
 
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_places_and_cost_decide(rule):
+    sizes = np.array([1000, 900, 100, 40, 30, 20, 10])
+    loose = packing.best_fit(sizes, 2048, 256, 2048**2, rule=rule)
+    assert loose.max() == 1 and loose[0] == loose[1]
+    few = packing.best_fit(sizes, 2048, 3, 2048**2, rule=rule)
+    assert np.bincount(few).max() == 3 and few.max() == 2
+    # Both halves fit by tokens, not by the sum of their squares; the largest stands alone.
+    flat = packing.best_fit(np.array([1700, 1000, 900, 100]), 2048, 256, 1_200_000, rule=rule)
+    assert flat[0] not in flat[1:] and flat[1] != flat[2] and flat[3] in flat[1:3]
+
+
+def test_space_and_its_bounds(spark):
+    rows = [(i, n) for i, n in enumerate([2000, 1900, 500, 500, 500, 10, 10, 10, 10])]
+    df = spark.createDataFrame(rows, "k long, n long")
+    got = packing.packed(df, "k", "n", places=4, cost=packing.CAPACITY**2 // 2)
+    by = {r["k"]: r["container_id"] for r in got.collect()}
+    assert len({by[0], by[1], by[2]}) == 3 and by[2] == by[3] == by[4] and [by[i] for i in range(2)].count(by[5]) == 0
+    r = packing.space(got, places=4, cost=packing.CAPACITY**2 // 2).first()
+    assert (r["n_parts"], r["n_containers"], r["n_tokens"]) == (9, 4, 5440)
+    assert (r["least_by_tokens"], r["least_by_places"], r["least_by_cost"]) == (3, 3, 3)
+    assert got.rdd.getNumPartitions() == 1 and packing.packed(df, "k", "n", group_items=2).rdd.getNumPartitions() == 5
+
+
 def test_packed(spark):
     rng = random.Random(9)
     rows = [(i, rng.randint(0, 900)) for i in range(500)] + [(1000, 5000), (1001, 2048), (1002, 2049), (1003, None), (1004, 0), (7, 10), (None, 3)]

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from millrace.llm import endings, leakage, pairs, residue, splitting, truncation
+from millrace.llm import endings, leakage, packing, pairs, residue, splitting, truncation
 from millrace.llm.normal import normalise, piece_hashes, pieces
 
 TEXTS = st.text(alphabet="가나다 ab.\n!?한 é１。 ", max_size=1500)
@@ -277,6 +277,39 @@ def test_what_a_pattern_matches_passes_the_automaton(kind):
         assert residue._may_hold(text), text
 
 
+def test_leaks_in_passes_and_from_few_characters(spark):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("가나다라마바사아자차") for _ in range(6))
+    passages = [(i, " ".join(word() for _ in range(12))) for i in range(9)] + [(90, None), (91, "\ufdfa" * 5)]
+    docs = [(i, f"앞 {p} 뒤") for i, p in passages[:9]] + [(50, passages[2][1] + " " + passages[7][1]), (60, "\ufdfa" * 5), (61, None), (62, "")]
+    p, d = spark.createDataFrame(passages, "pid long, text string"), spark.createDataFrame(docs, "doc_id long, text string").withColumn("p", F.lit(0))
+    once = leakage.leaks(d, p, "doc_id", "text", "pid", "text", 40)
+    wanted = {(i, i) for i in range(9)} | {(2, 50), (7, 50), (91, 60)}
+    assert {(r["pid"], r["doc_id"]) for r in once.collect()} == wanted
+    many = leakage.leaks(d, p, "doc_id", "text", "pid", "text", 40, pass_chars=150)
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, once.collect()))
+    assert leakage.leaks(d, p.limit(0), "doc_id", "text", "pid", "text", 40).count() == 0
+
+
+def test_pieces_by_tokens(spark):
+    import os
+
+    path = f"{packing.TOKENIZERS}/{packing.VOCABULARY}"
+    if not os.path.exists(path):
+        pytest.skip("no tokenizers here")
+    sizes, coder = packing.token_sizes(path), packing.tokenizer(path)
+    text = " ".join(f"{i}번째 출입구의 문을 닫고 대피합니다. Close gate {i}! 😀" for i in range(60))
+    assert sizes(text).sum() == len(coder.encode_ordinary(text)) and len(sizes(text)) == len(text)
+    cut = splitting.split_item(text, 64, 16, sizes)
+    sums = [0, *sizes(text).cumsum().tolist()]
+    assert len(cut) > 5 and all(sums[b] - sums[a] <= 64 for _, a, b, _ in cut)
+    assert all(text[b - 1] == " " or b == len(text) for _, _, b, _ in cut)
+    for (_, _, b, _), (_, a, _, _) in zip(cut, cut[1:], strict=False):
+        assert 0 < sums[b] - sums[a] <= 16
+    rows = splitting.split_items(spark.createDataFrame([(1, text), (1, text), (2, None)], "k long, t string"), ["k"], "t", 64, 16, sizes).collect()
+    assert sorted((r["piece_no"], r["start"], r["stop"]) for r in rows) == [(n, a, b) for n, a, b, _ in cut]
+
+
 FINISHED = [
     "물을 끄고 대피합니다.", "가스를 잠그세요", "손전등을 챙길 것", "1) 문을 닫음\n2) 불을 끔", "최대 기준: 14.5m", "안내문에는 \"잠그세요\"라고 적혀 있습니다. 🙏",
     "준비물\n- 담요\n- 손전등", "끝났습니다. (근거: AB-12)", "문을 닫아 주시기 바람", "Leave by the gate.", "請打開窗戶。", "**안내**",
