@@ -1,8 +1,8 @@
 """When is a text finished, and when does it break off?
 
-The patterns work alike in Java's and Python's regular expressions, so that the
-SQL operator on cut texts and the rules on answer pairs share one definition.
-They look at the end of a text whose trailing white space is gone.
+The rules on answer pairs use all of what follows in Python; the operator on cut texts uses,
+in SQL, what completes a sentence or note. Patterns look at the end of a text whose trailing
+white space is gone, those on lines at whole lines.
 """
 
 from __future__ import annotations
@@ -22,9 +22,6 @@ BROKEN_CODE = (
 #: A number whose decimals are missing, a joining mark, an opening mark or a comma.
 OPEN_END = r"(?:\d\.|\d,|[\-–—~·/+=&@#(\[{<「『“‘《〈,、，;；]|[A-Za-z0-9][\-–—]|\bRef\.?)$"
 
-#: An opening bracket or corner quote that nothing closes, in the last line.
-UNCLOSED = r"(?:\([^()\n]{0,60}|\[[^\[\]\n]{0,60}|\{[^{}\n]{0,60}|「[^」\n]{0,200}|『[^』\n]{0,200}|“[^”\n]{0,200})$"
-
 #: Sentence marks, with what closes after them.
 FULL_STOP = r"(?:[.!?。！？…][)\]}\"'”’」』】》〉*_`]*|[)\]}\"”’」』】》〉`]|\*\*|~~~|```|</[A-Za-z0-9]+>)$"
 
@@ -59,16 +56,17 @@ NOTE_LIST = (
     rf"[ \t]*(?:[-*•·]|\d{{1,3}}[.)])[ \t]+[^\n]*[^{_NOUN_FORM}다요오.\n]$"
 )
 
-#: How much of a text's end the patterns read: those of a few characters, those of a line's
-#: last words, and those that look at the line or the line before.
-SHORT, WORDS, TAIL = 24, 60, 200
+#: What the patterns of a few characters read; the others read whole lines.
+SHORT = 24
 
 _BROKEN_SHORT = f"{BROKEN_CODE}|{OPEN_END}"
 _FINISHED_SHORT = f"{FULL_STOP}|{PREDICATE}|{STRAY}"
 _FINISHED_LINES = f"{LIST_ITEM}|{HEADING}"
 _PLAIN = r"^[^0-9]?[.!?。！？]$"
-_OPENER = r"[(\[{「『“]"
-_MARKED = r"^(?:#|\*\*|=|---|\|)"
+
+# Marks that come in pairs, and tags that must be closed.
+CLOSED_BY = {"(": ")", "[": "]", "{": "}", "「": "」", "『": "』", "“": "”", "《": "》", "〈": "〉", "【": "】"}
+TAGS = r"<(/?)(b|i|u|em|strong|code|pre|span|table|ul|ol|div)\b[^<>]*>"
 
 
 def trimmed(text: Column) -> Column:
@@ -86,28 +84,59 @@ def complete(text: Column) -> Column:
 _re = {
     name: regex.compile(pattern)
     for name, pattern in {
-        "trailer": TRAILER, "plain": _PLAIN, "opener": _OPENER, "marked": _MARKED, "broken": _BROKEN_SHORT, "unclosed": UNCLOSED, "note_list": NOTE_LIST,
-        "finished": _FINISHED_SHORT, "note": NOTE_STYLE, "value": VALUE_LINE, "lines": _FINISHED_LINES,
+        "trailer": TRAILER, "plain": _PLAIN, "broken": _BROKEN_SHORT, "note_list": NOTE_LIST, "finished": _FINISHED_SHORT, "note": NOTE_STYLE, "value": VALUE_LINE,
+        "lines": _FINISHED_LINES, "paired": "[" + regex.escape("".join(CLOSED_BY) + "".join(CLOSED_BY.values())) + "]", "tags": "(?i)" + TAGS, "quote": r'(?:^|\s)"\S[^"]*$',
     }.items()
 }
 
 
+def unclosed(text: str) -> bool:
+    """A bracket or quotation of the last line, or a fence, formula or tag of the whole text,
+    that nothing closes."""
+    line = text[text.rfind("\n") + 1 :]
+    waiting: list[str] = []
+    for mark in _re["paired"].findall(line):
+        if mark in CLOSED_BY:
+            waiting.append(CLOSED_BY[mark])
+        elif mark in waiting:
+            while waiting.pop() != mark:
+                pass
+    if waiting or text.count("```") % 2 or text.count("$$") % 2:
+        return True
+    if line.count('"') % 2 and _re["quote"].search(line):
+        return True
+    if "<" not in text:
+        return False
+    deep: dict[str, int] = {}
+    for end, name in _re["tags"].findall(text):
+        deep[name.lower()] = max(0, deep.get(name.lower(), 0) + (-1 if end else 1))
+    return any(deep.values())
+
+
+def last_lines(text: str) -> str:
+    """The last line and the one before that is not blank."""
+    at = text.rfind("\n")
+    before = text[: at + 1].rstrip()
+    return text[before.rfind("\n") + 1 :] if at >= 0 else text
+
+
 def is_abrupt(text: str) -> bool:
-    """The same for one text in Python, which need not be trimmed."""
+    """True if a text shows no finished end, or a broken one; it need not be trimmed."""
     if text[-1:].isspace() or not text[-1:].isalnum():
         text = _re["trailer"].sub("", text)
     if not text:
         return False
-    short, tail = text[-SHORT:], text[-TAIL:]
-    line = tail[tail.rfind("\n") + 1 :]
-    opened, lines = _re["opener"].search(line), "\n" in tail
-    if not opened and _re["plain"].search(text[-2:]):
+    if unclosed(text):
+        return True
+    if _re["plain"].search(text[-2:]):
         return False
-    if _re["broken"].search(short) or (opened and _re["unclosed"].search(tail)) or (lines and _re["note_list"].search(tail)):
+    short, lines = text[-SHORT:], last_lines(text)
+    line = lines[lines.rfind("\n") + 1 :]
+    if _re["broken"].search(short) or ("\n" in lines and _re["note_list"].search(lines)):
         return True
-    return not (
-        _re["finished"].search(short)
-        or _re["note"].search(text[-WORDS:])
-        or ((":" in line or "：" in line) and _re["value"].search(tail))
-        or ((lines or _re["marked"].search(line)) and _re["lines"].search(tail))
+    return bool(
+        not _re["finished"].search(short)
+        and not _re["note"].search(line)
+        and not ((":" in line or "：" in line) and _re["value"].search(lines))
+        and not _re["lines"].search(lines)
     )

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import endings
-from .normal import normalise
+from .normal import normalise, pieces
 
 DEFECTS = ("empty", "refusal", "copy", "language", "truncated")
 
@@ -31,15 +31,17 @@ LABEL = (
 GREETING = r"(?:네|예|음|아|글쎄요|yes|well|ok|okay|sure)"
 MESSAGE = (
     r"(?:null|none|nan|nil|n/?a|undefined|empty|no (?:answer|response|output|content)|무응답|없음|해당 ?없음"
-    r"|\W*(?:error|fatal|exception|traceback|warning|오류|에러)\b[^\n]{0,160}"
-    r"|(?:http|status)[ :/]*[1-5]\d\d[^\n]{0,60}|[^\n]{0,40}\btim(?:ed|e)[ -]?out\b[^\n]{0,60}"
-    r"|(?:connection|request|gateway|service|server)[^\n]{0,30}(?:refused|reset|failed|unavailable|closed)[^\n]{0,60})"
+    r"|\W*(?:error|fatal|exception|traceback|warning|오류|에러)\b[^\n]*"
+    r"|(?:http|status)[ :/]*[1-5]\d\d\b[^\n]*|(?:[^\n.!?]|\.\d)*\btim(?:ed|e)[ -]?out\b(?:[^\n.!?]|\.\d)*"
+    r"|(?:connection|request|gateway|service|server)\b(?:[^\n.!?]|\.\d)*\b(?:refused|reset|failed|unavailable|closed)\b(?:[^\n.!?]|\.\d)*)"
 )
 APOLOGY = (
     r"죄송|송구|미안|안타깝|유감|양해|이해를? (?:바랍|부탁)|다른 질문|궁금한 점|도움이 필요|감사합니다|필요하시면|말씀해 주"
     r"|\bsorry\b|apologi[sz]e|unfortunately|\bregret|feel free|let me know|other questions?|anything else|thank you"
     r"|すみません|申し訳|恐れ入り|残念|他にご?質問|ご了承|抱歉|对不起|對不起|很遗憾|其他问题|xin lỗi|rất tiếc|câu hỏi khác"
     r"|lo siento|lamento|lamentablemente|disculp|otra pregunta"
+    r"|désolé|je regrette|malheureusement|n'hésitez pas|autre question|merci de|tut mir leid|leider|entschuldig|bedaure|andere fragen?|melden sie sich"
+    r"|desculp|lamentavelmente|infelizmente|sinto muito|outra pergunta|mi dispiace|purtroppo|altra domanda|извините|сожалени|простите|другой вопрос|het spijt me|helaas|przepraszam|niestety|maaf|üzgünüm|maalesef"
 )
 REFUSAL = (
     r"(?:답|답변|응답|대답|판단|결론|도움|조언|안내|설명|의견|정보|말씀)\S{0,3} ?(?:\S+ ){0,3}?\S{0,8}?(?:어렵|못|없|않겠|않습니다|생략|제한|불가|거절|거부|곤란|삼가)"
@@ -50,12 +52,19 @@ REFUSAL = (
     r"|(?:담당자|기관|전문가)\S* ?(?:와|에게|에)? ?(?:직접 )?(?:상담|문의)하(?:시기|여|세요|십시오)"
     r"|\b(?:cannot|can ?not|can't|could not|couldn't|unable to|not able to|won't|will not|must decline|decline to|refuse to)\b"
     r"[^.!?]{0,40}\b(?:assist|help|answer|respond|comply|provide|offer|discuss|advise|comment|say|determine|tell|share|support)"
+    r"|\b(?:i'd|i would|we'd|we would) (?:rather|prefer) not\b|\bprefer not to\b|\bno comment\b|\bnot comfortable (?:answering|with|discussing)"
     r"|outside (?:what|of what|the scope|my)|beyond (?:my|the) (?:scope|ability|knowledge)|no answer (?:can|could)|not cover (?:it|this|that)"
     r"|\bas an? (?:ai|language model|artificial)|i (?:do not|don't) (?:know|have (?:enough|that|the) )|not enough (?:information|context)"
     r"|お答え(?:でき|出来|し(?:かね|ません))|回答(?:でき|を控え|は控え|いたしかね)|わかりません|分かりません|お手伝いでき|情報が(?:不足|見つかり|ありません)|専門家ではあり"
     r"|(?:无法|不能|無法|不便)(?:回答|提供|协助|帮助|给出|作答|判断)|不知道|没有(?:相关|足够)的?(?:信息|资料|内容)|超出了?我"
     r"|không thể (?:trả lời|giúp|hỗ trợ|cung cấp|đưa ra)|không biết|không có (?:đủ )?thông tin|ngoài phạm vi"
     r"|no (?:puedo|podemos|es posible) (?:responder|ayudar|contestar|ofrecer|dar|proporcionar)|no (?:lo )?s[ée]\b|no (?:dispongo|tengo) (?:de )?(?:suficiente )?informaci|fuera de (?:mi|lo que)"
+    r"|(?:ne|n['’]) ?(?:peux|pouvons|puis|suis|sommes|dispose|disposons|ai|connais|sais)\b[^.!?]*\b(?:pas|aucune?)\b[^.!?]*\b(?:répondre|aider|fournir|donner|réponse|informations?|conseils?|dire|mesure|savoir)|je (?:ne sais pas|préfère ne pas|refuse)|hors de (?:mes|ma) "
+    r"|\b(?:kann|können|könnte|darf|möchte|werde)\b[^.!?]*\b(?:nicht|keine?n?)\b[^.!?]*\b(?:beantworten|helfen|geben|antworten|sagen|unterstützen|weiterhelfen|auskunft|antwort)|\b(?:weiß|wissen) (?:ich |wir )?(?:das |es )?(?:leider )?nicht|keine (?:ausreichenden )?informationen|lieber nicht"
+    r"|não (?:posso|podemos|consigo|é possível)\b[^.!?]*\b(?:responder|ajudar|fornecer|dar|informar|dizer)|não (?:sei|tenho informaç)|prefiro não|fora do meu"
+    r"|non (?:posso|possiamo|sono in grado|riesco)\b[^.!?]*\b(?:rispondere|aiutar|fornire|dare|dire)|non (?:lo )?so\b|non ho (?:informazioni|abbastanza)|preferisco non"
+    r"|не (?:могу|можем|могла? бы|в состоянии|имею)\b[^.!?]*(?:ответ|помочь|предостав|сказать|информац)|не знаю|нет (?:достаточной )?информации|отказываюсь"
+    r"|kan (?:ik |hier |u |je |deze |daar )*(?:niet|geen)\b[^.!?]*(?:antwoord|helpen|geven)|weet het niet|nie mogę (?:odpowiedzieć|pomóc|udzielić)|nie wiem|tidak (?:dapat|bisa) (?:menjawab|membantu|memberikan)|tidak tahu|yanıt veremem|cevap veremem|bilmiyorum"
 )
 REPORTED = r"다는 (?:말|민원|의견|지적|소문|주장|보고)|라는 (?:말|민원|의견)|지만 |으나 |그러나|\bbut\b|\bhowever\b|although|しかし|ですが|但是|不过|nhưng|\bpero\b"
 ECHO = (
@@ -83,10 +92,28 @@ _scripts = {
     "han": regex.compile(r"\p{Han}"),
     "other": regex.compile(r"[\p{Cyrillic}\p{Arabic}\p{Thai}\p{Hebrew}\p{Greek}\p{Devanagari}]"),
 }
-# Letters and small words that tell languages in Latin letters apart.
-_vietnamese = regex.compile(r"[ăđơưạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹ]", _FLAGS)
-_spanish = regex.compile(r"\b(?:el|la|los|las|de|del|en|que|se|hay|debe|debes|luego|por|para|con|una?|es|si|primero|no)\b|[ñ¿¡]", _FLAGS)
-_english = regex.compile(r"\b(?:the|of|and|to|in|is|are|at|by|for|must|will|not|do|with|from|that|when|if)\b", _FLAGS)
+# Letters and small words of languages in Latin letters.
+VIETNAMESE = r"[ăđơưạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹ]"
+SMALL_WORDS = {
+    "en": "the of and to in is are at by for must will not do with from that when if you it this be on as or can",
+    "es": "el la los las de del en que se hay debe debes luego por para con un una es si primero no al su lo como pero y",
+    "de": "der die das und ist nicht mit den dem ein eine zu auf für von sie im sich werden wenn dann muss bei nach zuerst es oder",
+    "fr": "le la les des et est un une du dans pour que qui sur pas vous il avec au aux puis doit faut si d'abord ne ce ou être",
+    "pt": "o os as do da dos das em não uma um para com se que deve depois por mais ao na no é primeiro ou e você",
+    "it": "il lo gli della del di che non per una un con si deve poi sono alla nel le la è e prima da come più",
+    "nl": "de het een en van is niet op te dat met voor zijn aan moet dan eerst als bij naar u ik die er",
+    "pl": "i w na się nie że do jest z to o po jak należy potem najpierw lub oraz przez dla",
+    "tr": "ve bir bu için ile de da önce sonra gerekir olarak ne en çok daha ya eğer",
+    "id": "yang dan di ke dari untuk dengan tidak harus pada adalah ini itu lalu atau jika akan kemudian",
+    "sv": "och att det är en ett som på för inte med den av till du ska när om sedan först",
+}
+# End of the fixed values.
+_vietnamese = regex.compile(VIETNAMESE, _FLAGS)
+_latin_words = regex.compile(r"[\p{Latin}']+|[ñ¿¡]", _FLAGS)
+_LANGUAGES_OF: dict[str, list[str]] = {"¿": ["es"], "¡": ["es"]}
+for _name, _words in SMALL_WORDS.items():
+    for _word in _words.split():
+        _LANGUAGES_OF.setdefault(_word, []).append(_name)
 
 
 _hangul_runs = regex.compile(r"[가-힣]+")
@@ -134,7 +161,13 @@ def is_copy(question: str, body: str) -> bool:
     if asked in said:
         rest = _echo.sub("", said.replace(asked, " ")).replace(" ", "")
         return len(rest) <= max(6, min(12, len(asked) // 8))
-    return len(said) >= 0.6 * len(asked) and said in asked
+    if len(said) >= 0.6 * len(asked) and said in asked:
+        return True
+    # Nearly the question again: a question of about its length that shares most of its runs.
+    if len(said) > 1.3 * len(asked) or not (body.rstrip("\"'”’」』)").endswith(("?", "？")) or said[-3:] == asked[-3:]):
+        return False
+    again, before = pieces(said, 3), pieces(asked, 3)
+    return len(again & before) >= 0.75 * max(len(again), 1) and len(again & before) >= 0.7 * len(before)
 
 
 @lru_cache(maxsize=4096)
@@ -151,7 +184,18 @@ def language(text: str) -> tuple[str, int, dict[str, int]]:
         return "other", total, n
     if 20 * len(_vietnamese.findall(text)) >= n["latin"]:
         return "vi", total, n
-    return ("es" if len(_spanish.findall(text)) > 1.2 * len(_english.findall(text)) + 1 else "en"), total, n
+    return latin_language(text), total, n
+
+
+def latin_language(text: str) -> str:
+    """The language whose small words a text in Latin letters has most of, words of several
+    languages counting in parts; English unless another one clearly has more."""
+    votes: dict[str, float] = {}
+    for word in _latin_words.findall(text.lower()):
+        for name in (named := _LANGUAGES_OF.get(word, ())):
+            votes[name] = votes.get(name, 0.0) + 1 / len(named)
+    best = max(sorted(votes), key=votes.get, default="en")
+    return best if votes.get(best, 0) > 1.2 * votes.get("en", 0) + 1 else "en"
 
 
 def other_language(question: str, body: str) -> bool:
@@ -165,13 +209,14 @@ def other_language(question: str, body: str) -> bool:
         return 2 * n["hangul"] < letters
     if asked in ("ja", "zh"):
         return said not in ("ja", "zh") or abs(8 * n["kana"] - n["kana"] - n["han"]) > n["han"] // 4
-    if said in ("en", "es", "vi"):
+    if 2 * n["latin"] >= letters:
         return letters >= 20
-    return 2 * n["latin"] < letters
+    return True
 
 
 def other_defects(question: str | None, answer: str | None) -> list[str]:
-    """All defects of one answer but a lost end, in the order of DEFECTS. Null texts count as empty."""
+    """All defects of one answer but a lost end, in the order of DEFECTS. Null texts count as
+    empty, and what is empty has no answer for the other rules to look at."""
     question = unicodedata.normalize("NFC", question or "")
     answer = unicodedata.normalize("NFC", answer or "")
     if is_empty(answer):
