@@ -1,13 +1,16 @@
-"""Operators on pixel grids held as rows (image, y, x, v).
-
-A neighbourhood is an offsets table: pixels are sent to the places that need them and
-meet there by equal keys, never by ranges. Missing neighbours at the border are left out
-(``border="drop"``) or mirrored without repeating the edge (``border="reflect"``).
+"""Operators on pixel grids held as rows (image, y, x, v) or, before they are spread out,
+as rasters: one row (image, w, v) per image with the array of its pixels.
+
+Stencils (filters, medians, gradients, morphology) work on rasters, many images of one size at
+a time in numpy, since a neighbourhood never leaves its image: nothing is shuffled. Given pixel
+rows, they first gather each image, which moves every pixel once. Missing neighbours at the
+border are left out (``border="drop"``) or mirrored without repeating the edge
+(``border="reflect"``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -112,18 +115,66 @@ def neighbours(px: DataFrame, offsets: Iterable[tuple[int, int]], border: str =
     return moved.filter(F.col("y").between(0, h - 1) & F.col("x").between(0, w - 1))
 
 
-def filtered(px: DataFrame, kernel: dict[tuple[int, int], float], border: str = "drop", size: tuple[int, int] = (8, 8)) -> DataFrame:
+def rasters(df: DataFrame, key: str, array: str, width: int = 8, levels: int | None = None) -> DataFrame:
+    """An array column as rasters; values as in ``grid``."""
+    scaled = lambda v: v.cast("double") if levels is None else F.least(F.greatest(F.floor((v.cast("double") + 1) / 2 * levels), F.lit(0)), F.lit(levels - 1)).cast("double")
+    return df.select(F.col(key).alias("image"), F.lit(width).alias("w"), F.transform(array, scaled).alias("v"))
+
+
+def gathered(px: DataFrame) -> DataFrame:
+    """Pixel rows as rasters; an image is bounded by its size and has all its pixels."""
+    cells = F.sort_array(F.collect_list(F.struct("y", "x", F.col("v").cast("double").alias("v"))))
+    return px.groupBy("image").agg((F.max("x") + 1).cast("int").alias("w"), F.transform(cells, lambda c: c["v"]).alias("v"))
+
+
+def pixel_rows(images: DataFrame, **kinds: str) -> DataFrame:
+    """Rasters as pixel rows, with the named arrays and their types."""
+    kinds = kinds or {"v": "double"}
+    cells = images.select("image", "w", F.posexplode(F.arrays_zip(*kinds)).alias("pos", "c"))
+    place = [F.floor(F.col("pos") / F.col("w")).cast("int").alias("y"), (F.col("pos") % F.col("w")).cast("int").alias("x")]
+    return cells.select("image", *place, *[F.col(f"c.{n}").cast(kind).alias(n) for n, kind in kinds.items()])
+
+
+def stencil(images: DataFrame, work: Callable[[np.ndarray], dict[str, np.ndarray]], *names: str) -> DataFrame:
+    """Rasters (image, w, names) of what ``work`` makes of stacks of images of one size."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            lengths = frame["v"].map(len)
+            for (w, n), part in frame.groupby(["w", lengths]):
+                if n:
+                    made = work(np.stack(part["v"].to_numpy()).reshape(len(part), n // w, w))
+                    yield pd.DataFrame({"image": part["image"], "w": w, **{k: list(made[k].reshape(len(part), -1)) for k in names}})
+
+    kind = images.schema["image"].dataType.simpleString()
+    return images.filter("v is not null").mapInPandas(run, f"image {kind}, w int, " + ", ".join(f"{k} array<double>" for k in names))
+
+
+def around(stack: np.ndarray, offsets: Iterable[tuple[int, int]], border: str = "drop") -> np.ndarray:
+    """For every offset the stack of images moved by it; NaN beyond a border that drops."""
+    offsets = list(offsets)
+    ry, rx = max(abs(dy) for dy, _ in offsets), max(abs(dx) for _, dx in offsets)
+    reach, (h, w) = ((0, 0), (ry, ry), (rx, rx)), stack.shape[1:]
+    wide = np.pad(stack, reach, mode="reflect") if border == "reflect" else np.pad(stack, reach, constant_values=np.nan)
+    return np.stack([wide[:, ry + dy : ry + dy + h, rx + dx : rx + dx + w] for dy, dx in offsets])
+
+
+def _square(reach: int) -> list[tuple[int, int]]:
+    return [(dy, dx) for dy in range(-reach, reach + 1) for dx in range(-reach, reach + 1)]
+
+
+def _as_rasters(px: DataFrame) -> DataFrame:
+    return px if "w" in px.columns else gathered(px)
+
+
+def filtered(px: DataFrame, kernel: dict[tuple[int, int], float], border: str = "drop") -> DataFrame:
     """Correlation with a kernel given as weights by offset (not flipped)."""
-    near = neighbours(px, kernel, border, size)
-    weight = F.lit(0.0)
-    for (dy, dx), k in kernel.items():
-        weight = F.when((F.col("dy") == dy) & (F.col("dx") == dx), F.lit(float(k))).otherwise(weight)
-    return near.groupBy(*KEYS).agg(F.sum(F.col("v") * weight).alias("v"))
+    weights = np.array(list(kernel.values()))[:, None, None, None]
+    return pixel_rows(stencil(_as_rasters(px), lambda g: {"v": np.nansum(around(g, kernel, border) * weights, axis=0)}, "v"))
 
 
-def median(px: DataFrame, reach: int = 1, border: str = "drop", size: tuple[int, int] = (8, 8)) -> DataFrame:
-    square = [(dy, dx) for dy in range(-reach, reach + 1) for dx in range(-reach, reach + 1)]
-    return neighbours(px, square, border, size).groupBy(*KEYS).agg(F.median("v").alias("v"))
+def median(px: DataFrame, reach: int = 1, border: str = "drop") -> DataFrame:
+    return pixel_rows(stencil(_as_rasters(px), lambda g: {"v": np.nanmedian(around(g, _square(reach), border), axis=0)}, "v"))
 
 
 def gaussian_kernel(size: int = 5, sigma: float | None = None) -> dict[tuple[int, int], float]:
@@ -151,33 +202,43 @@ def gabor_kernel(size: int = 21, sigma: float = 5, theta: float = 1, wavelength:
     return {(i - half, j - half): float(g[i, j]) for i in range(size) for j in range(size)}
 
 
-def sobel(px: DataFrame, border: str = "drop", size: tuple[int, int] = (8, 8)) -> DataFrame:
-    """(image, y, x, dx, dy, magnitude) from one pass over the neighbours."""
-    near = neighbours(px, SQUARE, border, size)
-    gx = F.sum(F.col("v") * F.col("dx") * (2 - F.abs("dy")))
-    gy = F.sum(F.col("v") * F.col("dy") * (2 - F.abs("dx")))
-    g = near.groupBy(*KEYS).agg(gx.cast("double").alias("gx"), gy.cast("double").alias("gy"))
-    return g.select(*KEYS, "gx", "gy", F.sqrt(F.col("gx") ** 2 + F.col("gy") ** 2).alias("magnitude"))
+def sobel(px: DataFrame, border: str = "drop") -> DataFrame:
+    """(image, y, x, gx, gy, magnitude) from one pass over the neighbours."""
+    wx, wy = (np.array([k[o] for o in SQUARE])[:, None, None, None] for k in (SOBEL_X, SOBEL_Y))
+
+    def work(g: np.ndarray) -> dict[str, np.ndarray]:
+        near = around(g, SQUARE, border)
+        gx, gy = np.nansum(near * wx, axis=0), np.nansum(near * wy, axis=0)
+        return {"gx": gx, "gy": gy, "magnitude": np.hypot(gx, gy)}
 
+    return pixel_rows(stencil(_as_rasters(px), work, "gx", "gy", "magnitude"), gx="double", gy="double", magnitude="double")
 
-def bilateral(px: DataFrame, reach: int = 4, sigma_value: float = 75.0, sigma_space: float = 75.0, size: tuple[int, int] = (8, 8)) -> DataFrame:
+
+def bilateral(px: DataFrame, reach: int = 4, sigma_value: float = 75.0, sigma_space: float = 75.0, border: str = "drop") -> DataFrame:
     """Means weighted by nearness in place and in value."""
-    disc = [(dy, dx) for dy in range(-reach, reach + 1) for dx in range(-reach, reach + 1) if dy * dy + dx * dx <= reach * reach]
-    near = neighbours(px, disc, "drop", size).join(px.withColumnRenamed("v", "centre"), KEYS)
-    w = F.exp(-(F.col("dy") ** 2 + F.col("dx") ** 2) / (2 * sigma_space**2) - (F.col("v") - F.col("centre")) ** 2 / (2 * sigma_value**2))
-    return near.groupBy(*KEYS).agg((F.sum(w * F.col("v")) / F.sum(w)).alias("v"))
+    disc = [(dy, dx) for dy, dx in _square(reach) if dy * dy + dx * dx <= reach * reach]
+    apart = np.array([dy * dy + dx * dx for dy, dx in disc])[:, None, None, None]
+
+    def work(g: np.ndarray) -> dict[str, np.ndarray]:
+        near = around(g, disc, border)
+        weight = np.exp(-apart / (2 * sigma_space**2) - (near - g) ** 2 / (2 * sigma_value**2))
+        return {"v": np.nansum(weight * near, axis=0) / np.nansum(weight, axis=0)}
+
+    return pixel_rows(stencil(_as_rasters(px), work, "v"))
 
 
 def threshold(v: Column, above: float, high: int = 1) -> Column:
     return F.when(v > above, high).otherwise(0)
 
 
-def adaptive_threshold(px: DataFrame, block: int = 11, minus: float = 10, high: int = 255, inverted: bool = True, size: tuple[int, int] = (8, 8)) -> DataFrame:
-    half = block // 2
-    square = [(dy, dx) for dy in range(-half, half + 1) for dx in range(-half, half + 1)]
-    means = neighbours(px, square, "drop", size).groupBy(*KEYS).agg(F.avg("v").alias("mean"))
-    over = F.col("v") > F.col("mean") - minus
-    return px.join(means, KEYS).select(*KEYS, F.when(~over if inverted else over, high).otherwise(0).alias("v"))
+def adaptive_threshold(px: DataFrame, block: int = 11, minus: float = 10, high: int = 255, inverted: bool = True, border: str = "drop") -> DataFrame:
+    """Above (or, inverted, not above) the mean of the block around less ``minus``."""
+
+    def work(g: np.ndarray) -> dict[str, np.ndarray]:
+        over = g > np.nanmean(around(g, _square(block // 2), border), axis=0) - minus
+        return {"v": np.where(~over if inverted else over, float(high), 0.0)}
+
+    return pixel_rows(stencil(_as_rasters(px), work, "v"), v="int")
 
 
 def otsu(px: DataFrame) -> DataFrame:
@@ -191,27 +252,27 @@ def otsu(px: DataFrame) -> DataFrame:
     return h.withColumn("b", F.round(between, 6)).groupBy("image").agg(F.max_by("v", F.struct("b", -F.col("v"))).alias("level"))
 
 
-def morphology(px: DataFrame, step: str, offsets: list[tuple[int, int]] | None = None, times: int = 1, size: tuple[int, int] = (8, 8)) -> DataFrame:
-    """erode, dilate, open, close or gradient with a set of offsets."""
+def morphology(px: DataFrame, step: str, offsets: list[tuple[int, int]] | None = None, times: int = 1, kind: str = "int") -> DataFrame:
+    """erode, dilate, open, close or gradient with a set of offsets; what lies beyond the
+    border has no say."""
     offsets = offsets or SQUARE
+    least = lambda g: np.nanmin(around(g, offsets), axis=0)
+    most = lambda g: np.nanmax(around(g, offsets), axis=0)
+    steps = {"erode": [least], "dilate": [most], "open": [least, most], "close": [most, least]}
+    if step != "gradient" and step not in steps:
+        raise ValueError(step)
 
-    def once(df: DataFrame, agg, n: int) -> DataFrame:
-        for _ in range(n):
-            df = neighbours(df, offsets, "drop", size).groupBy(*KEYS).agg(agg("v").alias("v"))
-        return df
-
-    if step == "erode":
-        return once(px, F.min, times)
-    if step == "dilate":
-        return once(px, F.max, times)
-    if step == "open":
-        return once(once(px, F.min, times), F.max, times)
-    if step == "close":
-        return once(once(px, F.max, times), F.min, times)
-    if step == "gradient":
-        low, high = once(px, F.min, times).withColumnRenamed("v", "low"), once(px, F.max, times).withColumnRenamed("v", "high")
-        return low.join(high, KEYS).select(*KEYS, (F.col("high") - F.col("low")).alias("v"))
-    raise ValueError(step)
+    def work(g: np.ndarray) -> dict[str, np.ndarray]:
+        out = []
+        for way in [[most], [least]] if step == "gradient" else [steps[step]]:
+            now = g
+            for f in way:
+                for _ in range(times):
+                    now = f(now)
+            out.append(now)
+        return {"v": out[0] - out[1] if len(out) > 1 else out[0]}
+
+    return pixel_rows(stencil(_as_rasters(px), work, "v"), v=kind)
 
 
 CROSS = [(-1, 0), (1, 0), (0, -1), (0, 1)]
@@ -319,6 +380,48 @@ def resized(px: DataFrame, factor: int) -> DataFrame:
     return px.groupBy("image", F.floor(F.col("y") / factor).cast("int").alias("y"), F.floor(F.col("x") / factor).cast("int").alias("x")).agg(F.avg("v").alias("v"))
 
 
+def resized_linear(px: DataFrame, height: int, width: int) -> DataFrame:
+    """Images brought to a size by bilinear mixing between pixel centres; edges are repeated."""
+
+    def work(g: np.ndarray) -> dict[str, np.ndarray]:
+        def axis(n: int, to: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            at = np.clip((np.arange(to) + 0.5) * n / to - 0.5, 0, n - 1)
+            low = np.minimum(np.floor(at).astype(int), n - 1)
+            return low, np.minimum(low + 1, n - 1), at - low
+
+        y0, y1, fy = axis(g.shape[1], height)
+        x0, x1, fx = axis(g.shape[2], width)
+        rows = g[:, y0] * (1 - fy)[:, None] + g[:, y1] * fy[:, None]
+        return {"v": rows[:, :, x0] * (1 - fx) + rows[:, :, x1] * fx}
+
+    return pixel_rows(stencil(_as_rasters(px), work, "v").withColumn("w", F.lit(width)))
+
+
+def deskewed(px: DataFrame) -> DataFrame:
+    """Images sheared upright by their slant mu11 / mu02 about the middle row; what comes from
+    beyond the border is 0, an image without a slant stays as it is."""
+
+    def work(stack: np.ndarray) -> dict[str, np.ndarray]:
+        h, w = stack.shape[1:]
+        y, x = np.indices((h, w))
+        out = np.empty_like(stack)
+        for i, g in enumerate(stack):
+            total = g.sum()
+            cx, cy = ((g * x).sum() / total, (g * y).sum() / total) if total else (0.0, 0.0)
+            mu11, mu02 = (g * (x - cx) * (y - cy)).sum(), (g * (y - cy) ** 2).sum()
+            if abs(mu02) < 1e-2:
+                out[i] = g
+                continue
+            skew = mu11 / mu02
+            at = x + skew * (y - 0.5 * h)
+            low = np.floor(at).astype(int)
+            pick = lambda j, g=g: np.where((j >= 0) & (j < w), np.take_along_axis(g, np.clip(j, 0, w - 1), axis=1), 0.0)
+            out[i] = pick(low) * (1 - at + low) + pick(low + 1) * (at - low)
+        return {"v": out}
+
+    return pixel_rows(stencil(_as_rasters(px), work, "v"))
+
+
 def tiles(px: DataFrame, height: int, width: int) -> DataFrame:
     """Every pixel with the number of its tile and its place there."""
     return px.select("image", F.floor(F.col("y") / height).cast("int").alias("tile_y"), F.floor(F.col("x") / width).cast("int").alias("tile_x"), (F.col("y") % height).alias("y"), (F.col("x") % width).alias("x"), "v")
@@ -387,7 +490,7 @@ def remapped(px: DataFrame, map_x: Column, map_y: Column, size: tuple[int, int]
 def hog(px: DataFrame, cell: int = 10, bins: int = 9, size: tuple[int, int] = (20, 20)) -> DataFrame:
     """(image, cell_y, cell_x, bin, weight): gradient magnitudes by unsigned direction,
     each image's vector divided by its length."""
-    g = sobel(px, "reflect", size)
+    g = sobel(px, "reflect")
     angle = F.pmod(F.degrees(F.atan2("gy", "gx")), F.lit(180.0))
     b = F.least(F.floor(angle / (180 / bins)), F.lit(bins - 1)).cast("int")
     h = g.groupBy("image", F.floor(F.col("y") / cell).cast("int").alias("cell_y"), F.floor(F.col("x") / cell).cast("int").alias("cell_x"), b.alias("bin")).agg(F.sum("magnitude").alias("weight"))
@@ -397,7 +500,7 @@ def hog(px: DataFrame, cell: int = 10, bins: int = 9, size: tuple[int, int] = (2
 
 def canny(px: DataFrame, high: float = 200, low: float = 100, size: tuple[int, int] = (8, 8)) -> DataFrame:
     """Edge pixels: local gradient maxima above ``high``, or above ``low`` and linked to such."""
-    g = sobel(px, "reflect", size).withColumn("v", F.col("magnitude"))
+    g = sobel(px, "reflect").withColumn("v", F.col("magnitude"))
     sector = F.pmod(F.round(F.degrees(F.atan2("gy", "gx")) / 45), F.lit(4))
     near = neighbours(g.select(*KEYS, "v"), [o for o in SQUARE if o != (0, 0)], "drop", size)
     ahead = {0: (0, 1), 1: (1, 1), 2: (1, 0), 3: (1, -1)}
@@ -421,6 +524,24 @@ def hough_lines(edges: DataFrame, angles: int = 180, least: int = 100) -> DataFr
     return votes.groupBy("image", "theta", rho.alias("rho")).agg(F.count("*").alias("votes")).filter(F.col("votes") >= least)
 
 
+def hough_segments(edges: DataFrame, angles: int = 180, least: int = 10, length: float = 5, gap: float = 2) -> DataFrame:
+    """(image, theta, rho, x1, y1, x2, y2): runs of edge pixels along the lines that enough of
+    them vote for, no two of a run's neighbours farther apart than ``gap`` along the line, and
+    the run at least ``length`` long."""
+    theta = F.explode(F.transform(F.sequence(F.lit(0), F.lit(angles - 1)), lambda i: i * F.lit(np.pi / angles)))
+    on = edges.select(*KEYS, theta.alias("theta"))
+    rho = F.round(F.col("x") * F.cos("theta") + F.col("y") * F.sin("theta")).cast("int")
+    along = F.col("y") * F.cos("theta") - F.col("x") * F.sin("theta")
+    line = ["image", "theta", "rho"]
+    on = on.withColumn("rho", rho).withColumn("t", along)
+    voted = on.groupBy(*line).agg(F.count("*").alias("votes")).filter(F.col("votes") >= least).drop("votes")
+    w = Window.partitionBy(*line).orderBy("t", "y", "x")
+    runs = on.join(voted, line).withColumn("begins", F.when(F.col("t") - F.lag("t").over(w) > gap, 1).otherwise(0))
+    runs = runs.withColumn("run", F.sum("begins").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = runs.groupBy(*line, "run").agg(F.min(F.struct("t", "x", "y")).alias("a"), F.max(F.struct("t", "x", "y")).alias("b"))
+    return ends.filter(F.col("b.t") - F.col("a.t") >= length).select(*line, *[F.col(f"{p}.{c}").alias(f"{c}{n}") for n, p in ((1, "a"), (2, "b")) for c in "xy"])
+
+
 def hough_circles(edges: DataFrame, radii: list[int], angles: int = 72, least: int = 30) -> DataFrame:
     """(image, y, x, radius, votes) of the circle centres on which enough edge pixels agree;
     a pixel votes once for a centre."""

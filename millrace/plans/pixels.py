@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.vector import doubles
 from ..operators import clustering, geometry
 from ..operators import pixels as p
+from ..operators.ranking import by_id, numbered
 from .registry import Registry, read, values
 
 R = Registry()
@@ -19,6 +20,14 @@ def _grid(spark: SparkSession, d: str, levels: int | None = LEVELS) -> DataFrame
     return p.grid(read(spark, d, "embeddings"), "vec_id", "embedding", 8, levels)
 
 
+def _rasters(spark: SparkSession, d: str, levels: int | None = LEVELS) -> DataFrame:
+    return p.rasters(read(spark, d, "embeddings"), "vec_id", "embedding", 8, levels)
+
+
+def _binary_rasters(spark: SparkSession, d: str) -> DataFrame:
+    return _rasters(spark, d).withColumn("v", F.transform("v", lambda v: p.threshold(v, 136).cast("double")))
+
+
 _G = f"""g as (
   select vec_id as image, cast((i - 1) // 8 as integer) as y, cast((i - 1) % 8 as integer) as x,
          cast(least(greatest(floor((cast(embedding[i] as double) + 1) / 2 * {LEVELS}), 0), {LEVELS - 1}) as integer) as v
@@ -47,18 +56,68 @@ def pix_minmax(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query(f"with {_G}, {_NEAR} select image, y, x, cast(median(v) as double) as v from near group by 1, 2, 3")
 def pix_median3(spark: SparkSession, d: str) -> DataFrame:
-    return p.median(_grid(spark, d))
+    return p.median(_rasters(spark, d))
 
 
 @R.query(f"with {_G}, {_NEAR} select image, y, x, round(sum(v * case abs(dy) + abs(dx) when 0 then 4.0 when 1 then 2.0 else 1.0 end) / 16.0, 6) as v from near group by 1, 2, 3")
 def pix_conv3(spark: SparkSession, d: str) -> DataFrame:
     kernel = {(dy, dx): (2 - abs(dy)) * (2 - abs(dx)) / 16.0 for dy, dx in p.SQUARE}
-    return p.filtered(_grid(spark, d), kernel).withColumn("v", F.round("v", 6))
+    return p.filtered(_rasters(spark, d), kernel).withColumn("v", F.round("v", 6))
 
 
 @R.query(f"with {_G}, {_NEAR} select image, y, x, cast(sum(v * dx * (2 - abs(dy))) as double) as gx, cast(sum(v * dy * (2 - abs(dx))) as double) as gy from near group by 1, 2, 3")
 def pix_sobel(spark: SparkSession, d: str) -> DataFrame:
-    return p.sobel(_grid(spark, d)).drop("magnitude")
+    return p.sobel(_rasters(spark, d)).drop("magnitude")
+
+
+def _mirrored(reach: int) -> str:
+    """Every place beside its neighbours, mirrored at the border without repeating the edge."""
+    at = lambda c: f"case when {c} < 0 then -({c}) when {c} > 7 then 14 - ({c}) else {c} end"
+    steps = f"(select cast(i as integer) as dy, cast(j as integer) as dx from range(-{reach}, {reach + 1}) a(i), range(-{reach}, {reach + 1}) b(j)) o"
+    return f"near as (select p.image, p.y, p.x, o.dy, o.dx, g.v, p.v as centre from g p cross join {steps} join g on g.image = p.image and g.y = {at('p.y + o.dy')} and g.x = {at('p.x + o.dx')})"
+
+
+@R.query(f"with {_G}, {_mirrored(1)} select image, y, x, cast(sum(v * dx * (2 - abs(dy))) as double) as gx, cast(sum(v * dy * (2 - abs(dx))) as double) as gy from near group by 1, 2, 3")
+def pix_sobel_reflect(spark: SparkSession, d: str) -> DataFrame:
+    return p.sobel(_rasters(spark, d), "reflect").drop("magnitude")
+
+
+@R.query(f"with {_G}, {_mirrored(2)}, k as (select *, exp(-(dy * dy + dx * dx) / (2 * 1.1::double * 1.1)) as w from near) select image, y, x, round(sum(v * w) / sum(w), 6) as v from k group by 1, 2, 3")
+def pix_gauss5(spark: SparkSession, d: str) -> DataFrame:
+    return p.filtered(_rasters(spark, d), p.gaussian_kernel(5), "reflect").withColumn("v", F.round("v", 6))
+
+
+@R.query(f"with {_G}, {_mirrored(2)} select image, y, x, cast(median(v) as double) as v from near group by 1, 2, 3")
+def pix_median5(spark: SparkSession, d: str) -> DataFrame:
+    return p.median(_rasters(spark, d), 2, "reflect")
+
+
+@R.query(f"""with {_G}, {_mirrored(2)}, k as (select *, exp(-(dy * dy + dx * dx) / (2 * 75.0::double * 75) - (v - centre) * (v - centre) / (2 * 75.0::double * 75)) as w from near where dy * dy + dx * dx <= 4)
+select image, y, x, round(sum(v * w) / sum(w), 6) as v from k group by 1, 2, 3""")
+def pix_bilateral(spark: SparkSession, d: str) -> DataFrame:
+    return p.bilateral(_rasters(spark, d), 2, border="reflect").withColumn("v", F.round("v", 6))
+
+
+@R.query(f"with {_G}, {_mirrored(1)} select image, y, x, case when centre > avg(v) - 10 then 0 else 255 end as v from near group by 1, 2, 3, centre")
+def pix_adaptive(spark: SparkSession, d: str) -> DataFrame:
+    return p.adaptive_threshold(_rasters(spark, d), 3, border="reflect")
+
+
+@R.query(f"""with {_G}, t as (select cast(i as integer) as y, cast(j as integer) as x, greatest((i + 0.5::double) * 8 / 12 - 0.5, 0) as fy, greatest((j + 0.5::double) * 8 / 12 - 0.5, 0) as fx from range(12) a(i), range(12) b(j)),
+c as (select y, x, i, j, cast(least(floor(fy) + i, 7) as integer) as gy, cast(least(floor(fx) + j, 7) as integer) as gx,
+             (case when i = 1 then fy - floor(fy) else 1 - fy + floor(fy) end) * (case when j = 1 then fx - floor(fx) else 1 - fx + floor(fx) end) as w from t, range(2) a(i), range(2) b(j))
+select image, c.y, c.x, round(sum(w * g.v), 6) as v from c join g on g.y = c.gy and g.x = c.gx group by 1, 2, 3""")
+def pix_resize_linear(spark: SparkSession, d: str) -> DataFrame:
+    return p.resized_linear(_rasters(spark, d), 12, 12).withColumn("v", F.round("v", 6))
+
+
+@R.query(f"""with {_G}, m as (select image, sum(v)::double as t, sum(v * x) / sum(v)::double as cx, sum(v * y) / sum(v)::double as cy from g group by 1),
+s as (select image, sum(v * (x - cx) * (y - cy)) / sum(v * (y - cy) * (y - cy)) as s from g join m using (image) group by 1),
+c as (select g.image, g.y, g.x, i, x + s * (y - 4) as sx, cast(floor(x + s * (y - 4)) + i as integer) as gx from g join s using (image), range(2) a(i))
+select c.image, c.y, c.x, round(sum(case when i = 1 then sx - floor(sx) else 1 - sx + floor(sx) end * coalesce(g.v, 0)), 5) + 0.0 as v
+from c left join g on g.image = c.image and g.y = c.y and g.x = c.gx group by 1, 2, 3""")
+def pix_deskew(spark: SparkSession, d: str) -> DataFrame:
+    return p.deskewed(_rasters(spark, d)).withColumn("v", F.round("v", 5) + 0.0)
 
 
 @R.query("""
@@ -71,9 +130,16 @@ def pix_dft(spark: SparkSession, d: str) -> DataFrame:
     return f.select(*p.KEYS, (F.round("re", 5) + 0.0).alias("re"))
 
 
-@R.query()
+@R.query("""
+with t as (select cast(k as integer) as k, cast(i as integer) as i, cos(2 * pi() * k * i / 8.0::double) as c, sin(2 * pi() * k * i / 8.0::double) as s from range(-4, 4) a(k), range(8) b(i)),
+px as (select vec_id as image, cast((i - 1) // 8 as integer) as y, cast((i - 1) % 8 as integer) as x, cast(embedding[i] as double) as v from (select vec_id, embedding, unnest(range(1, 65)) as i from embeddings)),
+r as (select image, y, k as kx, sum(v * c) as re, -sum(v * s) as im from px join t on t.i = px.x group by 1, 2, 3),
+f as (select image, k as ky, kx, sum(re * c + im * s) as re, sum(im * c - re * s) as im from r join t on t.i = r.y where k * k + kx * kx <= 4 group by 1, 2, 3),
+b as (select image, i as y, kx, sum(re * c - im * s) as re, sum(re * s + im * c) as im from f join t on t.k = f.ky group by 1, 2, 3)
+select image, y, i as x, round(sum(re * c - im * s) / 64, 6) + 0.0 as v from b join t on t.k = b.kx group by 1, 2, 3
+""")
 def pix_lowpass(spark: SparkSession, d: str) -> DataFrame:
-    return p.frequency_filtered(_grid(spark, d, None), "circle", 2).withColumn("v", F.round("v", 6))
+    return p.frequency_filtered(_grid(spark, d, None), "circle", 2).withColumn("v", F.round("v", 6) + 0.0)
 
 
 @R.query(f"""with {_G}, h as (select image, v, count(*) as n from g group by 1, 2),
@@ -100,25 +166,29 @@ _B = _G.replace("g as (", "g0 as (") + ", g as (select image, y, x, case when v
 n2 as (select e.image, e.y - o.dy as y, e.x - o.dx as x, e.v from e, (select a.i as dy, b.i as dx from (values (-1), (0), (1)) a(i), (values (-1), (0), (1)) b(i)) o where e.y - o.dy between 0 and 7 and e.x - o.dx between 0 and 7)
 select image, y, x, max(v) as v from n2 group by 1, 2, 3""")
 def pix_morph_open(spark: SparkSession, d: str) -> DataFrame:
-    return p.morphology(_binary(spark, d), "open")
+    return p.morphology(_binary_rasters(spark, d), "open")
 
 
 @R.query(f"with {_B}, {_NEAR} select image, y, x, max(v) - min(v) as v from near group by 1, 2, 3")
 def pix_morph_gradient(spark: SparkSession, d: str) -> DataFrame:
-    return p.morphology(_binary(spark, d), "gradient")
+    return p.morphology(_binary_rasters(spark, d), "gradient")
 
 
-@R.query(f"""with recursive {_B}, f as (select image, y, x, y * 8 + x as pos from g where v = 1),
+_SETS = f"""{_B}, f as (select image, y, x, y * 8 + x as pos from g where v = 1),
 e as (select a.image, a.pos as a, b.pos as b from f a join f b on a.image = b.image and abs(a.y - b.y) <= 1 and abs(a.x - b.x) <= 1),
-r as (select image, pos as a, pos as b from f union select r.image, r.a, e.b from r join e on r.image = e.image and r.b = e.a)
-select image, cast(a // 8 as integer) as y, cast(a % 8 as integer) as x, min(b) as label from r group by image, a""")
+r as (select image, pos as a, pos as b from f union select r.image, r.a, e.b from r join e on r.image = e.image and r.b = e.a),
+cc as (select image, cast(a // 8 as integer) as y, cast(a % 8 as integer) as x, min(b) as label from r group by image, a),
+cs as (select image, label, min(x) as "left", min(y) as top, max(x) - min(x) + 1 as width, max(y) - min(y) + 1 as height, count(*) as area, avg(x) as cx, avg(y) as cy from cc group by image, label)"""
+
+
+@R.query(f"with recursive {_SETS} select * from cc")
 def pix_cc(spark: SparkSession, d: str) -> DataFrame:
     return p.components(_binary(spark, d))
 
 
-@R.query()
+@R.query(f'with recursive {_SETS} select image, label, "left", top, width, height, area, round(cx, 6) as cx, round(cy, 6) as cy from cs')
 def pix_cc_stats(spark: SparkSession, d: str) -> DataFrame:
-    return p.component_stats(p.components(_binary(spark, d)))
+    return p.component_stats(p.components(_binary(spark, d))).withColumns({"cx": F.round("cx", 6), "cy": F.round("cy", 6)})
 
 
 @R.query()
@@ -126,7 +196,7 @@ def pix_contours(spark: SparkSession, d: str) -> DataFrame:
     return p.contours(_binary(spark, d))
 
 
-@R.query()
+@R.query(f"with recursive {_SETS} select image, label, area from cs where area >= 4 qualify row_number() over (partition by image order by md5('42:' || cast(image as varchar) || ':' || cast(label as varchar))) <= 3")
 def pix_pick(spark: SparkSession, d: str) -> DataFrame:
     return p.picked_components(p.component_stats(p.components(_binary(spark, d))), 3, 4).select("image", "label", "area")
 
@@ -197,13 +267,22 @@ def poly_measures(spark: SparkSession, d: str) -> DataFrame:
     return geometry.polygon_measures(_shapes(spark)).select("shape", F.round("area", 6).alias("area"), F.round("perimeter", 6).alias("perimeter"))
 
 
-_POINTS = [(1, 1.0, 1.0), (2, 3.0, 1.0), (3, 2.0, 1.0)]
+#: A bent outline on the pixel grid: pixels lie inside, outside and on its edges.
+_OUTLINE = [(1, 0, 1.0, 1.0), (1, 1, 6.0, 1.0), (1, 2, 6.0, 6.0), (1, 3, 3.5, 3.0), (1, 4, 1.0, 6.0)]
 
 
-@R.query("select * from (values (1, 1, 1, 1.0::double), (2, 1, -1, -1.0::double), (3, 1, 0, 0.0::double)) t(point, shape, side, distance)")
+@R.query(f"""with {_G}, pts as (select image * 64 + y * 8 + x as point, x::double as px, y::double as py from g where v > 128),
+s as (select * from {values(_OUTLINE, "shape, pos, x, y")}),
+e as (select shape, pos, x::double as x, y::double as y, coalesce(lead(x) over w, first(x) over w)::double as x2, coalesce(lead(y) over w, first(y) over w)::double as y2 from s window w as (partition by shape order by pos rows between unbounded preceding and unbounded following)),
+t as (select *, least(greatest(((px - x) * (x2 - x) + (py - y) * (y2 - y)) / ((x2 - x) * (x2 - x) + (y2 - y) * (y2 - y)), 0), 1) as t from pts, e),
+m as (select point, shape, sqrt(min((px - x - t * (x2 - x)) * (px - x - t * (x2 - x)) + (py - y - t * (y2 - y)) * (py - y - t * (y2 - y)))) as dist,
+             count(*) filter (where (y > py) <> (y2 > py) and px < x + (py - y) * (x2 - x) / nullif(y2 - y, 0)) as n from t group by 1, 2)
+select point, shape, case when dist < 1e-9 then 0 when n % 2 = 1 then 1 else -1 end as side, round(dist * case when dist < 1e-9 then 0 when n % 2 = 1 then 1 else -1 end, 6) + 0.0 as distance from m""")
 def point_in_poly(spark: SparkSession, d: str) -> DataFrame:
-    points = spark.createDataFrame(_POINTS, "point int, px double, py double")
-    return geometry.point_in_polygon(points, _shapes(spark).filter("shape = 1")).withColumn("distance", F.round("distance", 6) + 0.0)
+    """Bright pixels against an outline."""
+    points = _grid(spark, d).filter("v > 128").select((F.col("image") * 64 + F.col("y") * 8 + F.col("x")).alias("point"), F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py"))
+    outline = spark.createDataFrame(_OUTLINE, "shape int, pos int, x double, y double")
+    return geometry.point_in_polygon(points, outline).withColumn("distance", F.round("distance", 6) + 0.0)
 
 
 @R.query(f"with {_G} select image, y, x, round(1.5::double * x - 0.5::double * y + 2.0, 6) as tx, round(0.25::double * x + 1.25::double * y - 1.0, 6) as ty from g")
@@ -231,7 +310,12 @@ def kmeans_fit(spark: SparkSession, d: str) -> DataFrame:
     return clustering.kmeans(read(spark, d, "embeddings"), "vec_id", "embedding", 8)
 
 
-@R.query(f"select cast(unnest({geometry.even_frames(1000)}) as bigint) as event_id")
+@R.query("""
+with n as (select count(*) as n from events), k as (select distinct cast(floor((n - 1) * i / 5.0::double) as bigint) as place from n, range(6) a(i) where n > 0)
+select event_id from (select event_id, row_number() over (order by event_id) - 1 as place from events) join k using (place)
+""")
 def even_frames(spark: SparkSession, d: str) -> DataFrame:
-    wanted = spark.createDataFrame([(i,) for i in geometry.even_frames(1000)], "event_id bigint")
-    return read(spark, d, "events").select("event_id").join(F.broadcast(wanted), "event_id", "left_semi")
+    """Six events evenly spread over all of them."""
+    events = read(spark, d, "events").select("event_id")
+    wanted = spark.createDataFrame([(i + 1,) for i in geometry.even_frames(events.count())], "pos long")
+    return numbered(events, [], "event_id", by_id("event_id")).join(F.broadcast(wanted.distinct()), "pos", "left_semi").select("event_id")
