@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .spans import SPAN, around, spans
+from .spans import SPAN, around, let, spans
 from .text import strip
 
 # Names, words and patterns by which addresses, parcel numbers and accounts are known.
@@ -142,13 +142,15 @@ def resolved(text: Column, trackings: Column, accounts: Column, strict: bool = T
             F.when(is_account, F.concat(acc["a"], F.array(plain(s["value"])))).otherwise(acc["a"]).alias("a"),
         )
 
-    sorted_out = F.aggregate(trackings, start, step)
-    taken = F.concat(F.transform(sorted_out["t"], plain), sorted_out["a"])
-    rest = F.filter(values(accounts), lambda v: ~F.array_contains(taken, v))
-    return F.struct(
-        F.array_sort(F.array_distinct(sorted_out["t"])).alias("trackings"),
-        F.array_sort(F.array_distinct(F.concat(sorted_out["a"], rest))).alias("accounts"),
-    )
+    def joined(sorted_out: Column) -> Column:
+        taken = F.concat(F.transform(sorted_out["t"], plain), sorted_out["a"])
+        rest = F.array_except(values(accounts), taken)
+        return F.struct(
+            F.array_sort(F.array_distinct(sorted_out["t"])).alias("trackings"),
+            F.array_sort(F.array_distinct(F.concat(sorted_out["a"], rest))).alias("accounts"),
+        )
+
+    return let(F.aggregate(trackings, start, step), joined)
 
 
 #: Every number found holds nine digits with nothing but spaces and hyphens between.
@@ -161,7 +163,12 @@ def detect_all(text: Column, strict: bool = True) -> Column:
     text = F.coalesce(text, F.lit(""))
     none = F.array().cast("array<string>")
     nothing = F.struct(none.alias("trackings"), none.alias("accounts"))
-    return F.when(~text.rlike(NINE_DIGITS), nothing).otherwise(resolved(text, tracking_spans(text), account_spans(text), strict))
+    return F.when(~text.rlike(NINE_DIGITS), nothing).otherwise(
+        let(
+            text,
+            lambda t: let(F.struct(tracking_spans(t).alias("t"), account_spans(t).alias("a")), lambda found: resolved(t, found["t"], found["a"], strict)),
+        )
+    )
 
 
 def keyword_near(text: Column, span: Column, words: list[str], reach: int) -> Column:

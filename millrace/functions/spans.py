@@ -7,6 +7,8 @@ offset of every match, in code points.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,14 +23,14 @@ def spans(text: Column, pattern: str, groups: int = 0, value_group: int | None =
     """
     text = F.coalesce(text, F.lit(""))
     whole = rf"(?sU)\G(.*?)({pattern})"
-    gaps = F.regexp_extract_all(text, F.lit(whole), F.lit(1))
-    matches = F.regexp_extract_all(text, F.lit(whole), F.lit(2))
-    inner = matches if value_group is None else F.regexp_extract_all(text, F.lit(whole), F.lit(2 + value_group))
+    # A match with the gap before it is the whole of a step, so two scans give all three lengths.
+    steps = F.regexp_extract_all(text, F.lit(whole), F.lit(0))
+    inner = F.regexp_extract_all(text, F.lit(whole), F.lit(2 if value_group is None else 2 + value_group))
     start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-    items = F.arrays_zip(gaps.alias("gap"), matches.alias("match"), inner.alias("value"))
+    items = F.arrays_zip(steps.alias("step"), inner.alias("value"))
 
     def step(acc: Column, m: Column) -> Column:
-        stop = acc["at"] + F.length(m["gap"]) + F.length(m["match"])
+        stop = acc["at"] + F.length(m["step"])
         # A value group ends its match, but for what a look-ahead leaves outside.
         span = F.struct(m["value"].alias("value"), (stop - F.length(m["value"])).alias("start"), stop.alias("stop"))
         return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
@@ -36,6 +38,11 @@ def spans(text: Column, pattern: str, groups: int = 0, value_group: int | None =
     return F.aggregate(items, start, step, lambda acc: acc["out"])
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def around(text: Column, span: Column, before: int, after: int) -> tuple[Column, Column]:
     """The text before and after a span, up to so many characters."""
     start = F.greatest(span["start"] - before, F.lit(0))

@@ -152,37 +152,34 @@ def kw_recall_by_cell(spark: SparkSession, d: str) -> DataFrame:
     return m.group_means(scored, ["model", "condition"], ["kw_recall"])
 
 
-@R.query()
-def rouge_l(spark: SparkSession, d: str) -> DataFrame:
-    e = spread(read(spark, d, "experiment_results"))
-    return e.select("result_id", "loaded_at", m.rouge_l(F.col("pred_answer"), F.col("gold_answer")).alias("rouge_l"))
-
-
-_PAIRS = [
-    (1, "the cat sat on the mat", "the cat on a mat"),
-    (2, "stay low and go out", "go out and stay low"),
-    (3, "", "anything"),
-    (4, "지진 12 cm", "12 cm 이상"),
-    (5, "a b c d e f g", "a c e g"),
-    (6, None, None),
-]
-
-
-@R.query(f"""
-with recursive p as (select id, regexp_extract_all(lower(coalesce(gold, '')), '[a-z0-9]+') as a, regexp_extract_all(lower(coalesce(pred, '')), '[a-z0-9]+') as b from {values(_PAIRS, "id, pred, gold")}),
+def _rouge_sql(table: str, said: str, wanted: str, keys: str) -> str:
+    return f"""
+with recursive d as (select {keys}, {wanted} as gold, {said} as pred, md5(coalesce({wanted}, '') || chr(1) || coalesce({said}, '')) as h from {table}),
+p as (select distinct h, regexp_extract_all(lower(coalesce(gold, '')), '[a-z0-9]+') as a, regexp_extract_all(lower(coalesce(pred, '')), '[a-z0-9]+') as b from d),
 l as (
-  select id, a, b, 0 as i, list_transform(range(0, len(b) + 1), lambda x: 0) as row from p
+  select h, a, b, 0 as i, list_transform(range(0, len(b) + 1), lambda x: 0) as row from p
   union all
-  select id, a, b, i + 1,
+  select h, a, b, i + 1,
     list_reduce(list_prepend([0], list_transform(range(1, len(b) + 1), lambda j: [j])),
       lambda acc, j: list_append(acc, case when b[j[1]] = a[i + 1] then row[j[1]] + 1 else greatest(row[j[1] + 1], acc[len(acc)]) end))
   from l where i < len(a)
-)
-select id, case when len(a) + len(b) > 0 then round(2.0 * row[len(row)] / (len(a) + len(b)), 4) else 0.0 end as rouge_l from l where i = len(a)
-""")
+),
+r as (select h, case when len(a) + len(b) > 0 then round(2.0 * row[len(row)] / (len(a) + len(b)), 4) else 0.0 end as rouge_l from l where i = len(a))
+select {keys}, rouge_l from d join r using (h)
+"""
+
+
+@R.query(_rouge_sql("experiment_results", "pred_answer", "gold_answer", "result_id, loaded_at"))
+def rouge_l(spark: SparkSession, d: str) -> DataFrame:
+    e = spread(read(spark, d, "experiment_results"))
+    return e.select("result_id", "loaded_at", m.rouge_l(F.col("pred_answer"), F.col("gold_answer")).alias("rouge_l"))
+
+
+@R.query(_rouge_sql("qa_dataset", "question", "gold_answer", "id, loaded_at"))
 def rouge_l_short(spark: SparkSession, d: str) -> DataFrame:
-    df = spark.createDataFrame(_PAIRS, "id int, pred string, gold string")
-    return df.select("id", m.rouge_l_short(F.col("pred"), F.col("gold")).alias("rouge_l"))
+    """Questions, whose tokens are few, against their answers."""
+    q = spread(read(spark, d, "qa_dataset"))
+    return q.select("id", "loaded_at", m.rouge_l_short(F.col("question"), F.col("gold_answer")).alias("rouge_l"))
 
 
 _W = "list_distinct(regexp_extract_all(lower(coalesce({0}, '')), '[가-힣]{{2,}}|[a-z]{{2,}}|[0-9]+'))"

@@ -248,23 +248,23 @@ def pix_bitwise(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@R.query("select 0 as image, cast(i // 16 as integer) as y, cast(i % 16 as integer) as x, case when (i // 16 - 8) * (i // 16 - 8) + (i % 16 - 8) * (i % 16 - 8) <= 25 then 1 else 0 end as v from (select unnest(range(0, 256)) as i)")
+@R.query(f"with {_G} select image, cast(sum(v) as bigint) as total, count(*) as n from g where (y - 4) * (y - 4) + (x - 4) * (x - 4) <= 9 group by 1")
 def pix_circle(spark: SparkSession, d: str) -> DataFrame:
-    return p.shape(16, 16, (F.col("y") - 8) ** 2 + (F.col("x") - 8) ** 2 <= 25)
+    """What lies under a drawn disc."""
+    disc = p.shape(8, 8, (F.col("y") - 4) ** 2 + (F.col("x") - 4) ** 2 <= 9).filter("v = 1").select("y", "x")
+    return _grid(spark, d).join(F.broadcast(disc), ["y", "x"]).groupBy("image").agg(F.sum("v").alias("total"), F.count("*").alias("n"))
 
 
-_SQUARE = [(1, 0, 0.0, 0.0), (1, 1, 2.0, 0.0), (1, 2, 2.0, 2.0), (1, 3, 0.0, 2.0), (2, 0, 0.0, 0.0), (2, 1, 4.0, 0.0), (2, 2, 0.0, 3.0)]
-
-
-def _shapes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_SQUARE, "shape int, pos int, x double, y double")
-
-
-@R.query(f"""with s as (select * from {values(_SQUARE, "shape, pos, x, y")}),
-e as (select shape, pos, x::double as x, y::double as y, coalesce(lead(x) over w, first(x) over w)::double as x2, coalesce(lead(y) over w, first(y) over w)::double as y2 from s window w as (partition by shape order by pos))
-select shape, round(abs(sum(x * y2 - x2 * y)) / 2, 6) as area, round(sum(sqrt((x2 - x) * (x2 - x) + (y2 - y) * (y2 - y))), 6) as perimeter from e group by 1""")
+@R.query("""
+with s as (select vec_id as shape, cast(i as integer) as pos, cast(embedding[2 * i + 1] as double) as x, cast(embedding[2 * i + 2] as double) as y from embeddings, range(5) a(i)),
+e as (select shape, pos, x, y, coalesce(lead(x) over w, first(x) over w) as x2, coalesce(lead(y) over w, first(y) over w) as y2 from s window w as (partition by shape order by pos rows between unbounded preceding and unbounded following))
+select shape, round(abs(sum(x * y2 - x2 * y)) / 2, 6) as area, round(sum(sqrt((x2 - x) * (x2 - x) + (y2 - y) * (y2 - y))), 6) as perimeter from e group by 1
+""")
 def poly_measures(spark: SparkSession, d: str) -> DataFrame:
-    return geometry.polygon_measures(_shapes(spark)).select("shape", F.round("area", 6).alias("area"), F.round("perimeter", 6).alias("perimeter"))
+    """Outlines of five corners, given by the first ten numbers of each vector."""
+    corners = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.struct(F.get("embedding", 2 * i).cast("double").alias("x"), F.get("embedding", 2 * i + 1).cast("double").alias("y"))))
+    shapes = read(spark, d, "embeddings").select(F.col("vec_id").alias("shape"), corners.alias("pos", "c")).select("shape", "pos", "c.x", "c.y")
+    return geometry.polygon_measures(shapes).select("shape", F.round("area", 6).alias("area"), F.round("perimeter", 6).alias("perimeter"))
 
 
 #: A bent outline on the pixel grid: pixels lie inside, outside and on its edges.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vector as v
@@ -160,18 +160,19 @@ def qtype_lookup(spark: SparkSession, d: str) -> DataFrame:
     return r.lookup(e, F.col("question"), q, "question", "type", "_order", "looked_up").select("result_id", "loaded_at", "looked_up")
 
 
-_OLD = [("exaone", "rag", 0.7, 0.6), ("exaone", "no_rag", 0.5, None), ("qwen3", "rag", None, 0.8), ("llama", "rag", 0.4, 0.4)]
-_NEW = [("exaone", "rag", 0.9, None), ("qwen3", "rag", 0.3, 0.2), ("exaone", "no_rag", 0.1, 0.1)]
-
-
-@R.query(f"""
-select o.model, o.condition, case when o.condition = 'rag' then coalesce(cast(n.f as double), cast(o.f as double)) else cast(o.f as double) end as f,
-       case when o.condition = 'rag' then coalesce(cast(n.r as double), cast(o.r as double)) else cast(o.r as double) end as r
-from (select * from {values(_OLD, "model, condition, f, r")}) o left join (select * from {values(_NEW, "model, condition, f, r")}) n using (model, condition)
+@R.query("""
+with o as (select model, condition, round(avg(elapsed_sec), 4) as f, round(avg(length(pred_answer)), 4) as r from experiment_results group by 1, 2),
+n as (select model, condition, round(avg(elapsed_sec), 4) as f, cast(null as double) as r from experiment_results where q_type is null group by 1, 2)
+select o.model, o.condition, case when o.condition = 'rag' then coalesce(n.f, o.f) else o.f end as f, o.r from o left join n on o.model is not distinct from n.model and o.condition is not distinct from n.condition
 """)
 def summary_update(spark: SparkSession, d: str) -> DataFrame:
-    names = "model string, condition string, f double, r double"
-    old, new = spark.createDataFrame(_OLD, names), spark.createDataFrame(_NEW, names)
+    """Means by cell; those of one condition anew from the rows without a type."""
+    e = read(spark, d, "experiment_results")
+
+    def means(df: DataFrame, length: Column) -> DataFrame:
+        return df.groupBy("model", "condition").agg(F.round(F.avg("elapsed_sec"), 4).alias("f"), length.alias("r"))
+
+    old, new = means(e, F.round(F.avg(F.length("pred_answer")), 4)), means(e.filter("q_type is null"), F.lit(None).cast("double"))
     return r.updated(old, new, ["model", "condition"], ["f", "r"], F.col("condition") == "rag")
 
 

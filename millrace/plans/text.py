@@ -136,55 +136,22 @@ def strip_think(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "experiment_results").select("result_id", "loaded_at", F.length(s).cast("bigint").alias("n_chars"), F.md5(s).alias("answer_md5"))
 
 
-_REPLIES = [
-    (1, '```json\n[{"question": "q1", "gold_answer": "a1"}, {"question": "q2", "gold_answer": "a2"}]\n```'),
-    (2, 'Sure: [{"question": "q3", "gold_answer": ""}] done'),
-    (3, "no list here"),
-    (4, '[{"question": "q4", "gold_answer": "a]4"}] tail ] more'),
-    (5, ""),
-]
-
-
-def _inline(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
-    return spark.createDataFrame(rows, names)
-
-
-@R.query(f"""
-select id, regexp_extract(regexp_replace(reply, '```json|```', '', 'g'), '(?s)\\[.*\\]') as body from {values(_REPLIES, "id, reply")}
-""")
+@R.query("select event_id, '[' || props || ', ' || props || ']' as body from events")
 def bracket_extract(spark: SparkSession, d: str) -> DataFrame:
-    return _inline(spark, _REPLIES, "id int, reply string").select("id", F.coalesce(t.first_bracketed(F.col("reply")), F.lit("")).alias("body"))
-
-
-_JSONS = [
-    (1, "```json\n{'names': '홍길동, 김철수', 'addresses': '',}\n```"),
-    (2, '{"names": "a, ,b,", "addresses": "x"}'),
-    (3, "not json"),
-    (4, "```\n{'names': ['p', 'q',], 'addresses': 'y, z'}\n``` rest"),
-]
+    """Lists out of replies with a fence and words around."""
+    reply = F.concat(F.lit("답은 다음과 같습니다.\n```json\n["), "props", F.lit(", "), "props", F.lit("]\n```\n끝"))
+    return read(spark, d, "events").select("event_id", t.first_bracketed(reply).alias("body"))
 
 
-@R.query(f"""
-with r as (
-  select id, regexp_replace(replace(case when contains(raw, '```')
-    then {sql_strip("regexp_extract(raw, '(?s)```(?:json)?(.*?)(?:```|$)', 1)")} else raw end, chr(39), '"'), ',\\s*([}}\\]])', '\\1', 'g') as j
-  from {values(_JSONS, "id, raw")}
-)
-select id, case when json_valid(j) then
-  coalesce(case when json_type(j, '$.names') = 'ARRAY' then array_to_string(list_filter(cast(json_extract(j, '$.names') as varchar[]), lambda x: length(x) > 0), '|') end,
-    array_to_string(list_filter(list_transform(string_split(json_extract_string(j, '$.names'), ','), lambda x: trim(x)), lambda x: length(x) > 0), '|')) end as names,
-  case when json_valid(j) then
-    array_to_string(list_filter(list_transform(string_split(json_extract_string(j, '$.addresses'), ','), lambda x: trim(x)), lambda x: length(x) > 0), '|') end as addresses
-from r
+@R.query("""
+select c_custkey, c_name || '|' || c_mktsegment as names, case when c_mktsegment = 'BUILDING' then 'a|b' else c_name end as addresses from customer
 """)
 def json_repair(spark: SparkSession, d: str) -> DataFrame:
-    j = t.repaired_json(F.col("raw"))
-    ok = F.get_json_object(j, "$").isNotNull()
-    return _inline(spark, _JSONS, "id int, raw string").select(
-        "id",
-        F.when(ok, F.array_join(t.string_or_list(j, "names"), "|")).alias("names"),
-        F.when(ok, F.array_join(t.string_or_list(j, "addresses"), "|")).alias("addresses"),
-    )
+    """Replies with single quotes, trailing commas, lists or comma-separated text."""
+    places = F.when(F.col("c_mktsegment") == "BUILDING", "['a', 'b',]").otherwise(F.concat(F.lit("'"), "c_name", F.lit(" , ,'")))
+    raw = F.concat(F.lit("말머리\n```json\n{'names': '"), "c_name", F.lit(", "), "c_mktsegment", F.lit("', 'addresses': "), places, F.lit(",}\n``` 꼬리"))
+    j = t.repaired_json(raw)
+    return read(spark, d, "customer").select("c_custkey", F.array_join(t.string_or_list(j, "names"), "|").alias("names"), F.array_join(t.string_or_list(j, "addresses"), "|").alias("addresses"))
 
 
 @R.query("select event_id, cast(json_extract_string(props, '$.k') as integer) as k from events")
@@ -201,10 +168,10 @@ def csv_list(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", F.when(F.col("title").isNotNull(), F.array_join(words, ",")).alias("words"), t.underscored(F.col("title")).alias("slug"))
 
 
-@R.query("select id, loaded_at, regexp_replace(question, '[^0-9]', '', 'g') as digits, regexp_replace(question, '[\\s\\-.]', '', 'g') as dense from qa_dataset")
+@R.query("select id, loaded_at, regexp_replace(question, '[^\\p{Nd}]', '', 'g') as digits, regexp_replace(question, '[\\s\\x{85}\\p{Z}\\-.]', '', 'g') as dense from qa_dataset")
 def digits_only(spark: SparkSession, d: str) -> DataFrame:
     q = F.col("question")
-    return read(spark, d, "qa_dataset").select("id", "loaded_at", F.regexp_replace(q, r"\D", "").alias("digits"), F.regexp_replace(q, r"[\s\-.]", "").alias("dense"))
+    return read(spark, d, "qa_dataset").select("id", "loaded_at", t.digits_only(q).alias("digits"), t.without_separators(q).alias("dense"))
 
 
 # The wording of the prompts.
@@ -242,12 +209,11 @@ def record_defaults(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-_NUMBERS = [(1, "0.81485"), (2, "abc"), (3, ""), (4, None), (5, "NaN"), (6, "12"), (7, "-3.14159265")]
-
-
-@R.query(f"select id, round(case when isnan(try_cast(v as double)) then null else try_cast(v as double) end, 4) as rounded from {values(_NUMBERS, 'id, v')}")
+@R.query("select event_id, case when event_type = 'click' or props is null then null else round(value, 4) end as rounded from events")
 def safe_round(spark: SparkSession, d: str) -> DataFrame:
-    return _inline(spark, _NUMBERS, "id int, v string").select("id", t.safe_round(F.col("v")).alias("rounded"))
+    """Numbers as text; clicks have words in their place."""
+    told = F.when(F.col("event_type") == "click", "abc").otherwise(F.col("value").cast("string"))
+    return read(spark, d, "events").select("event_id", t.safe_round(F.when(F.col("props").isNotNull(), told)).alias("rounded"))
 
 
 @R.query("""
@@ -259,9 +225,6 @@ def qa_valid(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "qa_dataset").filter(ok).select("id", "loaded_at", F.length("question").cast("bigint").alias("n_question"))
 
 
-_PATCHES = [(1, "tp=1 gpu=0 tp=1"), (2, "x tp=1")]
-
-
-@R.query(f"select id, substring(txt, 1, position('tp=1' in txt) - 1) || 'tp=2' || substring(txt, position('tp=1' in txt) + 4) as patched from {values(_PATCHES, 'id, txt')}")
+@R.query("select c_custkey, regexp_replace(c_name, '0', 'O') as patched from customer")
 def replace_first(spark: SparkSession, d: str) -> DataFrame:
-    return _inline(spark, _PATCHES, "id int, txt string").select("id", t.replace_first(F.col("txt"), "tp=1", "tp=2").alias("patched"))
+    return read(spark, d, "customer").select("c_custkey", t.replace_first(F.col("c_name"), "0", "O").alias("patched"))
