@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,34 +10,48 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import SPACE, collapse_blank_lines, paragraphs, prefix, strip
+from ..functions.text import prefix
 from .ranking import by_id, first_n, numbered
 
 
+def fold_text(text: str | None, size: int = 400, overlap: int = 80, least: int = 80, separator: str = "\n\n") -> list[str]:
+    """The chunks of one text, see ``folded``. White space of any Unicode kind is stripped."""
+    chunks: list[str] = []
+    now: list[str] = []
+    length = 0
+    for part in re.sub(r"\n{3,}", "\n\n", (text or "").strip()).split(separator):
+        para = part.strip()
+        if not para:
+            continue
+        if length + len(para) + 1 > size:
+            whole = "\n".join(now)
+            if length >= least:
+                chunks.append(whole)
+            # Paragraphs are stripped, so only the tail carried over can begin with white space.
+            tail = whole[max(0, length - overlap) :].lstrip() if overlap else ""
+            now, length = ([tail], len(tail)) if tail else ([], 0)
+        now.append(para)
+        length += len(para) + (len(now) > 1)
+    if length >= least:
+        chunks.append("\n".join(now))
+    return chunks
+
+
 def folded(text: Column, size: int = 400, overlap: int = 80, least: int = 80, separator: str = "\n\n") -> Column:
     """Array of chunks: paragraphs are added while they fit, then the chunk is given out
     if it is long enough, and its last ``overlap`` characters open the next one.
 
     A paragraph above the size is never split; a chunk too short is dropped but its end
-    is carried on. Null gives an empty array.
+    is carried on. Null gives an empty array. A fold in Catalyst copies all chunks so far at
+    every paragraph, so whole Arrow batches are folded in time linear in the text.
     """
-    paras = paragraphs(collapse_blank_lines(strip(F.coalesce(text, F.lit("")))), separator)
-    start = F.struct(F.lit("").alias("cur"), F.array().cast("array<string>").alias("out"))
-
-    def emitted(acc: Column) -> Column:
-        return F.when(F.length(acc["cur"]) >= least, F.concat(acc["out"], F.array(acc["cur"]))).otherwise(acc["out"])
-
-    def step(acc: Column, para: Column) -> Column:
-        fits = F.length(acc["cur"]) + F.length(para) + 1 <= size
-        # Paragraphs are stripped, so only the tail carried over can begin with white space.
-        tail = F.regexp_replace(F.right(acc["cur"], F.lit(overlap)), rf"^{SPACE}+", "")
-        kept = F.when(fits, acc["cur"]).otherwise(tail)
-        return F.struct(
-            F.when(F.length(kept) > 0, F.concat(kept, F.lit("\n"), para)).otherwise(para).alias("cur"),
-            F.when(fits, acc["out"]).otherwise(emitted(acc)).alias("out"),
-        )
-
-    return F.aggregate(paras, start, step, emitted)
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def fold(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            yield pd.Series([fold_text(t, size, overlap, least, separator) for t in part], dtype=object)
+
+    return fold(text)
 
 
 def chunk_rows(df: DataFrame, keep: list[str], text: str, **parameters) -> DataFrame:

@@ -39,12 +39,24 @@ def is_convex(points: DataFrame) -> DataFrame:
     return cross.groupBy("shape").agg(((F.min("c") >= 0) | (F.max("c") <= 0)).alias("convex"))
 
 
+#: Corners of all outlines that points may be held against at once.
+MOST_CORNERS = 10_000
+
+
 def point_in_polygon(points: DataFrame, polygon: DataFrame) -> DataFrame:
     """(point, shape, side, distance): 1 inside, -1 outside, 0 on the edge, and the signed
-    distance to the nearest edge. Takes points (point, px, py); polygons are small and are
-    packed one to a row."""
+    distance to the nearest edge. Takes points (point, px, py), with a shape each or to be held
+    against every polygon. An outline is packed into a row; outlines for all points are a
+    query set of at most MOST_CORNERS corners, more are refused."""
     packed = _edges(polygon).groupBy("shape").agg(F.sort_array(F.collect_list(F.struct("pos", "x", "y", "x2", "y2"))).alias("edges"))
-    met = points.join(F.broadcast(packed), "shape") if "shape" in points.columns else points.crossJoin(F.broadcast(packed))
+    if "shape" in points.columns:
+        met = points.join(packed, "shape")
+    else:
+        if polygon.limit(MOST_CORNERS + 1).count() > MOST_CORNERS:
+            raise ValueError("too many outlines for all points; give the points a shape each")
+        corner = lambda e: F.struct(*[F.lit(e[c]).alias(c) for c in ("pos", "x", "y", "x2", "y2")])
+        outlines = [F.struct(F.lit(r["shape"]).alias("shape"), F.array(*map(corner, r["edges"])).alias("edges")) for r in packed.collect()]
+        met = points.select("*", F.explode(F.array(*outlines)).alias("_s")).select(*points.columns, "_s.*") if outlines else points.withColumn("shape", F.lit(0)).join(packed, "shape")
     px, py = F.col("px"), F.col("py")
 
     def squared(e: Column) -> Column:
@@ -203,6 +215,34 @@ def convex_hull(points: DataFrame) -> DataFrame:
     return few.groupBy("shape").applyInPandas(join, f"shape {kind}, pos int, x double, y double")
 
 
+def simplified_shapes(points: DataFrame, tolerance: float) -> DataFrame:
+    """(shape, pos, x, y): the chains of all shapes, thinned as by ``simplified``."""
+    kind = points.schema["shape"].dataType.simpleString()
+
+    def thin(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("pos")
+        kept = simplified(list(zip(f["x"], f["y"], strict=True)), tolerance)
+        return pd.DataFrame({"shape": f["shape"].iloc[0], "pos": range(len(kept)), "x": [x for x, _ in kept], "y": [y for _, y in kept]})
+
+    return points.select("shape", "pos", "x", "y").groupBy("shape").applyInPandas(thin, f"shape {kind}, pos int, x double, y double")
+
+
+def fitted_ellipses(points: DataFrame) -> DataFrame:
+    """(shape, cx, cy, width, height, angle): the least-squares ellipse of every shape, null
+    where its points determine none."""
+    kind = points.schema["shape"].dataType.simpleString()
+
+    def fit(f: pd.DataFrame) -> pd.DataFrame:
+        try:
+            with np.errstate(invalid="raise", divide="raise"):
+                e = fitted_ellipse(f[["x", "y"]].to_numpy(float)) if len(f) > 4 else (None,) * 5
+        except (np.linalg.LinAlgError, FloatingPointError):
+            e = (None,) * 5
+        return pd.DataFrame([(f["shape"].iloc[0], *e)], columns=["shape", "cx", "cy", "width", "height", "angle"])
+
+    return points.select("shape", "x", "y").groupBy("shape").applyInPandas(fit, f"shape {kind}, cx double, cy double, width double, height double, angle double")
+
+
 def simplified(points: list[tuple[float, float]], tolerance: float) -> list[tuple[float, float]]:
     """A chain of points thinned so that none left out is farther from it than the tolerance."""
     if len(points) < 3:

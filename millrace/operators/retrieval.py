@@ -10,12 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import prefix, strip
+from ..session import checkpoint_folder
 
 #: Query vectors that go to the executors at once; larger sets are searched in passes.
 PASS_BYTES = 64 << 20
 
 
-def _passes(queries: DataFrame, key: str, vector: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _passes(queries: DataFrame, key: str, vector: str, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     keys: list = []
     rows: list = []
     size = 0
@@ -25,35 +26,42 @@ def _passes(queries: DataFrame, key: str, vector: str) -> Iterator[tuple[np.ndar
         keys.append(key_value)
         rows.append(np.asarray(values, dtype=np.float64))
         size += 8 * len(values)
-        if size >= PASS_BYTES:
+        if size >= most:
             yield np.array(keys), np.vstack(rows)
             keys, rows, size = [], [], 0
     if keys:
         yield np.array(keys), np.vstack(rows)
 
 
-def top_k(corpus: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 3, metric: str = "ip", exclude_self: bool = False) -> DataFrame:
+def top_k(
+    corpus: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 3, metric: str = "ip", exclude_self: bool = False, pass_bytes: int = PASS_BYTES
+) -> DataFrame:
     """(query_id, key, score, rank): the k nearest rows of the corpus for every query.
 
-    Each corpus batch meets a block of queries in one matrix product and gives its own best
-    k, so k rows per query and task are shuffled. ``metric`` is the inner product ("ip",
-    descending) or the squared distance ("l2", ascending). Equal scores go by the lesser
-    key. A corpus of fewer than k rows gives fewer rows; null vectors never match.
+    Each corpus batch meets a block of queries in one matrix product; a task keeps its best k
+    so far and gives them at its end, so k rows per query and task are shuffled. ``metric`` is the
+    inner product ("ip", descending) or the squared distance ("l2", ascending). Equal scores go by
+    the lesser key. A corpus of fewer than k rows gives fewer rows; null vectors never match.
+
+    The driver and the executors hold ``pass_bytes`` of query vectors at a time: with more, the
+    findings of a pass are written down before the next one, which reads the corpus again.
     """
     spark = corpus.sparkSession
     kind = corpus.schema[key].dataType.simpleString()
     schema = f"query_id {queries.schema[key].dataType.simpleString()}, {key} {kind}, score double"
     slim = corpus.select(F.col(key), F.col(vector).alias("v")).filter("v is not null")
     sign = -1.0 if metric == "ip" else 1.0
-    found = None
-    for ids, matrix in _passes(queries, key, vector):
-        sent = spark.sparkContext.broadcast((ids, matrix))
 
-        def search(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+    def searched(sent) -> DataFrame:
+        def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, matrix = sent.value
+            best = pd.DataFrame({"q": np.empty(0, dtype=np.int64), "cost": np.empty(0), "key": []})
             for frame in frames:
+                if not len(frame):
+                    continue
                 keys = frame[key].to_numpy()
                 vectors = np.vstack(frame["v"].to_numpy()).astype(np.float64)
+                found = [best]
                 for lo in range(0, len(ids), 512):
                     block = matrix[lo : lo + 512]
                     if metric == "ip":
@@ -62,21 +70,34 @@ def top_k(corpus: DataFrame, queries: DataFrame, key: str, vector: str, k: int =
                         cost = (block**2).sum(1)[:, None] - 2 * block @ vectors.T + (vectors**2).sum(1)[None, :]
                     if exclude_self:
                         cost = np.where(ids[lo : lo + 512, None] == keys[None, :], np.inf, cost)
+                    # Rounding keeps equal scores equal whichever batch they were computed in.
+                    cost = np.round(cost, 9)
                     n = min(k, len(keys))
-                    # Ties at the edge must all stay in, so everything up to the k-th cost is kept.
                     edge = np.partition(cost, n - 1, axis=1)[:, n - 1]
-                    q, c = np.nonzero(cost <= edge[:, None] + 1e-12)
-                    good = np.isfinite(cost[q, c])
-                    q, c = q[good], c[good]
-                    yield pd.DataFrame({"query_id": ids[lo : lo + 512][q], key: keys[c], "score": sign * cost[q, c]})
+                    q, c = np.nonzero((cost <= edge[:, None]) & np.isfinite(cost))
+                    found.append(pd.DataFrame({"q": lo + q, "cost": cost[q, c], "key": keys[c]}))
+                every = pd.concat(found[len(best) == 0 :], ignore_index=True).sort_values(["q", "cost", "key"], kind="stable")
+                best = every[every.groupby("q").cumcount() < k]
+            yield pd.DataFrame({"query_id": ids[best["q"].to_numpy()], key: best["key"].to_numpy(), "score": sign * best["cost"].to_numpy()})
 
-        part = slim.mapInPandas(search, schema)
+        return slim.mapInPandas(search, schema)
+
+    portions = _passes(queries, key, vector, pass_bytes)
+    portion, following = next(portions, None), next(portions, None)
+    found = None
+    while following is not None:
+        checkpoint_folder(spark)
+        sent = spark.sparkContext.broadcast(portion)
+        part = searched(sent).checkpoint(eager=True)
+        sent.destroy()
         found = part if found is None else found.unionByName(part)
-    if found is None:
+        portion, following = following, next(portions, None)
+    if portion is None:
         found = spark.createDataFrame([], schema)
-    # Rounding keeps equal scores equal whichever batch they were computed in.
-    score = F.round("score", 9)
-    order = [score.desc() if metric == "ip" else score.asc(), F.col(key)]
+    else:
+        last = searched(spark.sparkContext.broadcast(portion))
+        found = last if found is None else found.unionByName(last)
+    order = [F.col("score").desc() if metric == "ip" else F.col("score").asc(), F.col(key)]
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
     return ranked.filter(F.col("rank") <= k)
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import entities, finetune, metrics, pixels, retrieval, text
+from . import entities, finetune, metrics, pixels, retrieval, sources, text
 from .registry import Query
 
-MODULES = (text, retrieval, metrics, finetune, entities, pixels)
+MODULES = (text, retrieval, metrics, finetune, entities, pixels, sources)
 
 
 def queries() -> dict[str, Query]:

@@ -37,18 +37,6 @@ def chat_template(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "ft_dataset").select("item_id", "loaded_at", F.md5(f.rendered(F.col("messages"))).alias("template_md5"))
 
 
-@R.query(f"""
-with c as (select disaster_type, substring(min_by(text, chunk_id), 1, 800) as context from chunks where text is not null group by 1)
-select i.item_id, i.loaded_at, md5('user: ' || '[문서]' || chr(10) || coalesce(c.context, '') || chr(10) || '[질문]' || chr(10) || {_FIRST.format('user')} || chr(10) || 'assistant: ' || {_FIRST.format('assistant')}) as chat_md5
-from ft_dataset i left join c on i.source_category = c.disaster_type
-""")
-def rag_prompt_rewrite(spark: SparkSession, d: str) -> DataFrame:
-    chunks = read(spark, d, "chunks").filter("text is not null").groupBy("disaster_type").agg(t.prefix(F.min_by("text", "chunk_id"), 800).alias("context"))
-    items = read(spark, d, "ft_dataset").join(chunks, F.col("source_category") == F.col("disaster_type"), "left")
-    prompt = t.fill_template("[문서]\n{context}\n[질문]\n{question}", context=F.col("context"), question=f.first_by_role(F.col("messages"), "user"))
-    return items.select("item_id", "loaded_at", F.md5(f.rendered(f.without_system(F.col("messages"), prompt))).alias("chat_md5"))
-
-
 _U = "(('0x' || substring(md5('42:' || cast({0} as varchar)), 1, 8))::bigint::double / 4294967296.0)"
 
 

@@ -267,6 +267,46 @@ def poly_measures(spark: SparkSession, d: str) -> DataFrame:
     return geometry.polygon_measures(shapes).select("shape", F.round("area", 6).alias("area"), F.round("perimeter", 6).alias("perimeter"))
 
 
+_C = """c as (select vec_id, (cast(embedding[1] as double) + 1) / 2 as r, (cast(embedding[2] as double) + 1) / 2 as g, (cast(embedding[3] as double) + 1) / 2 as b from embeddings),
+l as (select *, greatest(r, g, b) as top, greatest(r, g, b) - least(r, g, b) as span,
+  case when r > 0.04045 then pow((r + 0.055) / 1.055, 2.4) else r / 12.92 end as lr, case when g > 0.04045 then pow((g + 0.055) / 1.055, 2.4) else g / 12.92 end as lg, case when b > 0.04045 then pow((b + 0.055) / 1.055, 2.4) else b / 12.92 end as lb from c),
+t as (select *, (0.412453 * lr + 0.357580 * lg + 0.180423 * lb) / 0.950456 as tx, 0.212671 * lr + 0.715160 * lg + 0.072169 * lb as ty, (0.019334 * lr + 0.119193 * lg + 0.950227 * lb) / 1.088754 as tz,
+  case when span = 0 then 0 when top = r then 60 * (g - b) / span when top = g then 120 + 60 * (b - r) / span else 240 + 60 * (r - g) / span end as h0 from l),
+f as (select *, case when tx > 0.008856 then pow(tx, 1 / 3.0) else 7.787 * tx + 16 / 116.0 end as fx, case when ty > 0.008856 then pow(ty, 1 / 3.0) else 7.787 * ty + 16 / 116.0 end as fy, case when tz > 0.008856 then pow(tz, 1 / 3.0) else 7.787 * tz + 16 / 116.0 end as fz from t)"""
+
+
+@R.query(f"with {_C} select vec_id, round(0.299 * r + 0.587 * g + 0.114 * b, 6) as gray, round(case when h0 < 0 then h0 + 360 else h0 end, 5) + 0.0 as h, round(case when top > 0 then span / top else 0 end, 6) as s, round(top, 6) as v, round(116 * fy - 16, 4) as l, round(500 * (fx - fy), 4) + 0.0 as a, round(200 * (fy - fz), 4) + 0.0 as b2 from f")
+def pix_colour(spark: SparkSession, d: str) -> DataFrame:
+    """The first three numbers of each vector as red, green and blue, in other spaces."""
+    r, g, b = [(F.get("embedding", F.lit(i)).cast("double") + 1) / 2 for i in range(3)]
+    c = read(spark, d, "embeddings").select("vec_id", r.alias("r"), g.alias("g"), b.alias("b"))
+    r, g, b = F.col("r"), F.col("g"), F.col("b")
+    h, s, v = p.hsv(r, g, b)
+    l, a, b2 = p.lab(r, g, b)  # noqa: E741
+    return c.select(
+        "vec_id", F.round(p.gray(r, g, b), 6).alias("gray"), (F.round(h, 5) + 0.0).alias("h"), F.round(s, 6).alias("s"), F.round(v, 6).alias("v"),
+        F.round(l, 4).alias("l"), (F.round(a, 4) + 0.0).alias("a"), (F.round(b2, 4) + 0.0).alias("b2"),
+    )
+
+
+@R.query(f"with {_G} select g.image, g.y, g.x, round(0.5::double * g.v + 0.5 * n.v, 6) as v from g join g n on n.image = g.image and n.y = g.y and n.x = least(g.x + 1, 7)")
+def pix_remap(spark: SparkSession, d: str) -> DataFrame:
+    """Images moved by half a pixel."""
+    return p.remapped(_grid(spark, d), F.col("x") + 0.5, F.col("y") * 1.0).withColumn("v", F.round("v", 6))
+
+
+@R.query("select vec_id as point, round(cast(embedding[1] as double), 5) + 0.0 as x, round(cast(embedding[2] as double), 5) + 0.0 as y, round(cast(embedding[3] as double) + 4, 5) as z, round(cast(embedding[1] as double) / (cast(embedding[3] as double) + 4), 5) + 0.0 as u1 from embeddings")
+def points_triangulated(spark: SparkSession, d: str) -> DataFrame:
+    """Points seen by two cameras, and where they are by what was seen."""
+    one, two = np.eye(3, 4), np.eye(3, 4)
+    two[0, 3] = -1
+    place = [F.get("embedding", F.lit(i)).cast("double") for i in range(3)]
+    points = read(spark, d, "embeddings").select(F.col("vec_id").alias("point"), place[0].alias("x"), place[1].alias("y"), (place[2] + 4).alias("z"))
+    seen = geometry.projected(geometry.projected(points, one).withColumnsRenamed({"u": "u1", "v": "v1"}), two).withColumnsRenamed({"u": "u2", "v": "v2"})
+    back = geometry.triangulated(seen, one, two).join(seen.select("point", "u1"), "point")
+    return back.select("point", (F.round("x", 5) + 0.0).alias("x"), (F.round("y", 5) + 0.0).alias("y"), F.round("z", 5).alias("z"), (F.round("u1", 5) + 0.0).alias("u1"))
+
+
 #: A bent outline on the pixel grid: pixels lie inside, outside and on its edges.
 _OUTLINE = [(1, 0, 1.0, 1.0), (1, 1, 6.0, 1.0), (1, 2, 6.0, 6.0), (1, 3, 3.5, 3.0), (1, 4, 1.0, 6.0)]
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from .pdf import pdf_pages
 
 #: Loaders by extension: bytes to text. Those that need a model or a program are injected.
 Loader = Callable[[bytes], str]
@@ -60,7 +61,12 @@ def plain_text(content: bytes) -> str:
     return content.decode("utf-8-sig", "replace")
 
 
-LOADERS: dict[str, Loader] = {".docx": docx_text, ".txt": plain_text, ".md": plain_text}
+def pdf_pages_text(content: bytes, least: int = 30) -> str:
+    """The text of the pages of a PDF that hold more than so many characters, joined by lines."""
+    return "\n".join(page for page in pdf_pages(content) if len(page.strip()) > least)
+
+
+LOADERS: dict[str, Loader] = {".docx": docx_text, ".pdf": pdf_pages_text, ".txt": plain_text, ".md": plain_text}
 
 
 def kept_pages(pages: Column, least: int = 30) -> Column:
@@ -119,7 +125,9 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None, index: b
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
-    df.write.mode(mode).option("header", "true").csv(path)
+    """CSV files with a header, each beginning with a byte-order mark, as spreadsheets want it."""
+    first = df.columns[0]
+    df.withColumnRenamed(first, "\ufeff" + first).write.mode(mode).option("header", "true").csv(path)
 
 
 def write_index(vectors: DataFrame, texts: DataFrame, key: str, path: str, mode: str = "error") -> None:

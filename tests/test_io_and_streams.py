@@ -48,6 +48,9 @@ def test_json_csv_index(spark, tmp_path):
     csv = files.read_csv(spark, str(tmp_path / "s.csv"))
     assert csv.columns == ["model", "condition", "score"] and csv.filter("score is null").count() == 1
     files.write_csv(csv, str(tmp_path / "csv"))
+    assert all(f.read_bytes().startswith("\ufeffmodel,".encode()) for f in (tmp_path / "csv").glob("*.csv"))
+    again = files.read_csv(spark, str(tmp_path / "csv"))
+    assert again.columns == csv.columns and sorted(map(str, again.collect())) == sorted(map(str, csv.collect()))
     vectors = spark.createDataFrame([(1, [0.5, 0.5])], "id int, embedding array<double>")
     files.write_index(vectors, spark.createDataFrame([(1, "t")], "id int, text string"), "id", str(tmp_path / "index"))
     assert files.read_index(spark, str(tmp_path / "index")).first()["text"] == "t"
@@ -56,6 +59,40 @@ def test_json_csv_index(spark, tmp_path):
     assert pairs == [(0, "left1.jpg", "right1.jpg", 10, 7), (1, "left2.jpg", "right2.jpg", 10, 7)]
 
 
+def pdf(pages, stream=lambda b: (b"", b), extra=()):
+    """A PDF with one content stream a page; Latin text in plain strings."""
+    parts = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Count %d /Kids [%s] >>" % (len(pages), b" ".join(b"%d 0 R" % (3 + 2 * i) for i in range(len(pages))))]
+    for i, content in enumerate(pages):
+        head, body = stream(content)
+        parts += [b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R >>" % (4 + 2 * i), b"<< /Length %d %s >>\nstream\n%s\nendstream" % (len(body), head, body)]
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (n, body) for n, body in enumerate([*parts, *extra], 1)) + b"trailer << /Root 1 0 R >>\n%%EOF"
+
+
+def test_pdf_pages():
+    import zlib
+
+    from millrace.plans.sources import _pdf
+    from millrace.sources.pdf import pdf_pages
+
+    first = rb"BT /F1 12 Tf 72 700 Td (Close \(all\) gates \151n time) Tj 0 -14 Td [(Leave) -300 (by) -250 (the) 20 ( stairs)] TJ (and wait) ' ET"
+    second = b"BT 72 700 Td <48656C6C6F> Tj 60 0 Td (there) Tj ET"
+    wanted = ["Close (all) gates in time\nLeave by the stairs\nand wait", "Hello there"]
+    assert pdf_pages(pdf([first, second])) == wanted
+    assert pdf_pages(pdf([first, second], lambda b: (b"/Filter /FlateDecode", zlib.compress(b)))) == wanted
+    assert pdf_pages(pdf([b"\xff\xd8 picture"], lambda b: (b"/Filter /DCTDecode", b))) == [""]
+    assert pdf_pages(_pdf("지진이 나면 문을 연다 😀\n둘째 줄")) == ["지진이 나면 문을 연다 😀\n둘째 줄"]
+    packed = zlib.compress(b"7 0 8 36 << /Type /Pages /Kids [8 0 R] >>    << /Type /Page /Contents 4 0 R >>")
+    whole = b"%PDF-1.5\n4 0 obj\n<< /Length 20 >>\nstream\nBT (In a stream) Tj ET\nendstream\nendobj\n9 0 obj\n<< /Type /ObjStm /N 2 /First 9 /Filter /FlateDecode >>\nstream\n" + packed + b"\nendstream\nendobj\n"
+    assert pdf_pages(whole) == ["In a stream"]
+    for bad in (b"", b"no pdf", b"<html>"):
+        try:
+            pdf_pages(bad)
+        except ValueError:
+            continue
+        raise AssertionError(bad)
+    assert files.pdf_pages_text(pdf([first, second])) == wanted[0]
+
+
 def test_adapters(spark):
     df = spark.createDataFrame([(1, "가나다"), (2, "가나다"), (3, None)], "id int, t string")
     v = {r["id"]: np.array(r["embedding"]) for r in adapters.embedded(df, "t", adapters.hashed_embedder(16)).collect()}

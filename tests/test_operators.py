@@ -43,6 +43,18 @@ def test_top_k(spark, metric):
     assert retrieval.top_k(df, queries.limit(0), "id", "v").count() == 0
 
 
+def test_top_k_in_passes_and_by_words(spark):
+    rng = np.random.default_rng(8)
+    m = rng.integers(-2, 3, (300, 5)).astype(float)
+    df = spark.createDataFrame([(f"k{i:03d}", m[i].tolist()) for i in range(300)], "id string, v array<double>").repartition(3)
+    whole = sorted(map(tuple, retrieval.top_k(df, df, "id", "v", 4, exclude_self=True).collect()))
+    parts = sorted(map(tuple, retrieval.top_k(df, df, "id", "v", 4, exclude_self=True, pass_bytes=40 * 70).collect()))
+    assert whole == parts and len(whole) == 1200
+    for i in (0, 17, 299):
+        score = m @ m[i]
+        assert [r[1] for r in sorted((r for r in whole if r[0] == f"k{i:03d}"), key=lambda r: r[3])] == [f"k{j:03d}" for j in sorted((j for j in range(300) if j != i), key=lambda j: (-score[j], j))[:4]]
+
+
 def test_lookup_and_leaks(spark):
     asked = spark.createDataFrame([(1, " 물음 "), (2, "모름"), (3, None)], "k int, q string")
     table = spark.createDataFrame([("물음", "a", 1), ("물음 ", "b", 2)], "q string, type string, pos int")
@@ -175,6 +187,47 @@ def test_contours_and_circles(spark):
     assert (best["radius"], abs(best["y"] - 20) <= 1, abs(best["x"] - 20) <= 1) == (6, True, True)
 
 
+def test_stencils_on_rasters(spark):
+    g = np.random.default_rng(9).integers(0, 255, (3, 6, 10)).astype(float)
+    df = spark.createDataFrame([(i, g[i].ravel().tolist()) for i in range(3)] + [(7, None)], "key long, v array<double>")
+    images = pixels.rasters(df, "key", "v", 10)
+    rows = spark.createDataFrame([(i, y, x, float(g[i, y, x])) for i in range(3) for y in range(6) for x in range(10)], "image long, y int, x int, v double").repartition(5)
+    for f in (lambda p: pixels.median(p, 2), lambda p: pixels.morphology(p, "close"), lambda p: pixels.sobel(p, "reflect"), lambda p: pixels.bilateral(p, 2)):
+        a, b = (sorted(map(tuple, f(p).collect())) for p in (images, rows))
+        assert len(a) == 180 and np.allclose(np.array(a), np.array(b))
+        plan = f(images)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan
+    small = as_grid(pixels.resized_linear(images.filter("image = 1"), 3, 5), (3, 5))
+    assert np.allclose(small, g[1].reshape(3, 2, 5, 2).mean((1, 3)))
+    assert np.allclose(as_grid(pixels.resized_linear(images.filter("image = 1"), 6, 10), (6, 10)), g[1])
+    slanted = np.zeros((9, 15))
+    for y in range(9):
+        slanted[y, 3 + y] = 1
+    upright = as_grid(pixels.deskewed(image(spark, slanted)), (9, 15))
+    assert (upright[1:8].argmax(axis=1) == upright[4].argmax()).all()
+    assert pixels.median(images.limit(0)).count() == 0
+
+
+def test_segments(spark):
+    edges = [(1, 2, x) for x in [*range(0, 9), *range(14, 22)]] + [(1, 9, 3)]
+    df = spark.createDataFrame(edges, "image long, y int, x int")
+    rows = pixels.hough_segments(df, 4, 10, 5, 2).filter("theta > 1.5 and theta < 1.6").collect()
+    assert {(r["x1"], r["y1"], r["x2"], r["y2"]) for r in rows} == {(8, 2, 0, 2), (21, 2, 14, 2)}
+
+
+def test_shapes_as_rows(spark):
+    chain = [(s, i, float(x), float(y)) for s in (1, 2) for i, (x, y) in enumerate([(0, 0), (1, 0.01), (2, 0), (2, 2 * s)])]
+    df = spark.createDataFrame(chain, "shape int, pos int, x double, y double")
+    got = sorted(tuple(r) for r in geometry.simplified_shapes(df, 0.1).collect())
+    assert got == [(s, i, *p) for s in (1, 2) for i, p in enumerate([(0.0, 0.0), (2.0, 0.0), (2.0, 2.0 * s)])]
+    t = np.linspace(0, 2 * np.pi, 40)
+    rows = [(1, i, float(5 + 3 * np.cos(a)), float(2 + np.sin(a))) for i, a in enumerate(t)] + [(2, 0, 0.0, 0.0)]
+    e = {r["shape"]: r for r in geometry.fitted_ellipses(spark.createDataFrame(rows, df.schema)).collect()}
+    assert (e[1]["cx"], e[1]["cy"]) == pytest.approx((5, 2)) and sorted((e[1]["width"], e[1]["height"])) == pytest.approx([2, 6]) and e[2]["cx"] is None
+    points = spark.createDataFrame([(1, 1.0, 0.5)], "point int, px double, py double")
+    assert geometry.point_in_polygon(points, df.limit(0)).count() == 0
+
+
 def test_shapes(spark):
     square = [(1, 0, 0.0, 0.0), (1, 1, 2.0, 0.0), (1, 2, 2.0, 2.0), (1, 3, 0.0, 2.0)]
     df = spark.createDataFrame(square, "shape int, pos int, x double, y double")
