@@ -337,6 +337,59 @@ def contours(px: DataFrame, size: tuple[int, int] = (8, 8)) -> DataFrame:
     return sets.join(inner.union(outer).union(rim).distinct(), KEYS).select(*KEYS, "label", "hole")
 
 
+def contour_tree(px: DataFrame, size: tuple[int, int] = (8, 8)) -> DataFrame:
+    """(image, label, hole, parent): every component with the hole it stands in, and every hole
+    with the component around it; null where the open ground is around.
+
+    The first pixel of a set in reading order has on its left a pixel of what is around it.
+    """
+    h, w = size
+    sets = components(px, size).withColumn("hole", F.lit(False))
+    ground = components(px.withColumn("v", F.when(F.col("v") == 0, 1).otherwise(0)), size, offsets=CROSS).withColumn("hole", F.lit(True))
+    outside = ground.filter(F.col("y").isin(0, h - 1) | F.col("x").isin(0, w - 1)).select("image", "label").distinct()
+    enclosed = ground.join(outside, ["image", "label"], "left_anti").select(*KEYS, "label", "hole")
+    every = sets.unionByName(enclosed)
+    first = every.groupBy("image", "label", "hole").agg(F.min(F.col("y") * w + F.col("x")).alias("p"))
+    beside = first.select("image", "label", "hole", F.floor(F.col("p") / w).cast("int").alias("y"), (F.col("p") % w - 1).cast("int").alias("x"))
+    around_it = every.select(*KEYS, F.col("label").alias("parent"))
+    return beside.join(around_it, KEYS, "left").select("image", "label", "hole", "parent")
+
+
+def traced(px: DataFrame) -> DataFrame:
+    """(image, label, pos, y, x): the outer contour of every component as a closed path, from
+    its first pixel in reading order, clockwise; a pixel on a spur comes more than once."""
+    ring = [(0, -1), (-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1)]
+
+    def follow(inside: set, first: tuple[int, int]) -> list[tuple[int, int]]:
+        path, at, back = [first], first, 0
+        second = None
+        while True:
+            for turn in range(1, 9):
+                k = (back + turn) % 8
+                near = (at[0] + ring[k][0], at[1] + ring[k][1])
+                if near in inside:
+                    break
+            else:
+                return path
+            if at == first and near == second:
+                return path[:-1]
+            second = second or near
+            path.append(near)
+            # The search goes on from the pixel that was looked at before this one.
+            before = ring[(k - 1) % 8]
+            back = ring.index((at[0] + before[0] - near[0], at[1] + before[1] - near[1]))
+            at = near
+
+    def trace(frame: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for label, part in frame.groupby("label"):
+            pixels = sorted(zip(part["y"].tolist(), part["x"].tolist(), strict=True))
+            out += [(frame["image"].iloc[0], label, n, y, x) for n, (y, x) in enumerate(follow(set(pixels), pixels[0]))]
+        return pd.DataFrame(out, columns=["image", "label", "pos", "y", "x"])
+
+    return components(px).groupBy("image").applyInPandas(trace, "image long, label int, pos int, y int, x int")
+
+
 def picked_components(stats: DataFrame, k: int, least_area: int, seed: int = 42) -> DataFrame:
     """Up to k components of each image with enough area, in a random order that the seed
     and the labels determine."""

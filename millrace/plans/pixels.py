@@ -191,7 +191,14 @@ def pix_cc_stats(spark: SparkSession, d: str) -> DataFrame:
     return p.component_stats(p.components(_binary(spark, d))).withColumns({"cx": F.round("cx", 6), "cy": F.round("cy", 6)})
 
 
-@R.query()
+@R.query(f"""with recursive {_SETS}, z as (select image, y, x, y * 8 + x as pos from g where v = 0),
+ez as (select a.image, a.pos as a, b.pos as b from z a join z b on a.image = b.image and abs(a.y - b.y) + abs(a.x - b.x) = 1),
+rz as (select image, pos as a, pos as b from z union select rz.image, rz.a, ez.b from rz join ez on rz.image = ez.image and rz.b = ez.a),
+ground as (select image, cast(a // 8 as integer) as y, cast(a % 8 as integer) as x, min(b) as label from rz group by image, a),
+outside as (select distinct image, label from ground where y in (0, 7) or x in (0, 7))
+select distinct cc.image, cc.y, cc.x, cc.label, case when o.label is null then n.label end as hole
+from cc join ground n on n.image = cc.image and abs(n.y - cc.y) + abs(n.x - cc.x) = 1 left join outside o on o.image = n.image and o.label = n.label
+union select image, y, x, label, null from cc where y in (0, 7) or x in (0, 7)""")
 def pix_contours(spark: SparkSession, d: str) -> DataFrame:
     return p.contours(_binary(spark, d))
 

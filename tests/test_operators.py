@@ -187,6 +187,25 @@ def test_contours_and_circles(spark):
     assert (best["radius"], abs(best["y"] - 20) <= 1, abs(best["x"] - 20) <= 1) == (6, True, True)
 
 
+def test_contour_paths_and_tree(spark):
+    b = np.zeros((8, 8))
+    b[0:7, 0:7] = 1
+    b[1:6, 1:6] = 0
+    b[3, 3] = 1
+    b[7, 7] = 0
+    px = image(spark, b)
+    tree = {(r["label"], r["hole"]): r["parent"] for r in pixels.contour_tree(px).collect()}
+    assert tree == {(0, False): None, (9, True): 0, (27, False): 9}
+    paths = {}
+    for r in pixels.traced(px).orderBy("pos").collect():
+        paths.setdefault(r["label"], []).append((r["y"], r["x"]))
+    square = [(0, x) for x in range(7)] + [(y, 6) for y in range(1, 7)] + [(6, x) for x in range(5, -1, -1)] + [(y, 0) for y in range(5, 0, -1)]
+    assert paths == {0: square, 27: [(3, 3)]}
+    spur = np.zeros((8, 8))
+    spur[2, 1:4] = 1
+    assert [(r["y"], r["x"]) for r in pixels.traced(image(spark, spur)).orderBy("pos").collect()] == [(2, 1), (2, 2), (2, 3), (2, 2)]
+
+
 def test_stencils_on_rasters(spark):
     g = np.random.default_rng(9).integers(0, 255, (3, 6, 10)).astype(float)
     df = spark.createDataFrame([(i, g[i].ravel().tolist()) for i in range(3)] + [(7, None)], "key long, v array<double>")
