@@ -78,11 +78,14 @@ def point_in_polygon(points: DataFrame, polygon: DataFrame) -> DataFrame:
 
 def fitted_line(px: DataFrame) -> DataFrame:
     """(image, vx, vy, x0, y0): the least-squares line through the non-zero pixels, from
-    their sums; the direction has vx >= 0."""
+    their sums; the direction has vx >= 0, and is null where no direction is best, as for one
+    pixel or a square."""
     x, y = F.col("x").cast("double"), F.col("y").cast("double")
     s = px.filter("v <> 0").groupBy("image").agg(F.avg(x).alias("x0"), F.avg(y).alias("y0"), F.avg(x * x).alias("xx"), F.avg(y * y).alias("yy"), F.avg(x * y).alias("xy"))
     sxx, syy, sxy = F.col("xx") - F.col("x0") ** 2, F.col("yy") - F.col("y0") ** 2, F.col("xy") - F.col("x0") * F.col("y0")
-    angle = 0.5 * F.atan2(2 * sxy, sxx - syy)
+    # Rounded, so that what is equal but for its sums' last digits has no direction; never -0.
+    across, apart = F.round(2 * sxy, 9) + 0.0, F.round(sxx - syy, 9) + 0.0
+    angle = F.when((across != 0) | (apart != 0), 0.5 * F.atan2(across, apart))
     return s.select("image", F.cos(angle).alias("vx"), F.sin(angle).alias("vy"), "x0", "y0")
 
 
@@ -156,6 +159,59 @@ def triangulated(df: DataFrame, camera1: np.ndarray, camera2: np.ndarray) -> Dat
     return df.select("point", "u1", "v1", "u2", "v2").mapInPandas(solve, f"point {kind}, x double, y double, z double")
 
 
+def _eight_points(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The matrix of rank two with q' F p least, from points brought to their mean and spread."""
+
+    def brought(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        centre = x.mean(axis=0)
+        scale = np.sqrt(2) / max(np.hypot(*(x - centre).T).mean(), 1e-12)
+        m = np.array([[scale, 0, -scale * centre[0]], [0, scale, -scale * centre[1]], [0, 0, 1]])
+        return np.hstack([x, np.ones((len(x), 1))]) @ m.T, m
+
+    (a, ma), (b, mb) = brought(p), brought(q)
+    f = np.linalg.svd(np.einsum("ni,nj->nij", b, a).reshape(len(a), 9))[2][-1].reshape(3, 3)
+    u, d, vt = np.linalg.svd(f)
+    return mb.T @ (u * [d[0], d[1], 0]) @ vt @ ma
+
+
+def fundamental(left: np.ndarray, right: np.ndarray, draws: int = 200, seed: int = 42) -> np.ndarray:
+    """The fundamental matrix F, right' F left = 0, of eight or more point pairs.
+
+    Of matrices through eight drawn pairs the one with the least median distance of points to
+    their lines is taken; the pairs that are near to their lines then give the result.
+    """
+    p, q = np.asarray(left, float), np.asarray(right, float)
+    if len(p) < 8:
+        raise ValueError("eight point pairs are needed")
+    ones = np.ones((len(p), 1))
+    hp, hq = np.hstack([p, ones]), np.hstack([q, ones])
+
+    def away(f: np.ndarray) -> np.ndarray:
+        lines, back = hp @ f.T, hq @ f
+        off = (hq * lines).sum(axis=1) ** 2
+        return off / np.maximum((lines[:, :2] ** 2).sum(axis=1), 1e-12) + off / np.maximum((back[:, :2] ** 2).sum(axis=1), 1e-12)
+
+    rng = np.random.default_rng(seed)
+    found = [_eight_points(p[i], q[i]) for i in (rng.permutation(len(p))[:8] for _ in range(draws if len(p) > 8 else 1))]
+    best = min(found, key=lambda f: np.median(away(f)))
+    spread = 1.4826 * (1 + 5 / max(len(p) - 8, 1)) * np.sqrt(np.median(away(best)))
+    near = away(best) <= max(2.5 * spread, 1e-9) ** 2
+    f = _eight_points(p[near], q[near]) if near.sum() >= 8 else best
+    return f / np.linalg.norm(f)
+
+
+def rectifying(k_left: np.ndarray, k_right: np.ndarray, rotation_: np.ndarray, translation: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 3x3 matrices under which two cameras' images have common rows; a point x of the
+    left camera's space is R x + t in the right one's."""
+    centre = -np.asarray(rotation_, float).T @ np.asarray(translation, float)
+    x = centre / np.linalg.norm(centre)
+    y = np.cross([0.0, 0.0, 1.0], x)
+    y /= np.linalg.norm(y)
+    common = np.stack([x, y, np.cross(x, y)])
+    k = (np.asarray(k_left, float) + np.asarray(k_right, float)) / 2
+    return k @ common @ np.linalg.inv(k_left), k @ common @ np.linalg.inv(np.asarray(k_right) @ rotation_)
+
+
 def essential(fundamental: np.ndarray, k_left: np.ndarray, k_right: np.ndarray) -> np.ndarray:
     """The essential matrix of a fundamental matrix and two cameras' inner matrices."""
     return np.asarray(k_right).T @ np.asarray(fundamental) @ np.asarray(k_left)

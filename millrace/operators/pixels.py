@@ -462,7 +462,7 @@ def deskewed(px: DataFrame) -> DataFrame:
             total = g.sum()
             cx, cy = ((g * x).sum() / total, (g * y).sum() / total) if total else (0.0, 0.0)
             mu11, mu02 = (g * (x - cx) * (y - cy)).sum(), (g * (y - cy) ** 2).sum()
-            if abs(mu02) < 1e-2:
+            if abs(mu02) <= 1e-3:
                 out[i] = g
                 continue
             skew = mu11 / mu02
@@ -615,3 +615,38 @@ def disparity(left: DataFrame, right: DataFrame, most: int = 32, reach: int = 2,
     inside = moved.filter(F.col("y").between(0, size[0] - 1) & F.col("x").between(0, size[1] - 1))
     sad = inside.groupBy(*KEYS, "d").agg(F.avg("v").alias("c"))
     return sad.groupBy(*KEYS).agg(F.min_by("d", F.struct(F.round("c", 9), F.col("d"))).alias("disparity"))
+
+
+def semi_global_disparity(left: DataFrame, right: DataFrame, most: int = 32, small: float = 8.0, large: float = 32.0) -> DataFrame:
+    """(image, y, x, disparity) of rasters: the shifts that differ least along four ways through
+    the image, where a step of one costs ``small`` and any other change ``large``."""
+
+    def gone(cost: np.ndarray) -> np.ndarray:
+        """Costs summed along the first axis from its start."""
+        out = np.empty_like(cost)
+        out[0] = cost[0]
+        for i in range(1, len(cost)):
+            before = out[i - 1]
+            least = before.min(axis=-1, keepdims=True)
+            up = np.pad(before[..., :-1], ((0, 0), (1, 0)), constant_values=np.inf) + small
+            down = np.pad(before[..., 1:], ((0, 0), (0, 1)), constant_values=np.inf) + small
+            out[i] = cost[i] + np.minimum.reduce([before, up, down, np.broadcast_to(least + large, before.shape)]) - least
+        return out
+
+    def match(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        h, w = a.shape
+        cost = np.full((h, w, min(most, w)), 255.0)
+        for d in range(cost.shape[2]):
+            cost[:, d:, d] = np.abs(a[:, d:] - b[:, : w - d])
+        across = cost.transpose(1, 0, 2)
+        total = gone(cost) + gone(cost[::-1])[::-1] + (gone(across) + gone(across[::-1])[::-1]).transpose(1, 0, 2)
+        return total.argmin(axis=2)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            grids = [match(np.asarray(a).reshape(-1, w), np.asarray(b).reshape(-1, w)).ravel().astype(float) for w, a, b in zip(frame["w"], frame["v"], frame["other"], strict=True)]
+            yield pd.DataFrame({"image": frame["image"], "w": frame["w"], "disparity": pd.Series(grids, index=frame.index, dtype=object)})
+
+    kind = left.schema["image"].dataType.simpleString()
+    both = _as_rasters(left).join(_as_rasters(right).select("image", F.col("v").alias("other")), "image")
+    return pixel_rows(both.mapInPandas(run, f"image {kind}, w int, disparity array<double>"), disparity="int")

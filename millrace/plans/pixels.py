@@ -226,14 +226,12 @@ def pix_distance(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R.query(f"""with {_B}, s as (select image, avg(x::double) as x0, avg(y::double) as y0, avg(x::double * x) as xx, avg(y::double * y) as yy, avg(x::double * y) as xy from g where v = 1 group by 1),
-a as (select *, 0.5 * atan2(2 * (xy - x0 * y0), (xx - x0 * x0) - (yy - y0 * y0)) as t from s where abs((xx - x0 * x0) - (yy - y0 * y0)) > 1e-6)
-select image, round(cos(t), 4) as vx, round(sin(t), 4) + 0.0 as vy, round(x0, 6) as x0, round(y0, 6) as y0 from a""")
+d as (select image, x0, y0, round(2 * (xy - x0 * y0), 9) + 0.0 as m, round((xx - x0 * x0) - (yy - y0 * y0), 9) + 0.0 as d from s),
+a as (select *, case when m <> 0 or d <> 0 then 0.5 * atan2(m, d) end as t from d)
+select image, round(cos(t), 4) + 0.0 as vx, round(sin(t), 4) + 0.0 as vy, round(x0, 6) as x0, round(y0, 6) as y0 from a""")
 def pix_linefit(spark: SparkSession, d: str) -> DataFrame:
-    b = _binary(spark, d)
-    x, y = F.col("x").cast("double"), F.col("y").cast("double")
-    clear = b.filter("v = 1").groupBy("image").agg((F.avg(x * x) - F.avg(x) ** 2 - F.avg(y * y) + F.avg(y) ** 2).alias("t")).filter(F.abs("t") > 1e-6)
-    lines = geometry.fitted_line(b).join(clear, "image", "left_semi")
-    return lines.select("image", F.round("vx", 4).alias("vx"), (F.round("vy", 4) + 0.0).alias("vy"), F.round("x0", 6).alias("x0"), F.round("y0", 6).alias("y0"))
+    lines = geometry.fitted_line(_binary(spark, d))
+    return lines.select("image", (F.round("vx", 4) + 0.0).alias("vx"), (F.round("vy", 4) + 0.0).alias("vy"), F.round("x0", 6).alias("x0"), F.round("y0", 6).alias("y0"))
 
 
 @R.query(f"with {_G} select image, cast(y // 2 as bigint) as y, cast(x // 2 as bigint) as x, round(avg(v), 6) as v from g group by 1, 2, 3")

@@ -286,6 +286,44 @@ def test_cameras(spark):
     assert geometry.even_frames(100) == [0, 19, 39, 59, 79, 99] and geometry.even_frames(0) == []
 
 
+def test_two_views():
+    rng = np.random.default_rng(10)
+    x = np.column_stack([rng.uniform(-2, 2, 60), rng.uniform(-2, 2, 60), rng.uniform(4, 9, 60)])
+    k = np.array([[500.0, 0, 320], [0, 500, 240], [0, 0, 1]])
+    a, b = 0.1, -0.05
+    r = np.array([[np.cos(a), 0, np.sin(a)], [0, 1, 0], [-np.sin(a), 0, np.cos(a)]]) @ np.array([[1, 0, 0], [0, np.cos(b), -np.sin(b)], [0, np.sin(b), np.cos(b)]])
+    t = np.array([-1.0, 0.1, 0.05])
+
+    def seen(points):
+        return points[:, :2] / points[:, 2:]
+
+    left, right = seen(x @ k.T), seen((x @ r.T + t) @ k.T)
+    wrong = right.copy()
+    wrong[:12] += rng.uniform(20, 90, (12, 2))
+    f = geometry.fundamental(left, wrong)
+    ones = np.ones((60, 1))
+    lines = np.hstack([left, ones]) @ f.T
+    off = np.abs((np.hstack([right, ones]) * lines).sum(axis=1)) / np.hypot(lines[:, 0], lines[:, 1])
+    assert off.max() < 0.01 and np.linalg.matrix_rank(f, 1e-9) == 2
+    with pytest.raises(ValueError, match="eight"):
+        geometry.fundamental(left[:7], right[:7])
+    hl, hr = geometry.rectifying(k, k, r, t)
+    rows = [seen(np.hstack([p, ones]) @ h.T)[:, 1] for p, h in ((left, hl), (right, hr))]
+    assert np.allclose(*rows, atol=1e-6)
+
+
+def test_semi_global_disparity(spark):
+    rng = np.random.default_rng(11)
+    scene = rng.integers(0, 255, (10, 24)).astype(float)
+    left, right = scene[:, :20], np.where(np.arange(20) >= 0, scene[:, 3:23], 0)
+    frames = [spark.createDataFrame([(1, g.ravel().tolist())], "key long, v array<double>") for g in (left, right)]
+    a, b = (pixels.rasters(f, "key", "v", 20) for f in frames)
+    assert (as_grid(pixels.semi_global_disparity(b, a, 8), (10, 20), "disparity") == 0).mean() < 0.2
+    moved = as_grid(pixels.semi_global_disparity(a, pixels.rasters(spark.createDataFrame([(1, np.pad(left, ((0, 0), (0, 4)), mode="edge")[:, 4:].ravel().tolist())], "key long, v array<double>"), "key", "v", 20), 8), (10, 20), "disparity")
+    assert (moved[:, 6:] == 4).mean() > 0.95
+    assert pixels.semi_global_disparity(a.limit(0), b, 8).count() == 0
+
+
 def test_clusters(spark):
     df = spark.createDataFrame([(i, [float(i % 2) * 10 + i / 100, 0.0]) for i in range(20)], "id int, v array<double>")
     rows = clustering.kmeans(df, "id", "v", 2).collect()
