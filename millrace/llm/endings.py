@@ -12,7 +12,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: What may follow a finished sentence: white space, format characters, pictures.
-TRAILER = r"[\s\p{Z}\p{Cf}\p{So}\p{Sk}︎️ ]+$"
+_TRAILING = r"[\s\p{Z}\p{Cf}\p{So}\p{Sk}︎️ ]"
+#: Only the start of a run is tried, or long runs would cost their square.
+TRAILER = rf"(?<!{_TRAILING}){_TRAILING}+$"
 
 #: Remains of a transfer that stopped inside an entity, a tag, an escape or a character.
 BROKEN_CODE = (
@@ -95,12 +97,15 @@ def unclosed(text: str) -> bool:
     that nothing closes."""
     line = text[text.rfind("\n") + 1 :]
     waiting: list[str] = []
+    number = dict.fromkeys(CLOSED_BY.values(), 0)
     for mark in _re["paired"].findall(line):
         if mark in CLOSED_BY:
             waiting.append(CLOSED_BY[mark])
-        elif mark in waiting:
-            while waiting.pop() != mark:
-                pass
+            number[waiting[-1]] += 1
+        elif number[mark]:
+            while (last := waiting.pop()) != mark:
+                number[last] -= 1
+            number[mark] -= 1
     if waiting or text.count("```") % 2 or text.count("$$") % 2:
         return True
     if line.count('"') % 2 and _re["quote"].search(line):

@@ -31,9 +31,9 @@ LABEL = (
 GREETING = r"(?:네|예|음|아|글쎄요|yes|well|ok|okay|sure)"
 MESSAGE = (
     r"(?:null|none|nan|nil|n/?a|undefined|empty|no (?:answer|response|output|content)|무응답|없음|해당 ?없음"
-    r"|\W*(?:error|fatal|exception|traceback|warning|오류|에러)\b[^\n]*"
-    r"|(?:http|status)[ :/]*[1-5]\d\d\b[^\n]*|(?:[^\n.!?]|\.\d)*\btim(?:ed|e)[ -]?out\b(?:[^\n.!?]|\.\d)*"
-    r"|(?:connection|request|gateway|service|server)\b(?:[^\n.!?]|\.\d)*\b(?:refused|reset|failed|unavailable|closed)\b(?:[^\n.!?]|\.\d)*)"
+    r"|(?:error|fatal|exception|traceback|warning|오류|에러)\b[^\n]*+"
+    r"|(?:http|status)[ :/]*[1-5]\d\d\b[^\n]*+|(?:[^\n.!?]|\.\d)*\btim(?:ed|e)[ -]?out\b(?:[^\n.!?]|\.\d)*+"
+    r"|(?:connection|request|gateway|service|server)\b(?:[^\n.!?]|\.\d)*\b(?:refused|reset|failed|unavailable|closed)\b(?:[^\n.!?]|\.\d)*+)"
 )
 APOLOGY = (
     r"죄송|송구|미안|안타깝|유감|양해|이해를? (?:바랍|부탁)|다른 질문|궁금한 점|도움이 필요|감사합니다|필요하시면|말씀해 주"
@@ -59,12 +59,18 @@ REFUSAL = (
     r"|(?:无法|不能|無法|不便)(?:回答|提供|协助|帮助|给出|作答|判断)|不知道|没有(?:相关|足够)的?(?:信息|资料|内容)|超出了?我"
     r"|không thể (?:trả lời|giúp|hỗ trợ|cung cấp|đưa ra)|không biết|không có (?:đủ )?thông tin|ngoài phạm vi"
     r"|no (?:puedo|podemos|es posible) (?:responder|ayudar|contestar|ofrecer|dar|proporcionar)|no (?:lo )?s[ée]\b|no (?:dispongo|tengo) (?:de )?(?:suficiente )?informaci|fuera de (?:mi|lo que)"
-    r"|(?:ne|n['’]) ?(?:peux|pouvons|puis|suis|sommes|dispose|disposons|ai|connais|sais)\b[^.!?]*\b(?:pas|aucune?)\b[^.!?]*\b(?:répondre|aider|fournir|donner|réponse|informations?|conseils?|dire|mesure|savoir)|je (?:ne sais pas|préfère ne pas|refuse)|hors de (?:mes|ma) "
-    r"|\b(?:kann|können|könnte|darf|möchte|werde)\b[^.!?]*\b(?:nicht|keine?n?)\b[^.!?]*\b(?:beantworten|helfen|geben|antworten|sagen|unterstützen|weiterhelfen|auskunft|antwort)|\b(?:weiß|wissen) (?:ich |wir )?(?:das |es )?(?:leider )?nicht|keine (?:ausreichenden )?informationen|lieber nicht"
-    r"|não (?:posso|podemos|consigo|é possível)\b[^.!?]*\b(?:responder|ajudar|fornecer|dar|informar|dizer)|não (?:sei|tenho informaç)|prefiro não|fora do meu"
-    r"|non (?:posso|possiamo|sono in grado|riesco)\b[^.!?]*\b(?:rispondere|aiutar|fornire|dare|dire)|non (?:lo )?so\b|non ho (?:informazioni|abbastanza)|preferisco non"
-    r"|не (?:могу|можем|могла? бы|в состоянии|имею)\b[^.!?]*(?:ответ|помочь|предостав|сказать|информац)|не знаю|нет (?:достаточной )?информации|отказываюсь"
-    r"|kan (?:ik |hier |u |je |deze |daar )*(?:niet|geen)\b[^.!?]*(?:antwoord|helpen|geven)|weet het niet|nie mogę (?:odpowiedzieć|pomóc|udzielić)|nie wiem|tidak (?:dapat|bisa) (?:menjawab|membantu|memberikan)|tidak tahu|yanıt veremem|cevap veremem|bilmiyorum"
+    r"|je (?:ne sais pas|préfère ne pas|refuse)|hors de (?:mes|ma) |\b(?:weiß|wissen) (?:ich |wir )?(?:das |es )?(?:leider )?nicht|keine (?:ausreichenden )?informationen|lieber nicht"
+    r"|não (?:sei|tenho informaç)|prefiro não|fora do meu|non (?:lo )?so\b|non ho (?:informazioni|abbastanza)|preferisco non|не знаю|нет (?:достаточной )?информации|отказываюсь"
+    r"|weet het niet|nie mogę (?:odpowiedzieć|pomóc|udzielić)|nie wiem|tidak (?:dapat|bisa) (?:menjawab|membantu|memberikan)|tidak tahu|yanıt veremem|cevap veremem|bilmiyorum"
+)
+#: Refusals whose words stand apart: a sentence declines if it holds one of each.
+REFUSAL_PARTS = (
+    (r"\b(?:ne|n['’]) ?(?:peux|pouvons|puis|suis|sommes|dispose|disposons|ai|connais|sais)\b", r"\b(?:pas|aucune?)\b", r"\b(?:répondre|aider|fournir|donner|réponse|informations?|conseils?|dire|mesure|savoir)"),
+    (r"\b(?:kann|können|könnte|darf|möchte|werde)\b", r"\b(?:nicht|keine?n?)\b", r"\b(?:beantworten|helfen|geben|antworten|sagen|unterstützen|weiterhelfen|auskunft|antwort)"),
+    (r"\bnão (?:posso|podemos|consigo|é possível)\b", r"\b(?:responder|ajudar|fornecer|dar|informar|dizer)"),
+    (r"\bnon (?:posso|possiamo|sono in grado|riesco)\b", r"\b(?:rispondere|aiutar|fornire|dare|dire)"),
+    (r"\bне (?:могу|можем|могла? бы|в состоянии|имею)\b", r"(?:ответ|помочь|предостав|сказать|информац)"),
+    (r"\bkan (?:ik|hier|u|je|deze|daar)\b", r"\b(?:niet|geen)\b", r"(?:antwoord|helpen|geven)"),
 )
 REPORTED = r"다는 (?:말|민원|의견|지적|소문|주장|보고)|라는 (?:말|민원|의견)|지만 |으나 |그러나|\bbut\b|\bhowever\b|although|しかし|ですが|但是|不过|nhưng|\bpero\b"
 ECHO = (
@@ -75,14 +81,15 @@ ECHO = (
 
 _FLAGS = regex.IGNORECASE | regex.V0
 _think = regex.compile(r"<(think|thinking|reasoning|analysis)\b[^>]*>.*?(?:</\1>|\Z)", _FLAGS | regex.DOTALL)
-_markup = regex.compile(r"<[/!]?[A-Za-z][^<>]{0,120}>|&(?:nbsp|lt|gt|amp|quot|#\d{1,5});|```[A-Za-z0-9]*|[*_`#>|~]+", _FLAGS)
+_markup = regex.compile(r"<[/!]?[A-Za-z][^<>]*>|&(?:nbsp|lt|gt|amp|quot|#\d{1,5});|```[A-Za-z0-9]*|[*_`#>|~]+", _FLAGS)
 _label = regex.compile(rf"^\W*{LABEL}\W{{0,4}}[:：.)]\W*|^{GREETING}\s*[,.!，、]\s*|^정리하면\s+", _FLAGS)
 _bare = regex.compile(rf"^\W*(?:{LABEL}|{GREETING})\W*$", _FLAGS)
-_message = regex.compile(rf"^\W*{MESSAGE}\W*$", _FLAGS)
+_message = regex.compile(rf"^\W*+{MESSAGE}\W*+$", _FLAGS)
 _content = regex.compile(r"[\p{L}\p{N}]")
 _sentence = regex.compile(r"(?<=[.!?。！？])\s+|(?<=[。！？])|\n+")
 _apology = regex.compile(APOLOGY, _FLAGS)
 _refusal = regex.compile(REFUSAL, _FLAGS)
+_refusal_parts = [[regex.compile(x, _FLAGS) for x in parts] for parts in REFUSAL_PARTS]
 _reported = regex.compile(REPORTED, _FLAGS)
 _echo = regex.compile("|".join(normalise(x) if x.isalnum() else x.replace(" ?", "").replace(" ", "") for x in ECHO.split("|")), _FLAGS)
 _scripts = {
@@ -144,7 +151,7 @@ def is_refusal(body: str) -> bool:
         letters = len(_content.findall(part))
         if letters < 4:
             continue
-        if _refusal.search(part):
+        if _refusal.search(part) or any(all(x.search(part) for x in parts) for parts in _refusal_parts):
             if _reported.search(_apology.sub(" ", part)) and not _apology.search(part):
                 return False
             declines = True

@@ -13,7 +13,6 @@ from .tables import latest, read
 
 LIMIT, OVERLAP = 400, 80
 TOKEN_LIMIT, TOKEN_OVERLAP = 256, 32
-VOCABULARY = f"{packing.TOKENIZERS}/{packing.VOCABULARY}"
 #: Capacities of containers that are to be even in attention cost too.
 PLACES, COST = 16, packing.CAPACITY**2 // 2
 ANSWERS = ["pred_answer", "gold_answer"]
@@ -37,9 +36,14 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_items(_items(spark, d), ["item_kind", "item_id"], "_t", LIMIT, OVERLAP).distinct()
 
 
+def _vocabulary(spark: SparkSession) -> str:
+    """The tokenizer's file, in the folder that the session names or the usual one."""
+    return f"{spark.conf.get('spark.millrace.tokenizers', packing.TOKENIZERS)}/{packing.VOCABULARY}"
+
+
 def p1_token_pieces(spark: SparkSession, d: str) -> DataFrame:
     """The pieces of all items, cut by tokens."""
-    return splitting.split_items(_items(spark, d), ["item_kind", "item_id"], "_t", TOKEN_LIMIT, TOKEN_OVERLAP, packing.token_sizes(VOCABULARY)).distinct()
+    return splitting.split_items(_items(spark, d), ["item_kind", "item_id"], "_t", TOKEN_LIMIT, TOKEN_OVERLAP, packing.token_sizes(_vocabulary(spark))).distinct()
 
 
 _PLAN = dict(key="id", labels=["disaster_type", "q_type"], order="loaded_at", plan="plan_id", share="target_share", least="min_items", size="n_items")
@@ -113,7 +117,7 @@ def p6_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _tokens(spark: SparkSession, d: str) -> DataFrame:
-    return packing.token_counts(spread(read(spark, d, "documents")), "doc_id", "text", VOCABULARY)
+    return packing.token_counts(spread(read(spark, d, "documents")), "doc_id", "text", _vocabulary(spark))
 
 
 def p7_assignment(spark: SparkSession, d: str) -> DataFrame:

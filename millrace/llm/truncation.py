@@ -62,7 +62,7 @@ def bodies(text: Column) -> Column:
     """Trimmed texts without the remains of a code at their ends."""
     short = F.right(text, F.lit(10))
     marked = (F.translate(short, "&<\\%\ufffd", "") != short) | F.right(text, F.lit(1)).between("\u1100", "\u115f")
-    return F.when(marked, F.regexp_replace(text, r"[\s\p{Z}]*" + CODE, "")).otherwise(text)
+    return F.when(marked, F.rtrim(F.regexp_replace(text, CODE, ""))).otherwise(text)
 
 
 def _kind(ending: str) -> Column:
@@ -73,8 +73,8 @@ def _kind(ending: str) -> Column:
 
 
 def final_shares(texts: DataFrame, weight: float = 50.0) -> DataFrame:
-    """(field_name, a, b, c, share): how often the final trigrams of texts end other texts,
-    as a share of all their places.
+    """(field_name, trigram, share): how often the final trigrams of texts end other texts, as a
+    share of all their places. A trigram goes by the 64-bit hash of its words' endings.
 
     Takes distinct (field_name, text). The share of a trigram is drawn towards that of its
     last two words, theirs towards that of the last word, and that towards the share of the
@@ -85,17 +85,19 @@ def final_shares(texts: DataFrame, weight: float = 50.0) -> DataFrame:
     words = texts.select("field_name", F.expr(_WORDS.format("text")).alias("w")).filter("w[0] <> ''")
     ends = words.select("field_name", "w", F.expr(f"concat(array('^', '^'), transform(w, x -> {_ending('x')}))").alias("e"))
     places = ends.select("field_name", F.expr("inline(arrays_zip(slice(e, 1, size(w)), slice(e, 2, size(w)), slice(e, 3, size(w)), slice(e, 4, size(w)), w)) as (a, b, c, d, w)"))
+    places = places.select("field_name", F.xxhash64("a", "b", "c").alias("three"), F.xxhash64("b", "c").alias("two"), "c", "d", "w")
     # One pass counts trigrams and, for the places inside, whole words.
-    counted = places.groupingSets([("field_name", "a", "b", "c"), ("field_name", "w")], "field_name", "a", "b", "c", "w").agg(
+    counted = places.groupingSets([("field_name", "three", "two", "c"), ("field_name", "w")], "field_name", "three", "two", "c", "w").agg(
         F.count("d").alias("i"), (F.count("*") - F.count("d")).alias("f"), F.grouping("w").alias("g")
     )
+    bare = _bare("w")
     cases = F.expr(
         f"""if(g = 1,
-          if(f > 0, array(struct(3 as n, a, b, c, i, f), struct(2 as n, '' as a, b, c, i, f)), array(struct(2 as n, '' as a, b, c, i, f))),
-          transform(if(length({_bare('w')}) > 1, sequence(1, length({_bare('w')}) - 1), array()), k -> struct(1 as n, '' as a, '' as b, right(left(w, k), 2) as c, i, f)))"""
+          if(f > 0, array(struct(3 as n, three, two, c, i, f), struct(2 as n, 0L as three, two, c, i, f)), array(struct(2 as n, 0L as three, two, c, i, f))),
+          transform(if(length({bare}) > 1, sequence(1, length({bare}) - 1), array()), k -> struct(1 as n, 0L as three, 0L as two, right(left(w, k), 2) as c, i, f)))"""
     )
     sums = [F.sum("i").alias("i"), F.sum("f").alias("f")]
-    known = kept(counted.select("field_name", F.inline(cases)).groupBy("field_name", "n", "a", "b", "c").agg(*sums))
+    known = kept(counted.select("field_name", F.inline(cases)).groupBy("field_name", "n", "three", "two", "c").agg(*sums))
     three, two, begun = [known.filter(f"n = {n}").drop("n") for n in (3, 2, 1)]
     one = two.groupBy("field_name", "c").agg(*sums)
     kind = one.groupBy("field_name", _kind("c").alias("k")).agg(*sums)
@@ -105,14 +107,14 @@ def final_shares(texts: DataFrame, weight: float = 50.0) -> DataFrame:
     def named(df: DataFrame, n: int) -> DataFrame:
         return df.withColumnsRenamed({"i": f"i{n}", "f": f"f{n}"})
 
-    known = named(three, 3).join(named(two, 2).drop("a"), ["field_name", "b", "c"]).join(named(one, 1), ["field_name", "c"])
+    known = named(three, 3).join(named(two, 2).drop("three"), ["field_name", "two", "c"]).join(named(one, 1), ["field_name", "c"])
     known = known.withColumn("k", _kind("c")).join(named(kind, 0), ["field_name", "k"])
     others = F.col("f0") - 1
     share = F.when(F.col("i0") + others > 0, others / (F.col("i0") + others)).otherwise(0.0)
     for n in (1, 2, 3):
         others = F.col(f"f{n}") - 1
         share = F.when(F.col(f"i{n}") > 0, (others + weight * share) / (F.col(f"i{n}") + others + weight)).otherwise(share)
-    return known.select("field_name", "a", "b", "c", share.alias("share"))
+    return known.select("field_name", F.col("three").alias("trigram"), share.alias("share"))
 
 
 @F.pandas_udf(T.BooleanType())
@@ -154,7 +156,7 @@ def cut_texts(
     rows = df.select(F.col(key).alias("_k"), when.alias("_t"), F.struct(F.lit(1).alias("_"), *(keep or [])).alias("_keep"), F.inline(values))
     rows = rows.withColumn("_trimmed", endings.trimmed(F.col("raw"))).withColumn("text", bodies(F.col("_trimmed")))
     shares = final_shares(rows.filter("length(raw) > 0").select("field_name", "text").distinct(), weight)
-    rare = shares.filter(F.col("share") < final_share).select("field_name", "a", "b", "c", F.lit(True).alias("rare"))
+    rare = shares.filter(F.col("share") < final_share).select("field_name", "trigram", F.lit(True).alias("rare"))
 
     excluded = (F.length("text") == 0) | endings.complete(F.col("_trimmed"))
     rows = rows.withColumn("_open", F.when(~excluded, True))
@@ -162,14 +164,14 @@ def cut_texts(
     # The last words are what follows the third space from the end.
     rows = rows.withColumn("_tail", F.when(F.col("_open"), F.expr(f"substring_index({_LINE.format('text')}, ' ', -3)")))
     rows = rows.withColumn("e", F.expr(f"concat(array('^', '^'), transform(split(_tail, ' '), x -> {_ending('x')}))"))
-    trigram = [F.element_at("e", i - 3).alias(c) for i, c in enumerate("abc")]
+    trigram = F.when(F.col("e").isNotNull(), F.xxhash64(*[F.element_at("e", i) for i in (-3, -2, -1)])).alias("trigram")
     last = (
-        rows.select("_k", "field_name", F.struct("_t", *trigram, "_keep").alias("m"))
+        rows.select("_k", "field_name", F.struct("_t", trigram, "_keep").alias("m"))
         .groupBy("_k", "field_name")
         .agg(F.max("m").alias("m"))
-        .select("_k", "field_name", "m.a", "m.b", "m.c", "m._keep")
+        .select("_k", "field_name", "m.trigram", "m._keep")
     )
-    found = last.join(rare, ["field_name", "a", "b", "c"], "left" if keep else "inner")
+    found = last.join(rare, ["field_name", "trigram"], "left" if keep else "inner")
     name = F.element_at(F.array(*[F.lit(f) for f in fields]), F.col("field_name")).alias("field_name")
     return found.select(
         F.col("_k").alias(key), name, F.coalesce("rare", F.lit(False)).alias("cut"), *[F.col(f"_keep.{c}").alias(c) for c in keep or []]

@@ -345,6 +345,17 @@ def test_defects(answer):
     assert [d for d in found if d != "truncated" or ANSWERS[answer] == ["truncated"]] == ANSWERS[answer] or answer == "42"
 
 
+def test_rules_are_quick_on_long_texts():
+    import time
+
+    n = 60_000
+    for text in ("-" * n, "timed out " + "-" * n + "x.", "(" * n + "]" * n, '"' * n, "<" * n, "a" * n, "a" + " " * n + "b ", "kann nicht " * (n // 10), "「" * n + "」" * n, "```" * n, "을 " * n, "&" * n, "<b>" * n, "error: " * n):
+        began = time.perf_counter()
+        pairs.defects(Q, text)
+        residue._may_hold(text)
+        assert time.perf_counter() - began < 5, text[:12]
+
+
 def test_defective_pairs_edges(spark):
     rows = [(1, Q, "", 1), (1, Q, "문을 엽니다.", 2), (2, Q, None, 1), (2, Q, None, 1), (3, None, "문을 엽니다.", 1), (4, Q, "가 " * 50_000 + "합니다.", 1), (None, Q, "-", 1)]
     df = spark.createDataFrame(rows, "k long, question string, a string, t int").withColumn("defect", F.lit("x")).withColumn("_k", F.lit(0))
@@ -395,4 +406,8 @@ def test_counts_decide_what_is_cut(spark):
     found = {r["k"] for r in truncation.cut_texts(df, "k", {"text": None}).collect()}
     assert found == cut
     shares = truncation.final_shares(df.select(F.lit("x").alias("field_name"), "text"))
-    assert shares.filter("c = '먼저'").agg(F.max("share")).first()[0] < 0.02 < shares.filter("a = '\n' and b = '-'").agg(F.min("share")).first()[0]
+    share = {r["trigram"]: r["share"] for r in shares.collect()}
+    hashed = spark.sql("select xxhash64('에서', '기를', '먼저') as x").first()[0]
+    assert share[hashed] < 0.02
+    listed = [r[0] for r in spark.createDataFrame([(t[-2:],) for t in things], "t string").select(F.xxhash64(F.lit("\n"), F.lit("-"), "t")).collect()]
+    assert min(share[x] for x in listed if x in share) > 0.02 and sum(x in share for x in listed) > 3
