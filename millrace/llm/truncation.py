@@ -138,8 +138,8 @@ def cut_texts(
     share ``key`` count once, by the greatest ``order``; texts that are null or without
     content are not cut. A text is cut if less than ``final_share`` of the places of its
     final trigram are ends of other texts, see ``final_shares``, unless it is excluded as a
-    complete sentence or note or for another defect. The exclusions are tried first where
-    the texts are read, as they need no shuffle. Gives (key, field_name, cut) and the columns of
+    complete sentence or note, which is tried first where the texts are read, or for another
+    defect, which is tried last. Gives (key, field_name, cut) and the columns of
     ``keep``, without ``keep`` the cut values only; empty input gives an empty result.
     """
     values = F.array(
@@ -158,20 +158,23 @@ def cut_texts(
     shares = final_shares(rows.filter("length(raw) > 0").select("field_name", "text").distinct(), weight)
     rare = shares.filter(F.col("share") < final_share).select("field_name", "trigram", F.lit(True).alias("rare"))
 
-    excluded = (F.length("text") == 0) | endings.complete(F.col("_trimmed"))
-    rows = rows.withColumn("_open", F.when(~excluded, True))
-    rows = rows.withColumn("_open", F.col("_open") & _otherwise_sound(F.when(F.col("_open"), F.col("asked")), F.when(F.col("_open"), F.col("raw"))))
+    open_end = (F.length("text") > 0) & ~endings.complete(F.col("_trimmed"))
     # The last words are what follows the third space from the end.
-    rows = rows.withColumn("_tail", F.when(F.col("_open"), F.expr(f"substring_index({_LINE.format('text')}, ' ', -3)")))
+    rows = rows.withColumn("_tail", F.when(open_end, F.expr(f"substring_index({_LINE.format('text')}, ' ', -3)")))
     rows = rows.withColumn("e", F.expr(f"concat(array('^', '^'), transform(split(_tail, ' '), x -> {_ending('x')}))"))
     trigram = F.when(F.col("e").isNotNull(), F.xxhash64(*[F.element_at("e", i) for i in (-3, -2, -1)])).alias("trigram")
+    # Few values are open, and only these carry their texts on.
+    texts = [F.when(F.col("e").isNotNull(), F.col(c)).alias(c) for c in ("raw", "asked")]
     last = (
-        rows.select("_k", "field_name", F.struct("_t", trigram, "_keep").alias("m"))
+        rows.select("_k", "field_name", F.struct("_t", trigram, *texts, "_keep").alias("m"))
         .groupBy("_k", "field_name")
         .agg(F.max("m").alias("m"))
-        .select("_k", "field_name", "m.trigram", "m._keep")
+        .select("_k", "field_name", "m.trigram", "m.raw", "m.asked", "m._keep")
     )
     found = last.join(rare, ["field_name", "trigram"], "left" if keep else "inner")
+    found = found.withColumn("rare", F.col("rare") & _otherwise_sound(F.when(F.col("rare"), F.col("asked")), F.when(F.col("rare"), F.col("raw"))))
+    if not keep:
+        found = found.filter("rare")
     name = F.element_at(F.array(*[F.lit(f) for f in fields]), F.col("field_name")).alias("field_name")
     return found.select(
         F.col("_k").alias(key), name, F.coalesce("rare", F.lit(False)).alias("cut"), *[F.col(f"_keep.{c}").alias(c) for c in keep or []]
