@@ -154,8 +154,10 @@ def cut_texts(
     )
     when = F.col(order) if order else F.lit(0)
     rows = df.select(F.col(key).alias("_k"), when.alias("_t"), F.struct(F.lit(1).alias("_"), *(keep or [])).alias("_keep"), F.inline(values))
-    rows = rows.withColumn("_trimmed", endings.trimmed(F.col("raw"))).withColumn("text", bodies(F.col("_trimmed")))
-    shares = final_shares(rows.filter("length(raw) > 0").select("field_name", "text").distinct(), weight)
+    trimmed = lambda df: df.withColumn("_trimmed", endings.trimmed(F.col("raw"))).withColumn("text", bodies(F.col("_trimmed")))
+    # Repeated texts are dropped as they stand, so that each is trimmed and counted once.
+    shares = final_shares(trimmed(rows.filter("length(raw) > 0").select("field_name", "raw").distinct()).select("field_name", "text"), weight)
+    rows = trimmed(rows)
     rare = shares.filter(F.col("share") < final_share).select("field_name", "trigram", F.lit(True).alias("rare"))
 
     open_end = (F.length("text") > 0) & ~endings.complete(F.col("_trimmed"))
