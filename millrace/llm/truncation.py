@@ -94,21 +94,21 @@ def final_shares(texts: DataFrame, weight: float = 50.0) -> DataFrame:
     cases = F.expr(
         f"""if(g = 1,
           if(f > 0, array(struct(3 as n, three, two, c, i, f), struct(2 as n, 0L as three, two, c, i, f)), array(struct(2 as n, 0L as three, two, c, i, f))),
-          transform(if(length({bare}) > 1, sequence(1, length({bare}) - 1), array()), k -> struct(1 as n, 0L as three, 0L as two, right(left(w, k), 2) as c, i, f)))"""
+          transform(if(length({bare}) > 1, sequence(1, length({bare}) - 1), array()), k -> struct(1 as n, 0L as three, 0L as two, right(left(w, k), 2) as c, i, 0L as f)))"""
     )
     sums = [F.sum("i").alias("i"), F.sum("f").alias("f")]
     known = kept(counted.select("field_name", F.inline(cases)).groupBy("field_name", "n", "three", "two", "c").agg(*sums))
-    three, two, begun = [known.filter(f"n = {n}").drop("n") for n in (3, 2, 1)]
-    one = two.groupBy("field_name", "c").agg(*sums)
-    kind = one.groupBy("field_name", _kind("c").alias("k")).agg(*sums)
-    begun = begun.select("field_name", "c", F.col("i").alias("begun"))
-    one = one.join(begun, ["field_name", "c"], "left").withColumn("i", F.col("i") + F.coalesce("begun", F.lit(0))).drop("begun")
+    three, two = [known.filter(f"n = {n}").drop("n") for n in (3, 2)]
+    # A last word counts with the beginnings of longer ones, the kind of its last character without.
+    one = known.filter("n < 3").groupBy("field_name", "c").agg(*sums, F.sum(F.when(F.col("n") == 2, F.col("i")).otherwise(0)).alias("whole"))
+    kind = one.groupBy("field_name", _kind("c").alias("k")).agg(F.sum("whole").alias("i"), F.sum("f").alias("f"))
 
     def named(df: DataFrame, n: int) -> DataFrame:
         return df.withColumnsRenamed({"i": f"i{n}", "f": f"f{n}"})
 
-    known = named(three, 3).join(named(two, 2).drop("three"), ["field_name", "two", "c"]).join(named(one, 1), ["field_name", "c"])
-    known = known.withColumn("k", _kind("c")).join(named(kind, 0), ["field_name", "k"])
+    known = named(three, 3).join(named(two, 2).drop("three"), ["field_name", "two", "c"]).join(named(one, 1).drop("whole"), ["field_name", "c"])
+    # There are a few kinds for each field, whatever the texts.
+    known = known.withColumn("k", _kind("c")).join(F.broadcast(named(kind, 0)), ["field_name", "k"])
     others = F.col("f0") - 1
     share = F.when(F.col("i0") + others > 0, others / (F.col("i0") + others)).otherwise(0.0)
     for n in (1, 2, 3):
