@@ -78,9 +78,10 @@ def final_shares(texts: DataFrame, weight: float = 50.0) -> DataFrame:
 
     Takes distinct (field_name, text). The share of a trigram is drawn towards that of its
     last two words, theirs towards that of the last word, and that towards the share of the
-    last character's kind, as if seen ``weight`` times; what was never seen inside adds
-    nothing. A last word also counts where it begins a longer one. The text itself does not
-    count for its own end.
+    last character's kind, as if seen ``weight`` times. A last word also counts where it begins
+    a longer one; trigrams and pairs do not, so that what stands inside no more than half as often
+    as at other ends, as cuts in mid-word at one place do, adds nothing there. The text itself
+    does not count for its own end.
     """
     words = texts.select("field_name", F.expr(_WORDS.format("text")).alias("w")).filter("w[0] <> ''")
     ends = words.select("field_name", "w", F.expr(f"concat(array('^', '^'), transform(w, x -> {_ending('x')}))").alias("e"))
@@ -113,7 +114,7 @@ def final_shares(texts: DataFrame, weight: float = 50.0) -> DataFrame:
     share = F.when(F.col("i0") + others > 0, others / (F.col("i0") + others)).otherwise(0.0)
     for n in (1, 2, 3):
         others = F.col(f"f{n}") - 1
-        share = F.when(F.col(f"i{n}") > 0, (others + weight * share) / (F.col(f"i{n}") + others + weight)).otherwise(share)
+        share = F.when(F.col(f"i{n}") > (others / 2 if n > 1 else 0), (others + weight * share) / (F.col(f"i{n}") + others + weight)).otherwise(share)
     return known.select("field_name", F.col("three").alias("trigram"), share.alias("share"))
 
 

@@ -172,7 +172,7 @@ def test_residue(spark):
 
 def test_recurrent_lines_are_no_evidence(spark):
     footer = "쿠키 설정은 아래에서 바꿉니다"
-    rows = [(i, f"본문 {chr(44032 + i)} 내용이 있습니다.\n{footer} {i}", "site") for i in range(40)]
+    rows = [(i, f"본문 {chr(44032 + i)} 내용이 있습니다.\n{footer} {i}", "site") for i in range(20)]
     rows += [(100, f"{footer} 3", "site"), (101, f"다른 곳의 글입니다.\n{footer} 1", "other")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     found = {r["doc_id"] for r in residue.residue_documents(df, "doc_id", "source", "text", least_docs=10, least_share=0.2).collect()}
@@ -411,3 +411,14 @@ def test_counts_decide_what_is_cut(spark):
     assert share[hashed] < 0.02
     listed = [r[0] for r in spark.createDataFrame([(t[-2:],) for t in things], "t string").select(F.xxhash64(F.lit("\n"), F.lit("-"), "t")).collect()]
     assert min(share[x] for x in listed if x in share) > 0.02 and sum(x in share for x in listed) > 3
+
+
+def test_cuts_at_one_place_do_not_vouch_for_one_another(spark):
+    things = ["소화기", "담요", "손전등", "물통", "사다리", "안전모"]
+    sentence = lambda i, k: f"{i}층 창고에서 {things[k % 6]}를 먼저 확인하고 {things[(k + 1) % 6]}를 옮깁니다."
+    rows = [(i, " ".join(sentence(i % 9 + 1, i + k) for k in range(4))) for i in range(400)]
+    # Twenty texts break off within one and the same word; once that part stands by itself.
+    rows += [(1000 + i, f"{i}번 안내. {sentence(i % 9 + 1, i)} 3층 창고에서 소화기를 먼저 확인하고 담요를 옮깁") for i in range(20)]
+    rows += [(2000, "3층 창고에서 담요를 옮깁 니다. " + sentence(3, 1))]
+    found = truncation.cut_texts(spark.createDataFrame(rows, "k long, text string"), "k", {"text": None})
+    assert {r["k"] for r in found.collect()} == set(range(1000, 1020))
