@@ -416,7 +416,7 @@ def test_counts_decide_what_is_cut(spark):
 def test_cuts_at_one_place_do_not_vouch_for_one_another(spark):
     things = ["소화기", "담요", "손전등", "물통", "사다리", "안전모"]
     sentence = lambda i, k: f"{i}층 창고에서 {things[k % 6]}를 먼저 확인하고 {things[(k + 1) % 6]}를 옮깁니다."
-    rows = [(i, " ".join(sentence(i % 9 + 1, i + k) for k in range(4))) for i in range(400)]
+    rows = [(i, f"{i}번 안내. " + " ".join(sentence(i % 9 + 1, i + k) for k in range(4))) for i in range(400)]
     # Twenty texts break off within one and the same word; once that part stands by itself.
     rows += [(1000 + i, f"{i}번 안내. {sentence(i % 9 + 1, i)} 3층 창고에서 소화기를 먼저 확인하고 담요를 옮깁") for i in range(20)]
     rows += [(2000, "3층 창고에서 담요를 옮깁 니다. " + sentence(3, 1))]
