@@ -243,6 +243,56 @@ def test_links_equal_brute_force(spark):
     assert neardup.near_duplicate_groups(df, "id", ["q"], count_links=False).columns == ["id", "class_id"]
 
 
+def _shuffled(spark) -> tuple[int, int]:
+    """Stages so far, and bytes that they wrote to shuffles."""
+    stages, n, total = spark.sparkContext._jsc.sc().statusStore(), 0, 0
+    while True:
+        try:
+            total += stages.lastStageAttempt(n).shuffleWriteBytes()
+        except Exception as e:
+            if n > 3000 or "NoSuchElement" not in str(e):
+                raise
+            if not any(_known(stages, n + k) for k in range(1, 20)):
+                return n, total
+        n += 1
+
+
+def _known(stages, n: int) -> bool:
+    try:
+        return stages.lastStageAttempt(n) is not None
+    except Exception:
+        return False
+
+
+def test_near_duplicates_move_less_than_their_texts(spark):
+    # Texts of one template share many pieces, so postings meet in proportion to the square of their number.
+    rng = random.Random(14)
+    words = ["".join(chr(rng.randrange(44032, 55204)) for _ in range(7)) for _ in range(120)]
+    texts = [" ".join(rng.sample(words, 25)) for _ in range(1500)]
+    rows = [(f"k{i}", t) for i, t in enumerate(texts)] + [(f"e{i}", t[3:]) for i, t in enumerate(texts[:20])]
+    df = spark.createDataFrame(rows, "id string, q string").repartition(3).localCheckpoint()
+    before = _shuffled(spark)[1]
+    got = neardup.grouped_pairs(neardup.near_duplicate_groups(df, "id", ["q"], count_links=False), "id").collect()
+    moved = _shuffled(spark)[1] - before
+    assert {(f"e{i}", f"k{i}") for i in range(20)} <= {(r["id_a"], r["id_b"]) for r in got}
+    assert moved < sum(len(t.encode()) for _, t in rows)
+
+
+def test_components_of_many_edges_take_rounds(spark):
+    edges = [(i, i + 1) for i in range(20)] + [(50, 49), (51, 49)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    one, other = ({(r["node"], r["component"]) for r in components(df, few=few).collect()} for few in (0, 100))
+    assert one == other == {(i, 0) for i in range(21)} | {(i, 49) for i in (49, 50, 51)}
+
+
+def test_values_there_again(spark):
+    values = np.array([3, 5, 3, 1 << 40, 9, 1 << 50, 1 << 50, -1, -1, 7 << 30], dtype=np.int64)
+    for parts in (1, 4):
+        bits = overlap.repeated(spark.createDataFrame([(int(v),) for v in values], "h long").repartition(parts))
+        assert overlap.may_hold(bits, overlap.shortened(np.array([3, 1 << 50, -1], dtype=np.int64))).all()
+        assert not overlap.may_hold(bits, overlap.shortened(np.array([1 << 40, 7 << 30, 1 << 60], dtype=np.int64))).any()
+
+
 def test_pieces_of_many_texts_at_once():
     rng = random.Random(13)
     texts = [normalise(t) for t in _texts(rng, 30)] + ["", "abcd", "abcde", "가" * 40]
